@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchspark.llm import simhash_near
+from matchspark.llm import simhash_near, sstable
 from matchspark.session import table
 
 
@@ -15,8 +15,15 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written to table shards and read back."""
+    import public_tokenizers
+
+    return sstable.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_simhash_near_dedup": op5_simhash_near_dedup}
+    return {"op5_simhash_near_dedup": op5_simhash_near_dedup, "op10_sstable": op10_sstable}
 
 
 def oracle_sql() -> dict[str, str]:
