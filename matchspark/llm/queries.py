@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchspark.llm import decision_list, line_dedup, packing, secret_scan, simhash_near, sstable
+from matchspark.llm import decision_list, line_dedup, packing, quality_pu, secret_scan, simhash_near, sstable, vector_topk
 from matchspark.session import table
 
 
@@ -51,10 +51,20 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector."""
+    return vector_topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return quality_pu.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_line_dedup, op5_simhash_near_dedup, op6_secret_scans, op7_best_fit_packing, op8_quality_rules, op10_sstable, pipeline]
+    named = [op1_line_dedup, op2_exact_top_k, op4_quality_classifier, op5_simhash_near_dedup, op6_secret_scans, op7_best_fit_packing, op8_quality_rules, op10_sstable, pipeline]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL.replace("{docs}", "documents")}
+    return {"op1_line_dedup": line_dedup.SQL.replace("{docs}", "documents"), "op2_exact_top_k": vector_topk.SQL}

@@ -87,3 +87,36 @@ def test_packing(spark, n):
         assert [x for x, _ in sorted(b)] == ends[:-1] and ends[-1] <= 2048
     size = np.array([r.length for r in rows])
     assert len(bins) <= len(packing.best_fit([], list(range(len(size))), size, 2048))
+
+
+def test_vector_top_k_equals_brute_force(spark):
+    from matchspark.llm import vector_topk
+
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(300, 8)).astype("f4").tolist()
+    v[60] = v[61] = v[62] = v[100]
+    v[5], v[6], v[7] = None, [1.0, None, *[0.0] * 6], [float("nan")] * 8
+    rows = [(i, x, i) for i, x in enumerate(v)]
+    got = vector_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int"))
+    good = {i: np.floor(256 * np.array(x, "f8")).astype(int) for i, x in enumerate(v) if i not in (5, 6, 7)}
+    want = set()
+    for q in range(0, 300, 50):
+        best = sorted((-int(good[q] @ x), i) for i, x in good.items() if i != q)[:5]
+        want |= {(q, n, i, -s) for n, (s, i) in enumerate(best, 1)}
+    assert {tuple(r) for r in got.collect()} == want
+    assert vector_topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_quality_classifier(spark):
+    from matchspark.llm import quality_pu
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(5))
+    rows = [(i, " ".join(word() + ("***" if i % 5 == 0 else "") for _ in range(40)), 0.0) for i in range(300)] + [(900, None, 1.0), (901, "", 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality_pu.score_quality(docs, labels).collect()}
+    held = [i for i in range(300) if got[i].held_out]
+    assert sum(got[i].predicted == (i % 5 > 0) for i in held) >= 0.95 * len(held) > 0
+    assert all(0 <= r.score <= 1 for r in got.values()) and len(got) == 302
+    assert {r.score for r in quality_pu.score_quality(docs, labels.limit(0)).collect()} == {0.5}
