@@ -2,7 +2,7 @@
 
 A shard holds documents in ascending key order. Layout of the file:
 
-    block*   zlib of entries; an entry is varint(shared key bytes), varint(rest of the key),
+    block*   zstandard frame of entries; an entry is varint(shared key bytes), varint(rest of the key),
              varint(value bytes), the rest of the key, the value (ids as uint16, or uint32)
     index    per block: first key (8 bytes), offset (u64), length (u32)
     bloom    bit array of the keys
@@ -16,13 +16,13 @@ bytes sort as numbers do. Rows that repeat an identifier stay, in the order of t
 from __future__ import annotations
 
 import struct
-import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -92,7 +92,7 @@ class ShardWriter:
 
     def flush(self) -> None:
         if self.block:
-            data = zlib.compress(bytes(self.block), 1)
+            data = zstandard.compress(bytes(self.block), 1)
             self.index.append(ENTRY.pack(self.first, self.write(data), len(data)))
             self.block = bytearray()
 
@@ -127,7 +127,7 @@ class Shard:
 
     def entries(self, block: int) -> Iterator[tuple[bytes, bytes]]:
         _, offset, length = self.index[block]
-        data, at, key = zlib.decompress(self.file.read_at(length, offset)), 0, b""
+        data, at, key = zstandard.decompress(self.file.read_at(length, offset)), 0, b""
         while at < len(data):
             numbers = []
             for _ in range(3):
@@ -169,7 +169,7 @@ class Shard:
         return found
 
 
-def shard_writer(path: str, tokenizer: str, end_id: int, group: int = 200):
+def shard_writer(path: str, tokenizer: str, end_id: int, group: int = 500):
     """A mapInArrow function over rows (doc_id, text) sorted by doc_id: one shard for each task.
 
     A retried or repeated attempt writes a file of its own name; the row that the attempt
