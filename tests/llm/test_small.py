@@ -120,3 +120,18 @@ def test_quality_classifier(spark):
     assert sum(got[i].predicted == (i % 5 > 0) for i in held) >= 0.95 * len(held) > 0
     assert all(0 <= r.score <= 1 for r in got.values()) and len(got) == 302
     assert {r.score for r in quality_pu.score_quality(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_toxicity(spark):
+    from matchspark.llm import toxicity_zstd
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    common = [word() for _ in range(80)]
+    rows = [(i, " ".join([rng.choice(common) for _ in range(30)] + (["Vilewort,", "grimslur"] if i % 6 == 0 else [])), 0.0) for i in range(400)] + [(900, None, 1.0), (901, "", 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity_zstd.score_toxicity(docs, labels).collect()}
+    held = [i for i in range(400) if got[i].held_out]
+    assert held and all(got[i].predicted == (i % 6 == 0) for i in held) and got[900].score == got[901].score == 0
+    assert {r.predicted for r in toxicity_zstd.score_toxicity(docs, labels.limit(0)).collect()} == {0}
