@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchspark.session import cut
-
 #: A line goes if it is on more than this share of its host's pages, and on so many pages at least.
 MAX_SHARE, MIN_PAGES = 0.05, 3
 
@@ -18,19 +16,19 @@ def line_dedup(docs: DataFrame, host: str = "source", max_share: float = MAX_SHA
     Pages are rows, and a line counts once a page. A null host is a host of its own; null
     texts stay null; a text whose lines all go becomes empty. Lines are counted by a hash
     of host and line, combined on the map side, so a host with a third of all rows is not
-    gathered anywhere. Only dropped lines return to the pages, one list a page.
+    gathered anywhere. Only the hashes of
+    dropped lines return to the pages, one set for each doc_id.
     """
-    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
     site = F.coalesce(F.col(host).cast("string"), F.lit("\x00"))
-    lines = rows.select("__row", site.alias("__host"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where("trim(line) <> ''")
-    pages = rows.groupBy(site.alias("__host")).agg(F.count("*").alias("pages"))
-    key = F.xxhash64("__host", "line")
-    counts = lines.groupBy("__host", key.alias("key")).agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    common = counts.join(pages, "__host").where(F.col("n") > max_share * F.col("pages")).select("key")
-    hits = lines.select("__row", "line", key.alias("key")).join(common, "key", "left_semi").groupBy("__row").agg(F.collect_set("line").alias("__drop"))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("__drop", x)), "\n")
+    named = docs.select(F.col("doc_id").alias("__id"), site.alias("__host"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("__line"))
+    lines = named.where("trim(__line) <> ''").select("__id", "__host", F.xxhash64("__host", "__line").alias("__key"))
+    pages = docs.groupBy(site.alias("__host")).agg(F.count("*").alias("__pages"))
+    counts = lines.groupBy("__host", "__key").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_pages)
+    common = counts.join(pages, "__host").where(F.col("__n") > max_share * F.col("__pages")).select("__key")
+    hits = lines.join(common, "__key", "left_semi").groupBy("__id").agg(F.collect_set("__key").alias("__drop"))
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("__drop", F.xxhash64(site, x))), "\n")
     text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(kept)
-    return rows.join(hits, "__row", "left").select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("__id")), "left").select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns))
 
 
 #: DuckDB SQL of the same rule over a view or subquery ``{docs}`` of documents.
