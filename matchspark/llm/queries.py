@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchspark.llm import decision_list, line_dedup, packing, quality_pu, secret_scan, simhash_near, sstable, toxicity_zstd, vector_topk
+from matchspark.llm import decision_list, line_dedup, packing, quality_pu, secret_scan, sentencepiece_codec, simhash_near, sstable, toxicity_zstd, vector_topk
 from matchspark.session import table
 
 
@@ -66,8 +66,15 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_zstd.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of all documents and whether they decode to the text."""
+    import public_tokenizers
+
+    return sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_line_dedup, op2_exact_top_k, op4_quality_classifier, op5_simhash_near_dedup, op6_secret_scans, op7_best_fit_packing, op8_quality_rules, op9_toxicity, op10_sstable, pipeline]
+    named = [op1_line_dedup, op2_exact_top_k, op3_sentencepiece, op4_quality_classifier, op5_simhash_near_dedup, op6_secret_scans, op7_best_fit_packing, op8_quality_rules, op9_toxicity, op10_sstable, pipeline]
     return {f.__name__: f for f in named}
 
 

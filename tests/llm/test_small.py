@@ -135,3 +135,32 @@ def test_toxicity(spark):
     held = [i for i in range(400) if got[i].held_out]
     assert held and all(got[i].predicted == (i % 6 == 0) for i in held) and got[900].score == got[901].score == 0
     assert {r.predicted for r in toxicity_zstd.score_toxicity(docs, labels.limit(0)).collect()} == {0}
+
+
+def test_sentencepiece(spark):
+    from matchspark.llm import sentencepiece_codec as sp
+
+    codec = sp.codec(public_tokenizers.path("piece_bpe_32k.model"))
+    pieces = {n.encode(): s for i, (n, s) in enumerate(zip(codec.names, codec.scores)) if i > 2 and i not in codec.byte_of}
+
+    def brute(data):  # best score over all splits, by suffix
+        best, alone = [0.0] + [float("-inf")] * len(data), {c.encode() for c in data.decode()}
+        for end in range(1, len(data) + 1):
+            for at in range(max(0, end - 50), end):
+                if data[at:end] in pieces:
+                    best[end] = max(best[end], best[at] + pieces[data[at:end]])
+            for n in (1, 2, 3, 4):
+                if end >= n and best[end - n] > float("-inf") and data[end - n : end] in alone and data[end - n : end] not in pieces:
+                    best[end] = max(best[end], best[end - n] + codec.unknown)
+        return best[-1]
+
+    rng = random.Random(10)
+    texts = ["", " a  b ", "Hello  world \n x", "日本語 é 😀\U00012345"] + ["".join(rng.choice("theion  éß,\n語😀") for _ in range(rng.randint(1, 25))) for _ in range(150)]
+    for text in texts:
+        ids = codec.encode(text)
+        assert codec.decode(ids) == text
+        if text and not set(ids) & set(codec.byte_of):
+            assert sum(codec.scores[i] for i in ids) == brute((sp.MARK + text.replace(" ", sp.MARK)).encode())
+    docs = spark.createDataFrame([(1, None, 5), (2, texts[3], 6)], "doc_id long, text string, ids int")
+    rows = sp.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")).orderBy("doc_id").collect()
+    assert rows[0].n_ids == 0 and all(r.restored for r in rows)
