@@ -16,18 +16,18 @@ from matchspark.session import cut
 def _star(edges: DataFrame, keys: list[str], large: bool) -> DataFrame:
     """One step over edges (keys, u, v) with u > v."""
     if large:
-        both = edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        moved = both.where("v > u").join(lowest, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
-        return moved.where("u > v").distinct()
-    lowest = edges.groupBy(*keys, "u").agg(F.min("v").alias("m"))
-    moved = edges.join(lowest, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
-    own = lowest.select(*keys, "u", F.col("m").alias("v"))
-    return moved.where("u > v").unionByName(own).distinct()
+        both = edges.unionByName(edges.select(*keys, F.col("__v").alias("__u"), F.col("__u").alias("__v")))
+        lowest = both.groupBy(*keys, "__u").agg(F.least(F.min("__v"), F.first("__u")).alias("__low"))
+        moved = both.where("__v > __u").join(lowest, [*keys, "__u"]).select(*keys, F.col("__v").alias("__u"), F.col("__low").alias("__v"))
+        return moved.where("__u > __v").distinct()
+    lowest = edges.groupBy(*keys, "__u").agg(F.min("__v").alias("__low"))
+    moved = edges.join(lowest, [*keys, "__u"]).select(*keys, F.col("__v").alias("__u"), F.col("__low").alias("__v"))
+    own = lowest.select(*keys, "__u", F.col("__low").alias("__v"))
+    return moved.where("__u > __v").unionByName(own).distinct()
 
 
 def _state(edges: DataFrame, keys: list[str]) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)"))).first()
+    row = edges.agg(F.count("*"), F.sum(F.xxhash64(*keys, "__u", "__v").cast("decimal(38,0)"))).first()
     return tuple(row)
 
 
@@ -41,7 +41,7 @@ def connected_components(edges: DataFrame, keys: list[str] | None = None, max_ro
     keys = keys or []
     links = (
         edges.where("src is not null and dst is not null and src <> dst")
-        .select(*keys, F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
+        .select(*keys, F.greatest("src", "dst").alias("__u"), F.least("src", "dst").alias("__v"))
         .distinct()
     )
     links = cut(links)
@@ -55,6 +55,6 @@ def connected_components(edges: DataFrame, keys: list[str] | None = None, max_ro
             before = after
         else:
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    members = links.select(*keys, F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = links.select(*keys, F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    members = links.select(*keys, F.col("__u").alias("node"), F.col("__v").alias("component"))
+    roots = links.select(*keys, F.col("__v").alias("node"), F.col("__v").alias("component")).distinct()
     return members.unionByName(roots)
