@@ -33,7 +33,10 @@ class ChunkIds(dict):
         self.mark = tokenizer.encode(" |", add_special_tokens=False).ids
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        return self.numbers(text).tobytes()
+
+    def numbers(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
 
     def learn(self, chunks: set[str]) -> None:
         new = chunks.difference(self)
@@ -44,9 +47,9 @@ class ChunkIds(dict):
             new = chunks
         whole, parted = {}, []
         for chunk in new:
-            base = chunk.rstrip(TAIL)
+            base = chunk if chunk.isalpha() else chunk.rstrip(TAIL)
             low = base.lower() if self.lower and base.isascii() else base
-            if base.isalpha() and base.lower().isalpha():
+            if base.isalpha() and (base.isascii() or base.lower().isalpha()):
                 if low not in self:
                     whole[low] = None
                 if chunk != low:
@@ -61,7 +64,7 @@ class ChunkIds(dict):
         if len(self.mark) != 1 or not words:
             return [self.encode(self.lead + word) for word in words]
         text = self.lead + f" |{self.lead or ' '}".join(words)
-        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2")
+        ids = self.numbers(text)
         ends = np.flatnonzero(ids == self.mark[0]).tolist() + [len(ids)]
         raw, starts = ids.tobytes(), [0] + [x + 1 for x in ends[:-1]]
         return [raw[2 * x : 2 * y] for x, y in zip(starts, ends, strict=True)]
@@ -106,7 +109,7 @@ class TextEncoder:
         """The ids as little-endian unsigned 16-bit bytes."""
         return self.batch([text])[0]
 
-    def batch(self, texts: list[str | None], group: int = 200) -> list[bytes]:
+    def batch(self, texts: list[str | None], group: int = 2000) -> list[bytes]:
         """The ids of each text; ``group`` texts are taken together to meet new words."""
         out = []
         for i in range(0, len(texts), group):

@@ -169,7 +169,7 @@ class Shard:
         return found
 
 
-def shard_writer(path: str, tokenizer: str, end_id: int, group: int = 500):
+def shard_writer(path: str, tokenizer: str, end_id: int, group: int = 2000):
     """A mapInArrow function over rows (doc_id, text) sorted by doc_id: one shard for each task.
 
     A retried or repeated attempt writes a file of its own name; the row that the attempt
