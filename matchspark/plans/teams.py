@@ -1,0 +1,168 @@
+"""Named queries over team intervals, lives, chests and trajectories, as SQL both engines run.
+
+Team intervals are derived from the spawns of the match log: the team is the parity of a
+spawn's x, and an interval lasts until the player's next spawn that changes it.
+"""
+
+from __future__ import annotations
+
+#: Team intervals ``match_id, player_id, team_segment_id, team, start_timestamp, end_timestamp`` (open at the end).
+TEAMS = """teams AS (
+ SELECT match_id, player_id, row_id AS team_segment_id, team, t AS start_timestamp,
+  lead(t) OVER (PARTITION BY match_id, player_id ORDER BY t, row_id) AS end_timestamp
+ FROM (SELECT s.*, lag(team) OVER (PARTITION BY match_id, player_id ORDER BY t, row_id) AS before FROM (
+  SELECT match_id, player_id, row_id, t, CASE WHEN abs(x) % 2 = 0 THEN 'red' ELSE 'blue' END AS team FROM match_log WHERE event_type = 2) s) c
+ WHERE before IS NULL OR before <> team)"""
+
+#: A match of the log stands on a map of the map table.
+STAGED = "staged AS (SELECT l.*, map_slug FROM match_log l JOIN maps m ON l.match_id % 40 = m.map_id)"
+
+_HELD = "{e}.match_id = {s}.match_id AND {e}.{who} = {s}.player_id AND {e}.t >= {s}.start_timestamp AND ({s}.end_timestamp IS NULL OR {e}.t {op} {s}.end_timestamp)"
+
+
+def held(e: str, s: str, who: str = "player_id", right_closed: bool = False) -> str:
+    """The valid-time join condition of events ``e`` to intervals ``s``; half-open unless ``right_closed``."""
+    return _HELD.format(e=e, s=s, who=who, op="<=" if right_closed else "<")
+
+
+#: Query name -> (inputs by name, tables, SQL).
+QUERIES: dict[str, tuple[list[str], str, str]] = {
+    "j4_events_with_team_closed": (
+        ["log", "teams"],
+        "events",
+        f"SELECT e.match_id, e.row_id, e.player_id, e.t, s.team FROM match_log e LEFT JOIN teams s ON {held('e', 's', right_closed=True)} WHERE e.event_type IN (3, 4)",
+    ),
+    "q4b_events_with_team": (
+        ["log", "teams"],
+        "events",
+        f"SELECT e.match_id, e.row_id, e.player_id, e.event_type, e.t, s.team, e.victim_id FROM match_log e LEFT JOIN teams s ON {held('e', 's')} WHERE e.event_type IN (3, 4)",
+    ),
+    "q4c_friendly_fire": (
+        ["log", "teams"],
+        "events",
+        f"SELECT e.match_id, e.row_id, e.player_id AS killer, e.victim_id AS victim, k.team, e.t FROM match_log e JOIN teams k ON {held('e', 'k')} JOIN teams v ON {held('e', 'v', 'victim_id')} WHERE e.event_type = 3 AND k.team = v.team",
+    ),
+    "q4d_team_kills_deaths": (
+        ["log", "maps", "staged", "teams"],
+        "events customer",
+        f"SELECT map_slug, team, sum(CASE WHEN event_type = 3 THEN 1 ELSE 0 END) AS kills, sum(CASE WHEN event_type = 4 THEN 1 ELSE 0 END) AS deaths FROM staged e LEFT JOIN teams s ON {held('e', 's')} WHERE event_type IN (3, 4) GROUP BY map_slug, team",
+    ),
+    "q2b_team_distribution": (
+        ["log", "teams", "maps"],
+        "events customer",
+        "SELECT map_slug, team, count(*) AS segments, count(DISTINCT player_id) AS players FROM teams s JOIN maps m ON s.match_id % 40 = m.map_id GROUP BY map_slug, team",
+    ),
+    "q2c_overlapping_segments": (
+        ["log", "teams"],
+        "events",
+        "SELECT match_id, player_id, team_segment_id, team FROM (SELECT s.*, max(coalesce(end_timestamp, 9999999999)) OVER (PARTITION BY match_id, player_id ORDER BY start_timestamp, team_segment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM teams s) w WHERE start_timestamp < reach",
+    ),
+    "q2d_team_switchers": (
+        ["log", "teams"],
+        "events",
+        "SELECT match_id, player_id, count(*) AS team_segments, count(DISTINCT team) AS n_teams, min(start_timestamp) AS first_start FROM teams GROUP BY match_id, player_id HAVING count(DISTINCT team) > 1",
+    ),
+    "j7_first_team": (
+        ["log", "teams"],
+        "events",
+        "SELECT match_id, player_id, team FROM (SELECT s.*, row_number() OVER (PARTITION BY match_id, player_id ORDER BY start_timestamp, team_segment_id) AS rn FROM teams s) r WHERE rn = 1",
+    ),
+    "q2e_matches_without_teams": (
+        ["log", "teams"],
+        "events",
+        "SELECT DISTINCT match_id, player_id FROM match_log e WHERE NOT EXISTS (SELECT 1 FROM teams s WHERE s.match_id = e.match_id AND s.player_id = e.player_id)",
+    ),
+    "a11_wool_objectives": (
+        ["log", "teams"],
+        "events",
+        f"SELECT DISTINCT e.match_id, e.wool_id, s.team FROM match_log e JOIN teams s ON {held('e', 's', right_closed=True)} WHERE e.event_type = 7",
+    ),
+    "a32_attacking_team": (
+        ["log", "teams"],
+        "events",
+        f"SELECT match_id, wool_id, team FROM (SELECT e.match_id, e.wool_id, s.team, row_number() OVER (PARTITION BY e.match_id, e.wool_id ORDER BY e.t, e.row_id, s.team_segment_id) AS rn FROM match_log e JOIN teams s ON {held('e', 's')} WHERE e.event_type = 7) r WHERE rn = 1",
+    ),
+    "w14_first_capture": (
+        ["log", "teams"],
+        "events",
+        f"SELECT match_id, team, wool_id, t FROM (SELECT e.match_id, e.wool_id, e.t, s.team, row_number() OVER (PARTITION BY e.match_id, s.team ORDER BY e.t, e.row_id) AS rn FROM match_log e JOIN teams s ON {held('e', 's')} WHERE e.event_type = 7) r WHERE rn = 1",
+    ),
+    "w13_objective_rank": (
+        ["log"],
+        "events",
+        "SELECT match_id, wool_id, captured_at, row_number() OVER (PARTITION BY match_id ORDER BY coalesce(captured_at, 1000000000), wool_id) AS capture_rank FROM (SELECT match_id, wool_id, min(CASE WHEN event_type = 7 THEN t END) AS captured_at FROM match_log WHERE event_type IN (6, 7) GROUP BY match_id, wool_id) o",
+    ),
+    "w9_sampling_gap": (
+        ["log"],
+        "events",
+        "SELECT match_id, round(median(gap), 6) AS median_gap FROM (SELECT match_id, t - lag(t) OVER (PARTITION BY match_id, player_id ORDER BY t, row_id) AS gap FROM match_log WHERE event_type = 5) g WHERE gap > 0 AND gap < 30 GROUP BY match_id",
+    ),
+    "a2_log_interval": (
+        ["log"],
+        "events",
+        "SELECT match_id, CASE WHEN median(CASE WHEN gap > 0 THEN gap END) >= 4 THEN 5 ELSE 2 END AS log_interval FROM (SELECT match_id, t - lag(t) OVER (PARTITION BY match_id, player_id ORDER BY t, row_id) AS gap FROM match_log WHERE event_type = 5) g GROUP BY match_id",
+    ),
+    "a5_cell_transitions": (
+        ["log"],
+        "events",
+        "SELECT match_id, least(c, p) AS cell_a, greatest(c, p) AS cell_b, count(*) AS transitions FROM (SELECT match_id, c, lag(c) OVER (PARTITION BY match_id, player_id ORDER BY t, row_id) AS p FROM (SELECT m.*, CAST(floor((x + 32) / 5.0) * 100 + floor((z + 32) / 5.0) AS INT) AS c FROM match_log m WHERE event_type = 5 AND y > 0) n) v WHERE p IS NOT NULL AND p <> c GROUP BY 1, 2, 3",
+    ),
+    "w5_cell_runs": (
+        ["log"],
+        "events",
+        "SELECT match_id, player_id, run, min(c) AS cell, min(t) AS entry_timestamp, max(t) AS exit_timestamp, count(*) AS ticks FROM (SELECT v.*, sum(CASE WHEN c = p THEN 0 ELSE 1 END) OVER (PARTITION BY match_id, player_id ORDER BY t, row_id ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT n.*, lag(c) OVER (PARTITION BY match_id, player_id ORDER BY t, row_id) AS p FROM (SELECT m.*, CAST(floor((x + 32) / 16.0) * 100 + floor((z + 32) / 16.0) AS INT) AS c FROM match_log m WHERE event_type = 5) n) v) r GROUP BY match_id, player_id, run",
+    ),
+    "a9_wool_locations": (
+        ["log", "firsts"],
+        "events",
+        "SELECT c.wool_id, round(median(f.x), 6) AS x, round(median(f.z), 6) AS z, count(*) AS first_touch_count FROM (SELECT wool_id, median(x) AS mx, median(z) AS mz FROM firsts GROUP BY wool_id) c JOIN firsts f ON c.wool_id = f.wool_id AND abs(f.x - mx) + abs(f.z - mz) <= 24 GROUP BY c.wool_id",
+    ),
+    "a42_kill_distance": (
+        ["log"],
+        "events",
+        "SELECT k.match_id, count(*) AS pairs, round(avg(sqrt(power(k.x - d.x, 2) + power(k.z - d.z, 2))), 6) AS mean_distance, round(max(sqrt(power(k.x - d.x, 2) + power(k.z - d.z, 2))), 6) AS max_distance FROM match_log k JOIN match_log d ON k.match_id = d.match_id AND k.victim_id = d.player_id AND k.t = d.t WHERE k.event_type = 3 AND d.event_type = 4 GROUP BY k.match_id",
+    ),
+    "q5c_orphans": (
+        ["log", "matches"],
+        "events orders",
+        "SELECT kind, count(*) AS orphans FROM (SELECT match_id, CASE WHEN event_type IN (3, 4) THEN 'combat_events' WHEN event_type = 5 THEN 'position_events' ELSE 'wool_events' END AS kind FROM match_log WHERE event_type <> 2) e WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.match_id = e.match_id) GROUP BY kind",
+    ),
+    "q1e_unprocessed_matches": (["matches", "maps"], "orders customer", "SELECT match_id, map_slug FROM matches x JOIN maps m ON x.map_id = m.map_id WHERE NOT processed"),
+    "q5f_duplicate_matches": (["matches"], "orders", "SELECT map_id, match_start, count(*) AS dupes FROM matches GROUP BY map_id, match_start HAVING count(*) > 1"),
+    "q9b_zone_materials": (["chests"], "lineitem part", "SELECT map_id, item_id, sum(cnt) AS total_items FROM chests WHERE zone = 'R' GROUP BY map_id, item_id"),
+    "q9c_defence_density": (
+        ["chests"],
+        "lineitem part",
+        "SELECT map_id, count(DISTINCT CASE WHEN zone = 'R' THEN chest_id END) AS defence_chests, coalesce(sum(CASE WHEN zone = 'R' THEN cnt END), 0) AS defence_items, count(DISTINCT CASE WHEN zone = 'A' THEN chest_id END) AS wool_chests, round(CAST(sum(CASE WHEN zone = 'R' THEN cnt END) AS DOUBLE) / nullif(count(DISTINCT CASE WHEN zone = 'A' THEN chest_id END), 0), 6) AS items_per_wool FROM chests GROUP BY map_id",
+    ),
+    "q9e_maps_without_defence": (
+        ["chests"],
+        "lineitem part",
+        "SELECT map_id, count(DISTINCT chest_id) AS total_chests FROM chests c WHERE NOT EXISTS (SELECT 1 FROM chests d WHERE d.map_id = c.map_id AND d.category = 'Brand#11' AND d.zone = 'R') GROUP BY map_id",
+    ),
+    "a14_chest_categories": (
+        ["chests"],
+        "lineitem part",
+        "SELECT map_id, chest_id, CASE WHEN steel > 0 THEN 'combat' WHEN brass > 0 THEN 'weapon' WHEN tin > 0 THEN 'supply' ELSE 'defence' END AS content_category FROM (SELECT map_id, chest_id, max(CASE WHEN item_id LIKE '%STEEL%' THEN 1 ELSE 0 END) AS steel, max(CASE WHEN item_id LIKE '%BRASS%' THEN 1 ELSE 0 END) AS brass, max(CASE WHEN item_id LIKE '%TIN%' THEN 1 ELSE 0 END) AS tin FROM chests GROUP BY map_id, chest_id) f",
+    ),
+    "a41_match_thresholds": (
+        ["matches", "maps"],
+        "orders customer",
+        "SELECT coalesce(size_tier, 'ALL') AS tier, count(*) AS maps, count(*) FILTER (WHERE n >= 1) AS n1, count(*) FILTER (WHERE n >= 5) AS n5, count(*) FILTER (WHERE n >= 10) AS n10, count(*) FILTER (WHERE n >= 20) AS n20 FROM (SELECT m.map_id, size_tier, count(x.match_id) AS n FROM maps m LEFT JOIN matches x ON m.map_id = x.map_id GROUP BY m.map_id, size_tier) c GROUP BY ROLLUP (size_tier)",
+    ),
+    "a39_daily_summary": (["matches"], "orders", "SELECT CAST(match_start AS DATE) AS day, count(*) AS n_matches, count(DISTINCT map_id) AS n_maps FROM matches GROUP BY 1"),
+    "l7_vertical_density": (["blocks"], "lineitem", "SELECT map_id, x, z, count(*) AS n_blocks, max(y) - min(y) + 1 AS height, round(CAST(count(*) AS DOUBLE) / (max(y) - min(y) + 1), 6) AS density FROM blocks WHERE block_id <> 0 GROUP BY map_id, x, z"),
+    "w18_longest_row_run": (
+        ["blocks"],
+        "lineitem",
+        "SELECT map_id, z, max(n) AS longest FROM (SELECT map_id, z, run, count(*) AS n FROM (SELECT map_id, z, x, x - row_number() OVER (PARTITION BY map_id, z ORDER BY x) AS run FROM (SELECT DISTINCT map_id, z, x FROM blocks WHERE block_id < 3) d) r GROUP BY map_id, z, run) g GROUP BY map_id, z",
+    ),
+    "a22_terrain_clearance": (
+        ["log", "blocks"],
+        "events lineitem",
+        "SELECT p.map_id, p.x, p.z, max(p.y - (surface_y + 1)) AS max_clearance, min(p.y - (surface_y + 1)) AS min_clearance, count(*) AS n FROM (SELECT match_id % 5 AS map_id, x, y, z FROM match_log WHERE event_type = 5) p JOIN (SELECT map_id, x, z, max(y) AS surface_y FROM blocks WHERE block_id NOT IN (0, 36) GROUP BY map_id, x, z) s ON p.map_id = s.map_id AND p.x = s.x AND p.z = s.z GROUP BY p.map_id, p.x, p.z",
+    ),
+}
+
+#: First touch of each wool and match.
+FIRSTS = "firsts AS (SELECT match_id, wool_id, x, z FROM (SELECT m.*, row_number() OVER (PARTITION BY match_id, wool_id ORDER BY t, row_id) AS rn FROM match_log m WHERE event_type = 6) r WHERE rn = 1)"
