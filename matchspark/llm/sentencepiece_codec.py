@@ -3,7 +3,8 @@
 Text is used as it is: spaces become the marker U+2581 and one marker goes before the
 text. No piece crosses from other characters into a marker, so the best path of a text is
 that of its segments (markers and what follows them), and each segment is solved once in
-a process. Characters without a piece fall back to their UTF-8 bytes.
+a process. The new segments of a batch are solved side by side: one array step advances
+all their trie states. Characters without a piece fall back to their UTF-8 bytes.
 """
 
 from __future__ import annotations
@@ -12,12 +13,15 @@ import re
 from array import array
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from matchspark.llm.text import crc_of_ids, per_row
+from matchspark.llm.text import crc_of_ids
 
 MARK = "▁"
+#: Segments of at most so many bytes are solved side by side and kept, so many in one table.
+SHORT, TABLE = 64, 8192
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -80,7 +84,11 @@ class Codec:
         self.unknown = min(self.scores[i] for i in plain) - 10
         if any(MARK in self.names[i].lstrip(MARK) for i in plain):
             raise ValueError("a piece crosses into a marker")
-        self.known: dict[str, list[int]] = {}
+        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.silent else self.names[i].encode() for i in range(n)]
+        spare = [-1] * 300  # no state's child, so steps behind a segment's end find nothing
+        self.base, self.check, self.value = (np.array([*x, *spare], np.int32) for x in (self.trie.base, self.trie.check, self.trie.value))
+        self.score_of = np.array(self.scores)
+        self.known: dict[str, bytes] = {}
         self.limit = limit
 
     def segment(self, text: str) -> list[int]:
@@ -111,22 +119,89 @@ class Codec:
             at = end
         return ids
 
-    def encode(self, text: str | None) -> list[int]:
-        out, known = [], self.known
-        for part in SEGMENT.findall(MARK + text.replace(" ", MARK)) if text else ():
-            ids = known.get(part)
-            if ids is None:
-                if len(known) >= self.limit:
-                    known.clear()
-                ids = self.segment(part)
-                if len(part) < 64:
-                    known[part] = ids
-            out += ids
+    def learn(self, segments: set[str]) -> None:
+        """Solve the segments that are not known; the short ones of like lengths together."""
+        new = segments.difference(self.known)
+        if len(self.known) + len(new) > self.limit:
+            self.known.clear()
+            new = segments
+        coded = sorted(((part.encode("utf-8", "surrogatepass"), part) for part in new), key=lambda x: len(x[0]))
+        for at in range(0, len(coded), TABLE):
+            some = coded[at : at + TABLE]
+            self.known.update(zip((part for _, part in some), self.side_by_side([data for data, _ in some]), strict=True))
+
+    def side_by_side(self, segments: list[bytes]) -> list[bytes]:
+        """Ids (int32 bytes) of segments in order of length, by the same rule as ``segment``."""
+        sizes = np.array([len(x) for x in segments])
+        most = int(sizes[-1])
+        codes = np.frombuffer(b"".join(x.ljust(most, b"\0") for x in segments), np.uint8).reshape(-1, most).T.astype(np.int32)
+        inner = codes & 0xC0 == 0x80
+        step = np.select([codes < 0x80, codes < 0xE0, codes < 0xF0], [1, 2, 3], 4)
+        codes[np.arange(most)[:, None] >= sizes] = 256
+        best = np.full((most + 1, len(segments)), -np.inf)
+        best[sizes, np.arange(len(segments))] = 0
+        piece, end_of = np.full((most, len(segments)), -1, np.int32), np.zeros((most, len(segments)), np.int32)
+        for at in range(most - 1, -1, -1):
+            here = np.flatnonzero((sizes > at) & ~inner[at])
+            walk, state, single = here, np.zeros(len(here), np.int32), np.zeros(len(segments), bool)
+            for end in range(at, most):
+                child = self.base[state] + codes[end, walk] + 1
+                found = self.check[child] == state
+                walk, state = walk[found], child[found]
+                if not len(walk):
+                    break
+                ends = self.value[state]
+                hit = ends >= 0
+                at_end, ends = walk[hit], ends[hit]
+                single[at_end[step[at, at_end] == end + 1 - at]] = True
+                score = self.score_of[ends] + best[end + 1, at_end]
+                better = score > best[at, at_end]
+                won = at_end[better]
+                best[at, won], piece[at, won], end_of[at, won] = score[better], ends[better], end + 1
+            alone = here[~single[here]]
+            after = at + step[at, alone]
+            score = self.unknown + best[after, alone]
+            better = score > best[at, alone]
+            won = alone[better]
+            best[at, won], piece[at, won], end_of[at, won] = score[better], -1, after[better]
+        at, every, path = np.zeros(len(segments), np.int32), np.arange(len(segments)), []
+        fallback, going = np.zeros(len(segments), bool), every
+        while len(going):
+            taken = np.full(len(segments), -2, np.int32)
+            taken[going] = piece[at[going], going]
+            fallback |= taken == -1
+            path.append(taken)
+            at[going] = end_of[at[going], going]
+            going = going[at[going] < sizes[going]]
+        table = np.array(path).T
+        raw, lengths, width = np.ascontiguousarray(table).tobytes(), (4 * (table >= 0).sum(axis=1)).tolist(), 4 * len(path)
+        out = [raw[i * width : i * width + n] for i, n in enumerate(lengths)]
+        for i in np.flatnonzero(fallback):
+            out[i] = np.array(self.segment(segments[i].decode("utf-8", "surrogatepass")), "<i4").tobytes()
         return out
 
+    def batch(self, texts: list[str | None], group: int = 1000) -> list[np.ndarray]:
+        """The ids of each text; ``group`` texts are taken together to meet new segments."""
+        out = []
+        for i in range(0, len(texts), group):
+            split = [SEGMENT.findall(MARK + text.replace(" ", MARK)) if text else [] for text in texts[i : i + group]]
+            every = set().union(*split)
+            far = [part for part in every if len(part) > SHORT // 4 and len(part.encode("utf-8", "surrogatepass")) > SHORT]
+            long = {part: np.array(self.segment(part), "<i4").tobytes() for part in far}
+            self.learn(every.difference(long))
+            known = self.known
+            for parts in split:
+                whole = not long or long.keys().isdisjoint(parts)
+                ids = b"".join(map(known.__getitem__, parts) if whole else (long[x] if x in long else known[x] for x in parts))
+                out.append(np.frombuffer(ids, "<i4"))
+        return out
+
+    def encode(self, text: str | None) -> list[int]:
+        return self.batch([text])[0].tolist()
+
     def decode(self, ids: list[int]) -> str:
         """Bytes join to UTF-8 (wrong ones become U+FFFD), markers to spaces; the first one goes."""
-        raw = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.silent else self.names[i].encode() for i in ids)
+        raw = b"".join(map(self.raw.__getitem__, ids))
         text = raw.decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text[:1] == " " else text
 
@@ -142,12 +217,19 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
 
     Null and empty texts have no ids and are restored as empty. Other columns are not read.
     """
-    import numpy as np
-
-    out = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("restored", pa.bool_())])
-
-    def one(doc_id, text):
-        ids = codec(path).encode(text)
-        return doc_id, ids, len(ids), crc_of_ids(np.array(ids, "<u4")), codec(path).decode(ids) == (text or "")
-
-    return docs.select("doc_id", "text").mapInArrow(per_row(["doc_id", "text"], out, one), "doc_id long, ids array<int>, n_ids long, ids_crc32 long, restored boolean")
+    names = ["doc_id", "ids", "n_ids", "ids_crc32", "restored"]
+
+    def run(batches):
+        model = codec(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                texts = part.column(1).to_pylist()
+                ids = model.batch(texts)
+                sizes = np.array([len(x) for x in ids])
+                lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(sizes)].astype("i4"), np.concatenate(ids))
+                same = [model.decode(x.tolist()) == (text or "") for x, text in zip(ids, texts, strict=True)]
+                cells = [part.column(0).cast(pa.int64()), lists, pa.array(sizes, pa.int64()), pa.array([crc_of_ids(x) for x in ids], pa.int64()), pa.array(same)]
+                yield pa.RecordBatch.from_arrays(cells, names=names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, n_ids long, ids_crc32 long, restored boolean")
