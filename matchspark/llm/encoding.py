@@ -24,17 +24,24 @@ class ChunkIds(dict):
     """Chunk -> its ids as little-endian unsigned 16-bit bytes; emptied when it holds ``limit``.
 
     ``lead`` is what stands before a chunk in its text. ``learn`` encodes the new chunks of
-    a batch together: words of letters joined by a mark that is always one id of its own.
+    a batch together: words of letters, told apart by the ids that begin or end a word.
     """
 
     def __init__(self, tokenizer, lead: str, lower: bool, limit: int = 1_200_000):
         super().__init__()
         self.tokenizer, self.lead, self.lower, self.limit = tokenizer, lead, lower, limit
-        self.mark = tokenizer.encode(" |", add_special_tokens=False).ids
+        glyph = tokenizer.encode(f"{lead}a", add_special_tokens=False).tokens[0].replace("a", "", 1)
+        self.edge = np.zeros(65_536, bool)
+        edges = [i for token, i in tokenizer.get_vocab().items() if (token.startswith(glyph) if lead else token.endswith(glyph))]
+        self.edge[edges if glyph else []] = True
 
     def encode(self, text: str) -> bytes:
         return self.numbers(text).tobytes()
 
+    def several(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+        return [np.array(x.ids, "<u2").tobytes() for x in found]
+
     def numbers(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
 
@@ -45,7 +52,7 @@ class ChunkIds(dict):
         if len(self) + len(new) > self.limit:
             self.clear()
             new = chunks
-        whole, parted = {}, []
+        whole, parted, odd = {}, [], []
         for chunk in new:
             base = chunk if chunk.isalpha() else chunk.rstrip(TAIL)
             low = base.lower() if self.lower and base.isascii() else base
@@ -55,19 +62,21 @@ class ChunkIds(dict):
                 if chunk != low:
                     parted.append((chunk, low, chunk[len(base) :]))
             else:
-                self[chunk] = self.encode(chunk if chunk[0] == "\n" else self.lead + chunk)
+                odd.append(chunk)
+        self.update(zip(odd, self.several([chunk if chunk[0] == "\n" else self.lead + chunk for chunk in odd]), strict=True))
         self.update(zip(whole, self.together(list(whole)), strict=True))
         tails = {tail: self.encode(tail) if tail else b"" for tail in {tail for _, _, tail in parted}}
         self.update((chunk, self[low] + tails[tail]) for chunk, low, tail in parted)
 
     def together(self, words: list[str]) -> list[bytes]:
-        if len(self.mark) != 1 or not words:
-            return [self.encode(self.lead + word) for word in words]
-        text = self.lead + f" |{self.lead or ' '}".join(words)
-        ids = self.numbers(text)
-        ends = np.flatnonzero(ids == self.mark[0]).tolist() + [len(ids)]
-        raw, starts = ids.tobytes(), [0] + [x + 1 for x in ends[:-1]]
-        return [raw[2 * x : 2 * y] for x, y in zip(starts, ends, strict=True)]
+        """Ids of words of letters: with a lead, one id of each begins it; else one id of each ends it."""
+        ids = self.numbers(self.lead + (self.lead or " ").join(words)) if words else np.zeros(0, "<u2")
+        at = np.flatnonzero(self.edge[ids])
+        if len(at) != len(words):
+            return self.several([self.lead + word for word in words])
+        starts, ends = (at, np.r_[at[1:], len(ids)]) if self.lead else (np.r_[0, at[:-1] + 1], at + 1)
+        raw = ids.tobytes()
+        return [raw[2 * x : 2 * y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)] if words else []
 
     def __missing__(self, chunk: str) -> bytes:
         self.learn({chunk})
@@ -116,6 +125,7 @@ class TextEncoder:
             part = [text or "" for text in texts[i : i + group]]
             split = [self.chunks(text) for text in part]
             self.words.learn(set().union(*(x[1] for x in split if x)))
+            self.first.learn({x[0] for x in split if x and x[0]})
             out += [self.joined(text, x) for text, x in zip(part, split, strict=True)]
         return out
 
