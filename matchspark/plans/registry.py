@@ -12,7 +12,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from matchspark.operators.sessions import life_segments
-from matchspark.plans import teams
+from matchspark.plans import teams, trajectories
 from matchspark.session import table
 
 FLAGSHIP = "q4a_life_outcomes"
@@ -78,8 +78,8 @@ SHARED: dict[str, tuple[list[str], str, str]] = {
     "a24_population_curve": ([MATCH_LOG], "events", "SELECT match_id, CAST(round(t / 60.0) AS INT) AS minute, count(DISTINCT player_id) AS players FROM match_log GROUP BY 1, 2"),
 }
 
-INPUTS = {"log": MATCH_LOG, "matches": MATCHES, "maps": MAPS, "chests": CHESTS, "blocks": BLOCKS, "teams": teams.TEAMS, "staged": teams.STAGED, "firsts": teams.FIRSTS}
-SHARED |= {name: ([INPUTS[i] for i in inputs], tables, sql) for name, (inputs, tables, sql) in teams.QUERIES.items()}
+INPUTS = {"log": MATCH_LOG, "matches": MATCHES, "maps": MAPS, "chests": CHESTS, "blocks": BLOCKS, "teams": teams.TEAMS, "staged": teams.STAGED, "firsts": teams.FIRSTS} | trajectories.INPUTS
+SHARED |= {name: ([INPUTS[i] for i in inputs], tables, sql) for name, (inputs, tables, sql) in (teams.QUERIES | trajectories.QUERIES).items()}
 
 
 def _views(spark: SparkSession, sf_dir: str, names: str) -> None:

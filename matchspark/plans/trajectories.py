@@ -1,0 +1,136 @@
+"""Named queries over samples of lives, grid cells and block layers, as SQL both engines run.
+
+Each window is partitioned by match and player, by match, or by block column, so that no
+partition grows with the number of matches; lives are numbered by a running count of
+spawns, which needs no join.
+"""
+
+from __future__ import annotations
+
+#: Events with the number of their life; a spawn comes before other events of its second, and -1 is before the first.
+LIVED = """lived AS (SELECT l.*, CAST(sum(CASE WHEN event_type = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY match_id, player_id
+  ORDER BY t, CASE WHEN event_type = 2 THEN 0 ELSE 1 END, row_id ROWS UNBOUNDED PRECEDING) - 1 AS INT) AS segment_idx,
+ CAST(floor(x / 5.0) * 5 AS INT) AS cx, CAST(floor(z / 5.0) * 5 AS INT) AS cz FROM match_log l)"""
+
+#: Position samples of lives in order, with what stands before each in its life.
+SAMPLES = """samples AS (SELECT s.*, lag(x) OVER life AS before_x, lag(z) OVER life AS before_z, lag(cx) OVER life AS before_cx, lag(cz) OVER life AS before_cz, lag(t) OVER life AS before_t
+ FROM lived s WHERE event_type = 5 AND segment_idx >= 0 WINDOW life AS (PARTITION BY match_id, player_id, segment_idx ORDER BY t, row_id))"""
+
+#: Spawns and deaths of one player paired by their order.
+SPANS = """spans AS (SELECT s.match_id, s.player_id, s.segment_idx, s.t AS start_timestamp, d.t AS end_timestamp FROM
+  (SELECT match_id, player_id, t, row_number() OVER (PARTITION BY match_id, player_id ORDER BY t, row_id) - 1 AS segment_idx FROM match_log WHERE event_type = 2) s
+ JOIN (SELECT match_id, player_id, t, row_number() OVER (PARTITION BY match_id, player_id ORDER BY t, row_id) - 1 AS segment_idx FROM match_log WHERE event_type = 4) d
+ ON s.match_id = d.match_id AND s.player_id = d.player_id AND s.segment_idx = d.segment_idx)"""
+
+#: Occupied cells of a match, numbered by their place.
+CELLS = """cells AS (SELECT match_id, cx, cz, count(*) AS occupation, CAST(row_number() OVER (PARTITION BY match_id ORDER BY cx, cz) AS INT) AS node_id
+ FROM samples GROUP BY match_id, cx, cz)"""
+
+#: The block ids that count as resources and their names.
+RESOURCES = """resources AS (SELECT * FROM (VALUES (35, 'wool'), (41, 'gold_block'), (42, 'iron_block'), (52, 'mob_spawner'), (57, 'diamond_block')) v (block_id, resource_type))"""
+
+INPUTS = {"resources": RESOURCES, "lived": LIVED, "samples": SAMPLES, "spans": SPANS, "cells": CELLS}
+_LIFE = ["log", "lived", "samples"]
+
+#: Query name -> (inputs by name, tables, SQL).
+QUERIES: dict[str, tuple[list[str], str, str]] = {
+    "j2_interval_lookup": (
+        ["log", "spans"],
+        "events",
+        "SELECT e.match_id, e.row_id, min(s.segment_idx) AS segment_idx FROM match_log e LEFT JOIN spans s ON e.match_id = s.match_id AND e.player_id = s.player_id AND e.t >= s.start_timestamp AND e.t <= s.end_timestamp WHERE e.event_type IN (3, 6, 7) GROUP BY e.match_id, e.row_id",
+    ),
+    "w1_player_ordinal": (["log"], "events", "SELECT match_id, player_id, row_id, row_number() OVER (PARTITION BY match_id, player_id, event_type ORDER BY t, row_id) - 1 AS ordinal FROM match_log WHERE event_type IN (2, 4)"),
+    "w3_last_position": (
+        _LIFE,
+        "events",
+        "SELECT match_id, player_id, segment_idx, t, x, y, z FROM (SELECT s.*, row_number() OVER (PARTITION BY match_id, player_id, segment_idx ORDER BY t DESC, row_id DESC) AS rn FROM samples s) r WHERE rn = 1",
+    ),
+    "w8_previous_cell": (_LIFE, "events", "SELECT match_id, player_id, segment_idx, row_id, cx, cz, before_cx, before_cz, t - before_t AS dt FROM samples"),
+    "w22_deduplicated_cells": (_LIFE, "events", "SELECT match_id, player_id, segment_idx, row_id, cx, cz FROM samples WHERE before_cx IS NULL OR before_cx <> cx OR before_cz <> cz"),
+    "w12_event_share": (["log"], "events", "SELECT event_type, n, round(CAST(100 AS DOUBLE) * n / sum(n) OVER (), 6) AS pct FROM (SELECT event_type, count(*) AS n FROM match_log GROUP BY event_type) c"),
+    "w15_climbs": (
+        _LIFE,
+        "events",
+        """SELECT match_id, player_id, segment_idx, row_id, t, low_t FROM (
+ SELECT r.*, max(CASE WHEN y >= 40 THEN t END) OVER (PARTITION BY match_id, player_id, segment_idx ORDER BY t, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high_t FROM (
+  SELECT s.*, max(CASE WHEN y <= 20 THEN t END) OVER (PARTITION BY match_id, player_id, segment_idx ORDER BY t, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low_t FROM samples s) r) h
+ WHERE y >= 40 AND low_t IS NOT NULL AND t - low_t <= 90 AND (high_t IS NULL OR high_t < low_t)""",
+    ),
+    "w21_cumulative_share": (
+        [*_LIFE, "cells"],
+        "events",
+        "SELECT match_id, node_id, occupation, round(CAST(1 AS DOUBLE) * sum(occupation) OVER (PARTITION BY match_id ORDER BY occupation DESC, node_id ROWS UNBOUNDED PRECEDING) / sum(occupation) OVER (PARTITION BY match_id), 9) AS share FROM cells",
+    ),
+    "a6_life_path": (
+        _LIFE,
+        "events",
+        """SELECT match_id, player_id, segment_idx, samples, unique_cells, round(path, 6) AS path, round(span, 6) AS span, round(path / greatest(span, 1.0), 6) AS tortuosity FROM (
+ SELECT match_id, player_id, segment_idx, count(*) AS samples, count(DISTINCT 100000 * cx + cz) AS unique_cells,
+  sum(coalesce(sqrt(CAST((x - before_x) * (x - before_x) + (z - before_z) * (z - before_z) AS DOUBLE)), 0.0)) AS path,
+  sqrt(CAST((max(x) - min(x)) * (max(x) - min(x)) + (max(z) - min(z)) * (max(z) - min(z)) AS DOUBLE)) AS span FROM samples GROUP BY match_id, player_id, segment_idx) f WHERE samples >= 4""",
+    ),
+    "a8_life_height": (_LIFE, "events", "SELECT match_id, player_id, segment_idx, round(avg(y), 9) AS mean_y, round(avg(CASE WHEN y >= 22 THEN 1 ELSE 0 END), 9) AS high_share FROM samples GROUP BY match_id, player_id, segment_idx HAVING count(*) >= 4"),
+    "a16_block_ids": (["blocks"], "lineitem", "SELECT DISTINCT map_id, block_id FROM blocks"),
+    "a17_surface_blocks": (["blocks"], "lineitem", "SELECT map_id, count(*) AS surface_blocks FROM (SELECT map_id, x, z FROM blocks WHERE block_id NOT IN (0, 36) GROUP BY map_id, x, z) s GROUP BY map_id"),
+    "a19_excavation": (
+        ["log", "maps", "staged"],
+        "events customer",
+        "SELECT map_slug, x, z, min(low) AS lowest, max(low) - min(low) AS floor_range, count(*) AS matches FROM (SELECT map_slug, match_id, x, z, min(y) AS low FROM staged WHERE event_type = 5 GROUP BY map_slug, match_id, x, z) f GROUP BY map_slug, x, z",
+    ),
+    "a23_dominant_event": (
+        ["log", "lived"],
+        "events",
+        "SELECT match_id, cx, cz, event_type, n FROM (SELECT c.*, row_number() OVER (PARTITION BY match_id, cx, cz ORDER BY n DESC, event_type) AS rn FROM (SELECT match_id, cx, cz, event_type, count(*) AS n FROM lived GROUP BY match_id, cx, cz, event_type) c) r WHERE rn = 1",
+    ),
+    "a29_sky_cells": (_LIFE, "events", "SELECT match_id, cx, cz, count(*) AS n, count(DISTINCT player_id) AS players FROM samples WHERE y >= 40 GROUP BY match_id, cx, cz HAVING count(*) >= 3"),
+    "a35_depth_series": (
+        _LIFE,
+        "events",
+        """SELECT p.match_id, p.minute, round(mean_depth, 6) AS mean_depth, round(sd_depth, 6) AS sd_depth, coalesce(deaths, 0) AS deaths FROM (
+ SELECT match_id, CAST(floor(t / 60.0) AS INT) AS minute, avg(depth) AS mean_depth, stddev_samp(depth) AS sd_depth FROM (
+  SELECT match_id, t, greatest(0.0, least(1.0, 1.0 - sqrt(CAST(x * x + z * z AS DOUBLE)) / 45.0)) AS depth FROM samples) d GROUP BY 1, 2) p
+ LEFT JOIN (SELECT match_id, CAST(floor(t / 60.0) AS INT) AS minute, count(*) AS deaths FROM match_log WHERE event_type = 4 GROUP BY 1, 2) k ON p.match_id = k.match_id AND p.minute = k.minute""",
+    ),
+    "a36_top_player": (
+        ["log"],
+        "events",
+        "SELECT match_id, player_id, kills FROM (SELECT k.*, row_number() OVER (PARTITION BY match_id ORDER BY kills DESC, player_id) AS rn FROM (SELECT match_id, player_id, count(*) AS kills FROM match_log WHERE event_type = 3 GROUP BY match_id, player_id) k) r WHERE rn = 1",
+    ),
+    "l1_ground_layer": (["blocks"], "lineitem", "SELECT map_id, x, z, block_id FROM blocks WHERE y = 0 AND block_id <> 0"),
+    "l4_lowest_bedrock": (["blocks"], "lineitem", "SELECT map_id, x, z, min(y) AS y FROM blocks WHERE block_id = 7 GROUP BY map_id, x, z"),
+    "l7_resource_blocks": (
+        ["blocks", "resources"],
+        "lineitem",
+        "SELECT map_id, x, y, z, resource_type FROM blocks JOIN resources USING (block_id)",
+    ),
+    "w19_longest_column_run": (
+        ["blocks"],
+        "lineitem",
+        "SELECT map_id, x, z, max(n) AS longest FROM (SELECT map_id, x, z, run, count(*) AS n FROM (SELECT map_id, x, z, y - row_number() OVER (PARTITION BY map_id, x, z ORDER BY y) AS run FROM blocks WHERE block_id <> 0) r GROUP BY map_id, x, z, run) g GROUP BY map_id, x, z",
+    ),
+    "g11_cell_adjacency": (
+        [*_LIFE, "cells"],
+        "events",
+        "SELECT a.match_id, a.node_id AS src, b.node_id AS dst FROM cells a JOIN cells b ON a.match_id = b.match_id AND a.cx + 5 = b.cx AND a.cz = b.cz UNION ALL SELECT a.match_id, a.node_id, b.node_id FROM cells a JOIN cells b ON a.match_id = b.match_id AND a.cx = b.cx AND a.cz + 5 = b.cz",
+    ),
+    "g17_team_distances": (
+        ["log", "teams", "centres"],
+        "events",
+        "SELECT a.match_id, a.team, b.team AS other, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z)), 6) AS distance FROM centres a JOIN centres b ON a.match_id = b.match_id AND a.team <> b.team",
+    ),
+    "g21_team_segments": (["log", "teams"], "events", "SELECT match_id, player_id, team, start_timestamp, end_timestamp FROM teams"),
+    "q0a_maps": (["maps"], "customer", "SELECT map_id, map_slug FROM maps"),
+    "q1b_map_sampling_gap": (
+        ["log", "maps", "staged"],
+        "events customer",
+        "SELECT map_slug, match_id, median(gap) AS median_gap FROM (SELECT map_slug, match_id, t - lag(t) OVER (PARTITION BY match_id, player_id ORDER BY t, row_id) AS gap FROM staged WHERE event_type = 5) g WHERE gap > 0 AND gap < 30 GROUP BY map_slug, match_id",
+    ),
+    "q1c_matches": (["matches", "maps"], "orders customer", "SELECT match_id, m.map_id, map_slug, match_duration, player_count, processed FROM matches x JOIN maps m ON x.map_id = m.map_id"),
+    "q1f_row_counts": (["log", "matches", "maps", "chests"], "events orders customer lineitem part", "SELECT 'match_log' AS name, count(*) AS n FROM match_log UNION ALL SELECT 'matches', count(*) FROM matches UNION ALL SELECT 'maps', count(*) FROM maps UNION ALL SELECT 'chests', count(*) FROM chests"),
+    "q1g_spawns": (["log", "maps", "staged"], "events customer", "SELECT map_slug, x, z, count(*) AS n FROM staged WHERE event_type = 2 GROUP BY map_slug, x, z"),
+    "q5g_players_without_spawns": (["log"], "events", "SELECT match_id, player_id, count(*) AS n FROM match_log GROUP BY match_id, player_id HAVING count(*) FILTER (WHERE event_type = 2) = 0"),
+    "q6a_marker_share": (["blocks"], "lineitem", "SELECT map_id, count(*) AS n, round(CAST(100 AS DOUBLE) * count(*) FILTER (WHERE block_id = 36) / count(*), 6) AS pct FROM blocks WHERE y = 0 GROUP BY map_id"),
+}
+
+#: Mean spawn of each team.
+INPUTS["centres"] = """centres AS (SELECT s.match_id, s.team, avg(l.x) AS x, avg(l.z) AS z FROM teams s JOIN match_log l ON l.match_id = s.match_id AND l.row_id = s.team_segment_id GROUP BY s.match_id, s.team)"""
