@@ -11,9 +11,10 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from matchspark.operators.paths import largest_component, shortest_distances
 from matchspark.operators.sessions import life_segments
 from matchspark.plans import teams, trajectories
-from matchspark.session import table
+from matchspark.session import cut, table
 
 FLAGSHIP = "q4a_life_outcomes"
 EPOCH = {"spark": "unix_micros(CAST(ts AS TIMESTAMP))/1000000.0", "duckdb": "epoch(ts)"}
@@ -106,9 +107,44 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lives(spark, sf_dir).groupBy("outcome").agg({"*": "count"}).withColumnRenamed("count(1)", "n")
 
 
+#: Cells of a match with two samples or more, numbered in the order of their place.
+BUSY = ["log", "lived", "samples", "cells"]
+NODES = "SELECT match_id, CAST(node_id AS BIGINT) AS node, cx, cz FROM cells WHERE occupation >= 2"
+
+
+def busy_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Busy cells and the links between cells that touch along a side, 5 blocks long."""
+    _views(spark, sf_dir, "events")
+    nodes = cut(spark.sql(f"WITH {', '.join(INPUTS[i] for i in BUSY)} {NODES}".replace("{ep}", EPOCH["spark"])))
+    steps = nodes.selectExpr("match_id", "node AS src", "inline(array(struct(cx + 5 AS cx, cz AS cz), struct(cx AS cx, cz + 5 AS cz)))")
+    edges = steps.join(nodes, ["match_id", "cx", "cz"]).selectExpr("match_id", "src", "node AS dst", "5.0D AS weight")
+    return nodes.select("match_id", "node"), edges
+
+
+def busy_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return largest_component(*busy_graph(spark, sf_dir), "match_id")
+
+
+def busy_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = busy_graph(spark, sf_dir)
+    return shortest_distances(nodes.groupBy("match_id").agg({"node": "min"}).toDF("match_id", "node"), edges, "match_id")
+
+
+BUSY_WALK = f"""WITH RECURSIVE {{inputs}}, nodes AS MATERIALIZED ({NODES}), edges AS MATERIALIZED (SELECT a.match_id, a.node AS src, b.node AS dst FROM nodes a JOIN nodes b
+ ON a.match_id = b.match_id AND abs(a.cx - b.cx) + abs(a.cz - b.cz) = 5)"""
+BUSY_SQL = {
+    "g2_largest_component": BUSY_WALK + """, walk AS (SELECT match_id, node, node AS root FROM nodes UNION SELECT e.match_id, e.dst, w.root FROM walk w JOIN edges e ON w.match_id = e.match_id AND w.node = e.src),
+ named AS (SELECT match_id, node, min(root) AS component FROM walk GROUP BY 1, 2), sized AS (SELECT match_id, component, count(*) AS size FROM named GROUP BY 1, 2),
+ best AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY size DESC, component) AS rn FROM sized)
+ SELECT n.match_id, n.node, n.component, b.size FROM named n JOIN best b ON n.match_id = b.match_id AND n.component = b.component WHERE rn = 1""",
+    "g6_shortest_distances": BUSY_WALK + """, walk AS (SELECT match_id, min(node) AS node, 0 AS hops FROM nodes GROUP BY match_id UNION SELECT e.match_id, e.dst, w.hops + 1 FROM walk w JOIN edges e ON w.match_id = e.match_id AND w.node = e.src WHERE w.hops < 200)
+ SELECT match_id, node, CAST(5 * min(hops) AS DOUBLE) AS distance FROM walk GROUP BY match_id, node""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> function of (spark, folder of tables)."""
-    return {"a1_life_segments": lives, FLAGSHIP: outcomes} | {name: partial(_shared, name) for name in SHARED}
+    return {"a1_life_segments": lives, FLAGSHIP: outcomes, "g2_largest_component": busy_component, "g6_shortest_distances": busy_distances} | {name: partial(_shared, name) for name in SHARED}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -117,5 +153,6 @@ def oracle_sql() -> dict[str, str]:
         "a1_life_segments": f"WITH {MATCH_LOG}, {LIVES} SELECT * FROM lives",
         FLAGSHIP: f"WITH {MATCH_LOG}, {LIVES} SELECT outcome, count(*) AS n FROM lives GROUP BY outcome",
     }
+    own |= {name: sql.replace("{inputs}", ", ".join(INPUTS[i] for i in BUSY)) for name, sql in BUSY_SQL.items()}
     shared = {name: f"WITH {', '.join(inputs)} {sql}" for name, (inputs, _, sql) in SHARED.items()}
     return {k: v.replace("{ep}", EPOCH["duckdb"]) for k, v in (own | shared).items()}
