@@ -200,9 +200,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = connected_components(near_links(distinct)).select(F.col("node").alias("rep"), "component")
     named = distinct.join(labels, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates: the one whose doc_id names it."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
