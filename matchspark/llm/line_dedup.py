@@ -9,21 +9,24 @@ from pyspark.sql import functions as F
 MAX_SHARE, MIN_PAGES = 0.05, 3
 
 
-def line_dedup(docs: DataFrame, host: str = "source", max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
+def line_dedup(docs: DataFrame, host: str = "source", max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``; rows and other columns stay.
 
     A line is what stands between line feeds; blank lines (only spaces) are never dropped.
-    Pages are rows, and a line counts once a page. A null host is a host of its own; null
+    Pages are rows or, if ``copies_once``, the distinct texts of a host (null texts are one),
+    so that a document with many exact copies is not taken for boilerplate; a line counts
+    once a page. A null host is a host of its own; null
     texts stay null; a text whose lines all go becomes empty. Lines are counted by a hash
     of host and line, combined on the map side, so a host with a third of all rows is not
     gathered anywhere. Only the hashes of
     dropped lines return to the pages, one set for each doc_id.
     """
     site = F.coalesce(F.col(host).cast("string"), F.lit("\x00"))
-    named = docs.select(F.col("doc_id").alias("__id"), site.alias("__host"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("__line"))
-    lines = named.where("trim(__line) <> ''").select("__id", "__host", F.xxhash64("__host", "__line").alias("__key"))
-    pages = docs.groupBy(site.alias("__host")).agg(F.count("*").alias("__pages"))
-    counts = lines.groupBy("__host", "__key").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_pages)
+    page = F.xxhash64(site, "text")
+    named = docs.select(F.col("doc_id").alias("__id"), site.alias("__host"), page.alias("__page"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("__line"))
+    lines = named.where("trim(__line) <> ''").select("__id", "__host", "__page", F.xxhash64("__host", "__line").alias("__key"))
+    pages = docs.select(site.alias("__host"), page.alias("__page")).groupBy("__host").agg((F.count_distinct("__page") if copies_once else F.count("*")).alias("__pages"))
+    counts = lines.groupBy("__host", "__key").agg((F.count_distinct("__page") if copies_once else F.count("*")).alias("__n")).where(F.col("__n") >= min_pages)
     common = counts.join(pages, "__host").where(F.col("__n") > max_share * F.col("__pages")).select("__key")
     hits = lines.join(common, "__key", "left_semi").groupBy("__id").agg(F.collect_set("__key").alias("__drop"))
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("__drop", F.xxhash64(site, x))), "\n")
