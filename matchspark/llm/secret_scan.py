@@ -18,8 +18,10 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}(?:\r?\n(?!-----)[A-Za-z0-9+/_-]+)*={0,2}")
+RUN = re.compile(r"[A-Za-z0-9+/_-]{40}")
 HEXADECIMAL = re.compile(r"[0-9A-Fa-f]{64,}")
+SSH = b"openssh-key-v1\0"
 KINDS = ["assign", "access", "hex", "token", "key"]
 
 
@@ -56,7 +58,78 @@ def der(data: bytes, depth: int = 0) -> bool:
 
 def key_bytes(data: bytes | None) -> bool:
     """A DER key or certificate, or an OpenSSH private key."""
-    return bool(data) and (data.startswith(b"openssh-key-v1\0") or der(data))
+    return bool(data) and (data.startswith(SSH) or der(data))
+
+
+def extent(data: bytes) -> int | None:
+    """The bytes that a DER value or an OpenSSH private key at the start of ``data`` takes, by its own lengths."""
+    if data.startswith(SSH):
+        at = len(SSH)
+        for part in range(4):  # cipher, key derivation and its options; then public keys and the private part
+            if part < 3:
+                at += 4 + int.from_bytes(data[at : at + 4], "big")
+            else:
+                keys = int.from_bytes(data[at : at + 4], "big")
+                at += 4
+                for _ in range(keys + 1):
+                    if at + 4 > len(data):
+                        return None
+                    at += 4 + int.from_bytes(data[at : at + 4], "big")
+        return at if at <= len(data) else None
+    if len(data) < 6 or data[0] != 0x30:
+        return None
+    n, k = data[1], data[1] & 127
+    if n & 128:
+        return 2 + k + int.from_bytes(data[2 : 2 + k], "big") if 1 <= k <= 4 else None
+    return 2 + n
+
+
+def key_end(text: str, start: int, end: int) -> int | None:
+    """Where the key ends that fills the first lines of an encoded candidate; None for no key.
+
+    A candidate without padding runs on into lines that follow a key, so the key's own
+    lengths say how many characters belong to it; they must end with a line. No more than
+    those characters are decoded.
+    """
+    if text[start] == "b":
+        taken = extent(decoded_start(text[start:end])) if text.startswith("b3BlbnNzaC1rZXktdjEA", start) else 0
+        if taken is None:
+            return end if key_bytes(decoded(text[start:end])) else None
+    else:
+        taken = extent(decoded_start(text[start : start + 24])) if text[start] == "M" else 0
+    left = need = -(-(taken or 0) * 4 // 3)
+    if not 0 < need <= end - start:
+        return None
+    for line in re.finditer(r"[^\s=]+", text[start : min(end, start + 3 * need + 4)]):
+        if left <= len(line[0]):
+            at = start + line.start() + left
+            stop = at
+            while stop < end and text[stop] == "=":
+                stop += 1
+            last = stop == end or text[stop] in "\r\n"
+            return stop if last and key_bytes(decoded(text[start:stop])) else None
+        left -= len(line[0])
+    return None
+
+
+def decoded_start(text: str) -> bytes:
+    """The bytes of an encoded text that may have been cut anywhere, filled up with zero bits."""
+    run = re.sub(r"\s|=", "", text)
+    return decoded(run + "A" * (-len(run) % 4)) or b""
+
+
+def keys_of(text: str) -> set[tuple[int, int]]:
+    """Spans of encoded keys; any long line of a candidate may start one."""
+    spans = set()
+    for m in ENCODED.finditer(text):
+        at = m.start()
+        while at < m.end():
+            stop = key_end(text, at, m.end()) if RUN.match(text, at) else None
+            if stop is not None:
+                spans.add((at, stop))
+            line = text.find("\n", at if stop is None else stop, m.end())
+            at = line + 1 if line >= 0 else m.end()
+    return spans
 
 
 def signed(text: str) -> bool:
@@ -79,7 +152,7 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
     out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     if "eyJ" in text:
         out += [(m.start(), m.end(), "token") for m in TOKEN.finditer(text) if signed(m[0])]
-    spans = {(m.start(), m.end()) for m in ENCODED.finditer(text) if key_bytes(decoded(m[0]))}
+    spans = keys_of(text)
     spans |= {(m.start(), m.end()) for m in HEXADECIMAL.finditer(text) if len(m[0]) % 2 == 0 and key_bytes(bytes.fromhex(m[0]))}
     out += [(s, e, "key") for s, e in spans]
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
