@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 
@@ -84,16 +85,19 @@ class ChunkIds(dict):
 
 
 class TextEncoder:
-    """Ids of whole texts, as the tokenizers library gives them without special tokens.
+    """Ids of whole texts, as the tokenizers library gives them with ``add_special_tokens=False``.
 
-    Marker strings of special tokens count as ordinary text. Null is the empty text.
+    A text that holds the string of a special token is encoded whole, so that string gets
+    the id that the library gives it. Null is the empty text.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        #: How the strings of all special tokens begin; a text with it is encoded whole.
+        special = tokenizer.get_added_tokens_decoder().values()
+        self.mark = "" if any(token.normalized for token in special) else commonprefix([token.content for token in special]) if special else "\0"
         #: One kind keeps a word's leading space in its first id, the other drops white space.
         self.spaced = tokenizer.encode(" a", add_special_tokens=False).ids != tokenizer.encode("a", add_special_tokens=False).ids
         if tokenizer.get_vocab_size() > 65_536:
@@ -102,9 +106,12 @@ class TextEncoder:
         self.words = ChunkIds(tokenizer, " " if self.spaced else "", lower)
         self.first = ChunkIds(tokenizer, "", lower, 100_000)
 
+    def marked(self, text: str) -> bool:
+        return self.mark in text
+
     def chunks(self, text: str) -> tuple[str, list[str]] | None:
         """The text's first chunk and the others without their space; None: encode it whole."""
-        if "<|" in text:
+        if self.marked(text):
             return None
         if not self.spaced:
             return None if CONTROL_SPACE.search(text) else ("", text.split())
@@ -132,7 +139,7 @@ class TextEncoder:
     def joined(self, text: str, split: tuple[str, list[str]] | None) -> bytes:
         if split:
             return (self.first[split[0]] if split[0] else b"") + b"".join(map(self.words.__getitem__, split[1]))
-        if not self.spaced or "<|" in text or ODD_SPACE.search(text):
+        if not self.spaced or self.marked(text) or ODD_SPACE.search(text):
             return self.words.encode(text)
         parts = CHUNK.findall(text)
         return b"".join(self.words[c[1:]] if c[0] == " " and c[1:2] not in ("", " ", "\n") else self.first[c] for c in parts)

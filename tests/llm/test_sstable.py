@@ -14,11 +14,12 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 def test_encoder_equals_library():
     rng = random.Random(1)
     letters = list(" \n\t.,'!aAbßéÉ1२語<|>\x1c\x85\xa0σΣİ") + ["the", "don't", " \n", "  ", "I'LL", "<|endoftext|>"]
-    texts = [""] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    texts = ["", "a <|endoftext|> b", "<|startoftext|>x", "A<|ENDOFTEXT|>B"] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         encode = TextEncoder(public_tokenizers.path(name))
         got = [np.frombuffer(x, "<u2").tolist() for x in encode.batch(texts)]
-        assert got == [x.ids for x in encode.words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        fresh = Tokenizer.from_file(public_tokenizers.path(name))
+        assert got == [x.ids for x in fresh.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_round_trip_and_lookup(spark, tmp_path):
