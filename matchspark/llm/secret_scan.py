@@ -6,11 +6,10 @@ import base64
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from matchspark.llm.text import per_row
 
@@ -21,7 +20,10 @@ TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}(?:\r?\n(?!-----)[A-Za-z0-9+/_-]+)*={0,2}")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{40}")
 HEXADECIMAL = re.compile(r"[0-9A-Fa-f]{64,}")
+#: Where a key can start within a candidate: at its first character, a line's, or after a separator of paths.
+START = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=[/_+-]))(?=M[A-Z]|b3BlbnNzaC1rZXktdjEA)")
 SSH = b"openssh-key-v1\0"
+SEQUENCE, INTEGER, OCTETS, OBJECT_ID = 0x30, 2, 4, 6
 KINDS = ["assign", "access", "hex", "token", "key"]
 
 
@@ -33,32 +35,52 @@ def decoded(text: str) -> bytes | None:
         return None
 
 
-def der(data: bytes, depth: int = 0) -> bool:
-    """Whether the bytes are one DER sequence whose nested lengths fill it exactly."""
-    at, ends = 0, len(data)
-    if not data or depth > 8:
-        return False
-    while at < ends:
-        if at + 2 > ends:
-            return False
+def values(data: bytes, depth: int = 0) -> list | None:
+    """The DER values that fill the bytes exactly, as (tag, content, inner values or None); None if they do not."""
+    at, out = 0, []
+    while at < len(data):
+        if at + 2 > len(data) or depth > 8:
+            return None
         tag, n = data[at], data[at + 1]
         at += 2
         if n & 128:
             k = n & 127
-            if not 1 <= k <= 4 or at + k > ends:
-                return False
+            if not 1 <= k <= 4 or at + k > len(data):
+                return None
             n, at = int.from_bytes(data[at : at + k], "big"), at + k
-        if at + n > ends or (tag & 32 and n and not der(data[at : at + n], depth + 1)):
-            return False
-        at += n
-        if depth == 0:
-            return tag == 0x30 and n >= 16 and at == ends
-    return True
+        if at + n > len(data):
+            return None
+        content, at = data[at : at + n], at + n
+        inner = values(content, depth + 1) if tag & 32 else None
+        if tag & 32 and inner is None:
+            return None
+        out.append((tag, content, inner))
+    return out
+
+
+def der(data: bytes) -> bool:
+    """Whether the bytes are a private key: PKCS#1, DSA, PKCS#8 (plain or encrypted) or SEC1.
+
+    Certificates and public keys are sequences too, but are no secrets.
+    """
+    top = values(data)
+    if not top or len(top) != 1 or top[0][0] != SEQUENCE:
+        return False
+    parts = top[0][2]
+    tags = [tag for tag, _, _ in parts]
+    algorithm = lambda x: bool(x[2]) and x[2][0][0] == OBJECT_ID
+    if tags[:1] == [INTEGER] and len(parts[0][1]) == 1 and parts[0][1][0] <= 1:
+        if set(tags) == {INTEGER} and len(tags) in (6, 9):  # PKCS#1 with two primes, or DSA
+            return True
+        if tags[1:3] == [SEQUENCE, OCTETS]:  # PKCS#8
+            return algorithm(parts[1])
+        return tags[1:2] == [OCTETS] and set(tags[2:]) <= {0xA0, 0xA1}  # SEC1
+    return tags == [SEQUENCE, OCTETS] and algorithm(parts[0])  # PKCS#8, encrypted
 
 
 def key_bytes(data: bytes | None) -> bool:
-    """A DER key or certificate, or an OpenSSH private key."""
-    return bool(data) and (data.startswith(SSH) or der(data))
+    """A DER private key, or an OpenSSH private key whose length-prefixed fields fill it."""
+    return bool(data) and (extent(data) == len(data) if data.startswith(SSH) else der(data))
 
 
 def extent(data: bytes) -> int | None:
@@ -76,12 +98,13 @@ def extent(data: bytes) -> int | None:
                         return None
                     at += 4 + int.from_bytes(data[at : at + 4], "big")
         return at if at <= len(data) else None
-    if len(data) < 6 or data[0] != 0x30:
+    if len(data) < 6 or data[0] != SEQUENCE:
         return None
     n, k = data[1], data[1] & 127
-    if n & 128:
-        return 2 + k + int.from_bytes(data[2 : 2 + k], "big") if 1 <= k <= 4 else None
-    return 2 + n
+    head = 2 + k if n & 128 else 2
+    if k > 4 and n & 128 or not (data[head : head + 3] in (b"\x02\x01\x00", b"\x02\x01\x01") or data[head : head + 1] == b"\x30"):
+        return None  # private keys begin with a version or an algorithm
+    return head + int.from_bytes(data[2:head], "big") if n & 128 else 2 + n
 
 
 def key_end(text: str, start: int, end: int) -> int | None:
@@ -93,8 +116,6 @@ def key_end(text: str, start: int, end: int) -> int | None:
     """
     if text[start] == "b":
         taken = extent(decoded_start(text[start:end])) if text.startswith("b3BlbnNzaC1rZXktdjEA", start) else 0
-        if taken is None:
-            return end if key_bytes(decoded(text[start:end])) else None
     else:
         taken = extent(decoded_start(text[start : start + 24])) if text[start] == "M" else 0
     left = need = -(-(taken or 0) * 4 // 3)
@@ -119,16 +140,15 @@ def decoded_start(text: str) -> bytes:
 
 
 def keys_of(text: str) -> set[tuple[int, int]]:
-    """Spans of encoded keys; any long line of a candidate may start one."""
-    spans = set()
+    """Spans of encoded keys; one may start at any line of a candidate, and after a separator in it."""
+    spans, done = set(), 0
     for m in ENCODED.finditer(text):
-        at = m.start()
-        while at < m.end():
-            stop = key_end(text, at, m.end()) if RUN.match(text, at) else None
+        for start in START.finditer(text, m.start(), m.end()):
+            at = start.start()
+            stop = key_end(text, at, m.end()) if at >= done and RUN.match(text, at) else None
             if stop is not None:
                 spans.add((at, stop))
-            line = text.find("\n", at if stop is None else stop, m.end())
-            at = line + 1 if line >= 0 else m.end()
+                done = stop
     return spans
 
 
@@ -166,7 +186,11 @@ def report(doc_id: int, text: str | None) -> tuple:
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """One row per document: counts, digest of the base spans and all spans; null texts are empty."""
+    """One row per row of ``docs``: counts, digest of the base spans and all spans.
+
+    Null and empty texts have no span; repeated rows are reported each, also without
+    doc_id; other columns are not read; an empty table gives no rows.
+    """
     out = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:3]), ("base_sha256", pa.string()), ("spans", pa.string())])
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
     return docs.select("doc_id", "text").mapInArrow(per_row(["doc_id", "text"], out, report), schema)
@@ -181,11 +205,17 @@ def masked(text: str) -> str:
     return "".join(out) + text[at:]
 
 
-@F.udf(StringType())
-def _masked(text):
-    return None if text is None else masked(text)
+def mask_secrets(docs: DataFrame) -> DataFrame:
+    """``docs`` with each found span replaced by its kind in brackets.
+
+    Every row and column stays; null and empty texts stay as they are; repeated rows are
+    masked each; an empty table gives no rows.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts = pa.array([None if x is None else masked(x) for x in batch.column(at).to_pylist()], batch.schema.field(at).type)
+            yield batch.set_column(at, batch.schema.field(at), texts)
 
-def mask_secrets(docs: DataFrame) -> DataFrame:
-    """``docs`` with each found span replaced by its kind in brackets; every row stays."""
-    return docs.withColumn("text", _masked("text")).select(*docs.columns)
+    return docs.mapInArrow(run, docs.schema)
