@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
-from matchspark.llm.text import per_row, words_of
+from matchspark.llm.text import beside, per_row, unused, words_of
 
 WINDOW = 8
 UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
@@ -108,36 +109,53 @@ def learn(x: np.ndarray, y: np.ndarray, most: int = 8, precision: float = 0.9) -
     return rules
 
 
-def expression(rules: list[list[tuple[int, bool, float]]]) -> Column:
+def expression(rules: list[list[tuple[int, bool, float]]], ratios: dict[str, str] = RATIOS) -> Column:
     """The ordered list as a Spark conditional: the number of the first rule that fires, else 0."""
-    names, out = list(RATIOS), F.lit(0)
+    names, out = list(ratios), F.lit(0)
     for n, rule in reversed(list(enumerate(rules, 1))):
         fired = F.lit(True)
         for j, above, t in rule:
-            c = F.expr(RATIOS[names[j]])
+            c = F.expr(ratios[names[j]])
             fired = fired & (c > t if above else c <= t)
         out = F.when(fired, F.lit(n)).otherwise(out)
     return out
 
 
+def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[list[tuple[int, bool, float]]]:
+    """The rules that at most ``sample`` labelled documents give (``labels.quality``, 0 rejected)."""
+    marked = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    fitted = text_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")).join(chosen, "doc_id")
+    rows = fitted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).selectExpr("quality", *(f"{e} as {c}" for c, e in RATIOS.items())).toPandas()
+    return learn(rows[list(RATIOS)].to_numpy(float), (rows["quality"] == 0).to_numpy(int)) if len(rows) else []
+
+
+FAILED = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``doc_id, n_words``, the four statistics, ``base_failed, rule, kept`` for each row.
 
     Rules are learned from at most ``sample`` labelled documents (``labels.quality``, 0
     rejected); with none, only the base rule holds. Null and empty texts have no words and
-    fail the base rule; repeated rows stay; columns besides doc_id and text are not read.
+    fail the base rule; repeated rows stay, and rows without doc_id; columns besides doc_id
+    and text are not read; an empty table gives no rows.
     """
-    marked = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    fitted = text_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")).join(chosen, "doc_id")
-    rows = fitted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).selectExpr("quality", *(f"{e} as {c}" for c, e in RATIOS.items())).toPandas()
-    rules = learn(rows[list(RATIOS)].to_numpy(float), (rows["quality"] == 0).to_numpy(int)) if len(rows) else []
-    failed = F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
-    out = text_statistics(docs).withColumn("base_failed", failed).withColumn("rule", expression(rules))
+    rules = learned(docs, labels, sample)
+    out = text_statistics(docs).withColumn("base_failed", F.expr(FAILED)).withColumn("rule", expression(rules))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)).drop("n_upper")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the rules reject."""
-    kept = quality_rules(docs, labels).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """``docs`` without the rows that the rules or the base rule reject.
+
+    Each row is judged by its own text, in the pass that reads it: rows that repeat a
+    doc_id or have none are judged alone, no text is shuffled. Null and empty texts go;
+    repeated good rows stay; other columns stay as they are, whatever their names.
+    """
+    rules, names = learned(docs, labels, sample), unused(docs, *STATS)
+    rated = beside(docs, [StructField(n, LongType()) for n in names], lambda text: statistics(0, text)[1:])
+    swap = dict(zip(STATS, names, strict=True))
+    fill = lambda e: re.sub(r"\bn_\w+|\bword_chars\b", lambda m: f"`{swap[m[0]]}`", e)
+    good = ~F.expr(fill(FAILED)) & (expression(rules, {k: fill(e) for k, e in RATIOS.items()}) == 0)
+    return rated.where(good).select(*(F.col(f"`{c}`") for c in docs.columns))

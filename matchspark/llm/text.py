@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructField, StructType
 
 #: ASCII white space of the word pattern [^\x20\x09-\x0D]+; bytes.split() uses the same set.
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -34,3 +36,31 @@ def per_row(columns: list[str], out: pa.Schema, function: Callable[..., tuple])
                 yield pa.RecordBatch.from_arrays(cells, schema=out)
 
     return run
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where ``docs`` has a column of that name."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def beside(docs: DataFrame, fields: list[StructField], function: Callable[[str | None], tuple]) -> DataFrame:
+    """``docs`` with new columns that ``function`` gives for each text, computed in the same pass over the rows."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    types = [to_arrow_type(f.dataType) for f in fields]
+    position = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [function(x) for x in batch.column(position).to_pylist()]
+            cells = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
+            added = [pa.array(c, t) for c, t in zip(cells, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *(f.name for f in fields)])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *fields]))

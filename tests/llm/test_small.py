@@ -164,3 +164,41 @@ def test_sentencepiece(spark):
     docs = spark.createDataFrame([(1, None, 5), (2, texts[3], 6)], "doc_id long, text string, ids int")
     rows = sp.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")).orderBy("doc_id").collect()
     assert rows[0].n_ids == 0 and all(r.restored for r in rows)
+
+
+def test_line_dedup_repeated_ids_and_clashing_names(spark, tmp_path):
+    rows = [(7, "same\nown", "en", "s", 1)] * 4 + [(i, "foot\nline %d" % i, "en", "s", 1) for i in range(20)] + [(None, "foot\nx", "en", None, 1)] * 3 + [(90, "w " * 100_000 + "\nfoot", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    docs.toPandas().astype({"doc_id": "Int64"}).to_parquet(f"{tmp_path}/d.parquet")
+    want = sorted(map(str, duckdb.sql(line_dedup.SQL.replace("{docs}", f"'{tmp_path}/d.parquet'")).fetchall()))
+    for few in (0, 1000):
+        assert sorted(map(str, map(tuple, line_dedup.line_dedup(docs, few=few).collect()))) == want
+    odd = docs.selectExpr("*", "1 as id", "2 as drop", "3 as key", "4 as site", "5 as pages", "6 as page", "7 as `line`")
+    assert line_dedup.line_dedup(odd).columns == odd.columns and line_dedup.line_dedup(odd).count() == len(rows)
+
+
+def test_keep_good_judges_each_row_alone(spark):
+    good, bad = " ".join(f"word{i}" for i in range(60)), " ".join(f"w{j}***" for j in range(60))
+    rows = [(i, good + f" {i}" if i % 4 else bad + f" {i}***", 1) for i in range(200)] + [(None, good, 1), (None, bad, 1), (1, bad, 1), (1, good, 1), (900, None, 1), (901, "", 1), (902, good + " unlike" * 1 + "".join(f" z{i}" for i in range(90_000)), 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words int")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(160)], "doc_id long, quality int, toxic int")
+    got = [tuple(r) for r in decision_list.keep_good(docs, labels).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [r for r in rows if r[1] and "***" not in r[1]]))
+    assert decision_list.keep_good(docs.limit(0), labels).count() == 0
+
+
+def test_statistics_equal_plain_counts():
+    rng = random.Random(11)
+    for _ in range(500):
+        text = "".join(rng.choice(["a", "É", " ", "\t", "\n", "\x0b", "#", "*$", "|<", "x y", " ", "same line\n"]) for _ in range(rng.randint(0, 40)))
+        words, word = [], ""
+        for c in text + " ":
+            if c in " \t\n\x0b\x0c\r":
+                words, word = words + [word] * bool(word), ""
+            else:
+                word += c
+        lines = text.split("\n")
+        dups = sum(1 for i, x in enumerate(lines) if x in lines[:i] and any(c not in " \t\x0b\x0c\r" for c in x))
+        got = decision_list.statistics(0, text)
+        assert got[1:5] == (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dups)
+        assert got[5] == brute_repeats([w.encode() for w in words])
