@@ -3,11 +3,13 @@
 A fingerprint has eight positional bytes. Two fingerprints that differ in at most three
 bits share at least ``8 - 3 = 5`` of them, and so three within one half (bytes 0-3 or 4-7):
 the index therefore posts each distinct fingerprint under the eight byte triples of its
-halves. Fingerprints that meet in a posting list are tallied by shared positional bytes,
-kept from five on, and verified bit by bit. Lists longer than ``LONG`` are posted again
-under five bytes each, in other tasks; what is left of such a list can hold no more than
-2**24 fingerprints, and beyond ``LONG`` of them is searched by bit flips in linear time.
-A list yields a spanning forest of its links, not all its pairs.
+halves. Every pair that meets in a posting list is counted: its shared positional bytes are
+tallied over all eight positions, pairs below five are left out, and only the bits of the
+rest are compared. A pair with five shared bytes meets in one list at least. Lists longer
+than ``LONG`` are posted again under five bytes each, in other tasks; what is left of such
+a list can hold no more than 2**24 fingerprints, and beyond ``LONG`` of them is searched by
+bit flips in linear time. A list yields a spanning forest of its links, not all its pairs.
+Nodes of the links are the fingerprints themselves, so identifiers may be null or repeat.
 """
 
 from __future__ import annotations
@@ -60,23 +62,29 @@ def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether fingerprints share enough positional bytes and then differ in few bits."""
-    x = a ^ b
-    y = x | (x >> np.uint64(4))
-    y |= y >> np.uint64(2)
-    y |= y >> np.uint64(1)
-    shared = 8 - popcount(y & np.uint64(0x0101010101010101))
-    return (shared >= SHARED) & (popcount(x) <= BITS)
+def tally(fps: np.ndarray) -> np.ndarray:
+    """Shared positional bytes of all pairs of a posting list, counted position by position."""
+    counted = np.zeros((len(fps), len(fps)), np.uint8)
+    for column in fps.astype("<u8").view(np.uint8).reshape(-1, 8).T:
+        counted += column[:, None] == column
+    return counted
+
+
+def linked(fps: np.ndarray) -> np.ndarray:
+    """Which pairs share enough positional bytes (count filter) and then differ in few bits (verification)."""
+    near = tally(fps) >= SHARED
+    a, b = np.nonzero(near)
+    near[a, b] = popcount(fps[a] ^ fps[b]) <= BITS
+    return near
 
 
 def forest(fps: np.ndarray) -> list[tuple[int, int]]:
     """Links (positions) that span the groups of a posting list."""
     if len(fps) == 2:
-        return [(0, 1)] if linked(fps[:1], fps[1:])[0] else []
+        return [(0, 1)] if linked(fps)[0, 1] else []
     if len(fps) > LONG:
         return flips(fps)
-    near = linked(fps[:, None], fps[None, :])
+    near = linked(fps)
     left, out = np.ones(len(fps), bool), []
     for root in np.flatnonzero(near.sum(axis=1) > 1):
         if left[root]:
@@ -108,29 +116,29 @@ def flips(fps: np.ndarray) -> list[tuple[int, int]]:
 
 
 def search(refine: bool):
-    """A mapInArrow function over rows (key, fp, rep) sorted by key.
+    """A mapInArrow function over rows (key, fp) sorted by key.
 
-    Returns links (rep of one, rep of the other), or, if ``refine``, the rows of long
-    lists with ``fp`` set, which are to be posted anew.
+    Returns links (one fingerprint, the other), or, if ``refine``, the rows of long lists
+    as (null, fingerprint, key), which are to be posted anew.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("list", pa.int64())])
 
-    def out(a, b, fp=None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, fp if fp is not None else [None] * len(a))], schema=schema)
+    def out(a, b, lists=None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a if lists is None else [None] * len(b), b, lists if lists is not None else [None] * len(b))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fps, reps, spilling = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), None
+        key, fps, spilling = np.zeros(0, np.int64), np.zeros(0, np.int64), None
         for batch in chain_last(batches):
             if batch is not None:
-                k, f, r = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                k, f = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
                 if spilling is not None:
                     n = int(np.searchsorted(k, spilling, side="right"))
                     if n:
-                        yield out(k[:n], r[:n], f[:n])
-                        k, f, r = k[n:], f[n:], r[n:]
+                        yield out(None, f[:n], k[:n])
+                        k, f = k[n:], f[n:]
                     if len(k):
                         spilling = None
-                key, fps, reps = np.concatenate([key, k]), np.concatenate([fps, f.view(np.uint64)]), np.concatenate([reps, r])
+                key, fps = np.concatenate([key, k]), np.concatenate([fps, f])
             if not len(key):
                 continue
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -141,18 +149,18 @@ def search(refine: bool):
                 if e > done or e - s < 2:
                     continue
                 if refine and e - s > LONG:
-                    yield out(key[s:e], reps[s:e], fps[s:e].view(np.int64))
+                    yield out(None, fps[s:e], key[s:e])
                 else:
-                    for x, y in forest(fps[s:e]):
-                        a.append(int(reps[s + x]))
-                        b.append(int(reps[s + y]))
+                    for x, y in forest(fps[s:e].view(np.uint64)):
+                        a.append(int(fps[s + x]))
+                        b.append(int(fps[s + y]))
             if a:
                 yield out(a, b)
-            key, fps, reps = key[done:], fps[done:], reps[done:]
+            key, fps = key[done:], fps[done:]
             if refine and len(key) > LONG:
                 spilling = int(key[0])
-                yield out(key, reps, fps.view(np.int64))
-                key, fps, reps = key[:0], fps[:0], reps[:0]
+                yield out(None, fps, key)
+                key, fps = key[:0], fps[:0]
 
     return run
 
@@ -168,35 +176,38 @@ def _byte(i: int):
 
 
 def _posted(fps: DataFrame, groups: list[tuple[int, ...]], at: str | None = None) -> DataFrame:
-    """Rows (key, fp, rep): the key holds the group's number and its positional bytes."""
+    """Rows (key, fp): the key holds the group's number and its positional bytes."""
     keys = []
     for n, group in enumerate(groups):
         key = F.lit(n).cast("long")
         for i in group:
             key = F.shiftleft(key, 8).bitwiseOR(_byte(i))
         keys.append(key if at is None else F.when(F.shiftrightunsigned(at, 24) == F.lit(n // 10), key))
-    rows = fps.select(F.explode(F.array(*keys)).alias("key"), "fp", "rep").where("key is not null")
+    rows = fps.select(F.explode(F.array(*keys)).alias("key"), "fp").where("key is not null")
     return rows.repartition("key").sortWithinPartitions("key", "fp")
 
 
 def near_links(fps: DataFrame) -> DataFrame:
-    """``src, dst`` (reps) that connect all distinct fingerprints ``fp, rep`` within three bits."""
-    found = cut(_posted(fps, TRIPLES).mapInArrow(search(True), "a long, b long, fp long"))
+    """``src, dst`` (fingerprints) that connect all distinct fingerprints ``fp`` within three bits."""
+    found = cut(_posted(fps, TRIPLES).mapInArrow(search(True), "a long, b long, list long"))
     fives = [(*t, *more) for t in TRIPLES for more in combinations([i for i in range(8) if i not in t], 2)]
-    long = found.where("fp is not null").select(F.col("a").alias("list"), F.col("b").alias("rep"), "fp")
-    again = _posted(long, fives, "list").mapInArrow(search(False), "a long, b long, fp long")
-    return found.where("fp is null").unionByName(again).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    long = found.where("list is not null").select("list", F.col("b").alias("fp"))
+    again = _posted(long, fives, "list").mapInArrow(search(False), "a long, b long, list long")
+    return found.where("list is null").unionByName(again).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id``: one row for each row of ``docs (doc_id, text, ...)``.
 
-    The component is the smallest doc_id that links of at most three differing bits reach.
-    Empty and null texts have fingerprint zero and link like any other; repeated rows stay
-    repeated; other columns are not read; an empty table gives no rows.
+    The component is the smallest doc_id that links of at most three differing bits reach;
+    null where only rows without doc_id are reached. Empty and null texts have fingerprint
+    zero and link like any other; repeated rows stay repeated; other columns are not read;
+    an empty table gives no rows.
     """
     prints = cut(fingerprints(docs))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    labels = connected_components(near_links(distinct)).select(F.col("node").alias("rep"), "component")
-    named = distinct.join(labels, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    labels = connected_components(near_links(distinct.select("fp"))).select(F.col("node").alias("fp"), "component")
+    named = distinct.join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "component").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -63,3 +63,16 @@ def test_long_lists_by_flips():
 
 def test_empty_table(spark):
     assert near.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(5, "a b c d"), (5, "a b c d"), (3, "a b c d"), (None, "a b c d"), (None, "other words here now"), (None, None), (9, "z " * 100_000)]
+    got = sorted(((r.doc_id, r.component_id) for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(5, 3), (5, 3), (3, 3), (None, 3), (None, None), (None, None), (9, 9)], key=str)
+
+
+def test_tally_counts_shared_positional_bytes():
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 3, (40, 8)).astype(np.uint8)
+    want = [[sum(a == b) for b in fps] for a in fps]
+    assert near.tally(fps.view("<u8").ravel()).tolist() == np.array(want).tolist()
