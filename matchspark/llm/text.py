@@ -24,11 +24,20 @@ def crc_of_ids(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that a worker holds few texts at a time; unused memory goes back at the end."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    del batches
+    pa.default_memory_pool().release_unused()
+
+
 def per_row(columns: list[str], out: pa.Schema, function: Callable[..., tuple]) -> Callable:
     """A mapInArrow function that turns the named columns of each row into one row of ``out``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             values = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]
             rows = [function(*row) for row in zip(*values, strict=True)]
             if rows:
@@ -57,7 +66,7 @@ def beside(docs: DataFrame, fields: list[StructField], function: Callable[[str |
     position = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = [function(x) for x in batch.column(position).to_pylist()]
             cells = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
             added = [pa.array(c, t) for c, t in zip(cells, types, strict=True)]

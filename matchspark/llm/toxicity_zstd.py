@@ -1,9 +1,16 @@
-"""Toxicity by compression distance: which of two zstandard dictionaries shortens a window more."""
+"""Toxicity by compression distance: which of two zstandard dictionaries shortens a window more.
+
+Training rows are parted by their hash: the dictionaries learn from three of four parts,
+the thresholds from the fourth. A window is marked if the toxic dictionary shortens it by
+enough bytes more than the ordinary one; a text is toxic if it has enough marked windows
+beyond those that an ordinary text of its length would have.
+"""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +20,12 @@ from pyspark.sql import functions as F
 
 from matchspark.llm.text import per_row
 
-#: Most labelled documents of each class that are learned from, by lowest hash of doc_id.
+#: Most labelled documents of each class that are learned from, and calibrated on, by lowest hash of doc_id.
 SAMPLE = 5_000
-LEVEL, DICTIONARY, KNOWN = 19, 64 * 1024, 400_000
+#: Level of compression, most bytes of a dictionary, most windows that one is made from, distances that a process keeps.
+LEVEL, DICTIONARY, COMMON, KNOWN = 19, 64 * 1024, 8_000, 400_000
+#: Distances that may mark a window, and marked windows that may make a text toxic.
+DISTANCES, LEAST = range(1, 13), range(1, 6)
 WINDOW = re.compile(r"[^\W\d_]+")
 
 
@@ -29,22 +39,9 @@ def frame(window: str) -> str:
     return f" {window} {window} {window} {window} "
 
 
-def train_dictionaries(toxic: list[str | None], ordinary: list[str | None]) -> tuple[bytes, bytes]:
-    """Dictionary contents of the two classes; the most telling windows stand last, where offsets are short.
-
-    The toxic one takes windows in at least three and 1 % of the toxic texts that are 20
-    times as common there as in ordinary ones, the ordinary one the commonest windows.
-    """
-    t, o = (Counter(w for x in texts for w in set(windows(x))) for texts in (toxic, ordinary))
-    nt, no = max(1, len(toxic)), max(1, len(ordinary))
-    telling = sorted((c, w) for w, c in t.items() if c >= max(3, 0.01 * nt) and c / nt > 20 * (o[w] + 0.25) / no)
-    common = sorted((c, w) for w, c in o.items() if c > 1)[-8000:]
-    return trained(telling), trained(common)
-
-
 def trained(counted: list[tuple[int, str]]) -> bytes:
-    """Dictionary content: the frames of the windows, rarest first, cut at the front."""
-    return "".join(frame(w) for _, w in counted).encode()[-DICTIONARY:] + bytes(64)
+    """Dictionary content: the frames of the windows, the commonest last, where offsets are short; cut at the front."""
+    return "".join(frame(w) for _, w in sorted(counted)).encode()[-DICTIONARY:] + bytes(64)
 
 
 class Distance:
@@ -69,16 +66,23 @@ class Distance:
             gap = self.known[window] = ordinary - toxic
         return gap
 
-    def counts(self, text: str | None) -> np.ndarray:
-        """Windows of the text with a distance of at least 1, 2, ... 12."""
-        gaps = np.array([self(w) for w in windows(text)] or [0])
-        return np.array([(gaps >= t).sum() for t in range(1, 13)])
+    def marks(self, text: str | None) -> list[int]:
+        """How many windows the text has, and how many of them at each of DISTANCES."""
+        gaps = np.array([self(w) for w in windows(text)], np.int64)
+        return [len(gaps), *((gaps >= t).sum() for t in DISTANCES)]
 
 
-def calibrate(distance: Distance, toxic: list[str | None], ordinary: list[str | None]) -> tuple[int, int]:
-    """The distance that marks a window and the marked windows that make a text toxic: best balanced accuracy."""
-    a, b = (np.array([distance.counts(x) for x in texts]) for texts in (toxic, ordinary))
-    scored = {(t, c): (a[:, t - 1] >= c).mean() + (b[:, t - 1] < c).mean() for t in range(1, 13) for c in range(1, 6)}
+def calibrate(toxic: np.ndarray, ordinary: np.ndarray) -> tuple[int, int, float]:
+    """The distance that marks a window, the marks that make a text toxic, and the share of windows marked in ordinary texts.
+
+    Rows are those of ``Distance.marks``; the choice has the best balanced accuracy.
+    """
+    scored = {}
+    for t in DISTANCES:
+        rate = ordinary[:, t].sum() / max(1, ordinary[:, 0].sum())
+        for c in LEAST:
+            hit = [x[:, t] >= c + 2 * rate * x[:, 0] for x in (toxic, ordinary)]
+            scored[t, c, float(rate)] = hit[0].mean() + 1 - hit[1].mean()
     return max(scored, key=lambda k: (scored[k], -k[1], -k[0]))
 
 
@@ -86,31 +90,72 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of rows (text, toxic) with the texts of each class that hold them, as (window, toxic texts, ordinary texts)."""
+    for batch in batches:
+        found = Counter((w, y) for x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True) for w in set(windows(x)))
+        names = list({w for w, _ in found})
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([found[w, y] for w in names], pa.int64()) for y in (1, 0))], ["window", "t", "o"])
+
+
+def dictionaries(texts: DataFrame) -> tuple[bytes, bytes] | None:
+    """Contents of the toxic and the ordinary dictionary from ``texts (text, toxic)``; None without both classes.
+
+    The toxic one takes windows in at least three and 1 % of the toxic texts that are 20
+    times as common there as in ordinary ones, the ordinary one the commonest windows.
+    Windows are counted by class in one grouped count; only what the dictionaries hold
+    comes to the driver.
+    """
+    nt, no = texts.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
+    if not nt or not no:
+        return None
+    counts = texts.select("text", "toxic").mapInArrow(_counted, "window string, t long, o long").groupBy("window").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    telling = counts.where((F.col("t") >= max(3, 0.01 * nt)) & (F.col("t") / nt > 20 * (F.col("o") + 0.25) / no)).orderBy(F.desc("t"), "window").limit(COMMON)
+    common = counts.where("o > 1").orderBy(F.desc("o"), "window").limit(COMMON)
+    return tuple(trained([(r[1], r[0]) for r in x.collect()]) for x in (telling.select("window", "t"), common.select("window", "o")))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``doc_id, held_out, score, predicted``: marked windows n of the whole text give n / (n + c).
+    """``doc_id, held_out, score, predicted``: n marked windows of the whole text give n / (n + c + e).
 
+    c marks make a text toxic beyond e, twice those of an ordinary text of its length.
     Learned from training rows of ``labels.toxic`` only; without both classes all score 0.
-    Null and empty texts have no window and score 0; repeated rows stay; other columns are
-    not read.
+    Null and empty texts have no window and score 0; repeated rows stay, also without
+    doc_id; other columns are not read; an empty table gives no rows.
     """
     known = labels.where(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    parts = []
-    for kind in (1, 0):
-        some = known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id", "left_semi")
-        parts.append([r.text for r in texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()])
-    content, (at, least) = (bytes(64), bytes(64)), (12, 1)
-    if all(parts):
-        content = train_dictionaries(*parts)
-        at, least = calibrate(Distance(*content), *parts)
+
+    def texts(tuning: bool) -> DataFrame:
+        """Texts and classes of at most ``sample`` training rows of each class."""
+        part = known.where((F.crc32(F.col("doc_id").cast("string")) % 5 == 4) == F.lit(tuning))
+        order = [F.xxhash64("doc_id"), F.col("doc_id")]
+        some = part.where("toxic = 1").orderBy(*order).limit(sample).unionByName(part.where("toxic = 0").orderBy(*order).limit(sample))
+        return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+
+    content = dictionaries(texts(False))
+    at, least, rate = 12, 1, 0.0
+    if content:
+        marks = [f"m{t}" for t in (0, *DISTANCES)]
+        out = pa.schema([("toxic", pa.int64()), *((c, pa.int64()) for c in marks)])
+        measure = lambda batches: (lambda d: per_row(["toxic", "text"], out, lambda y, x: (y, *d.marks(x)))(batches))(Distance(*content))
+        rated = lambda x: x.select(F.col("toxic").cast("long").alias("toxic"), "text").mapInArrow(measure, "toxic long, " + ", ".join(f"{c} long" for c in marks))
+        for tuning in (True, False):  # without a class in the fourth part, the others calibrate
+            rows = rated(texts(tuning)).limit(4 * sample).toPandas().to_numpy()
+            both = [rows[rows[:, 0] == y][:, 1:] for y in (1, 0)]
+            if all(map(len, both)):
+                at, least, rate = calibrate(*both)
+                break
+    else:
+        content = bytes(64), bytes(64)
     out = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
         distance = Distance(*content)
 
         def one(doc_id, text):
-            n = sum(distance(w) >= at for w in windows(text))
-            return doc_id, n / (n + least)
+            found = windows(text)
+            n = sum(distance(w) >= at for w in found)
+            return doc_id, n / (n + least + 2 * rate * len(found)) if n else 0.0
 
         return per_row(["doc_id", "text"], out, one)(batches)
 

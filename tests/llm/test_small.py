@@ -202,3 +202,72 @@ def test_statistics_equal_plain_counts():
         got = decision_list.statistics(0, text)
         assert got[1:5] == (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dups)
         assert got[5] == brute_repeats([w.encode() for w in words])
+
+
+def test_risk_and_prior_of_positive_unlabelled_learning():
+    import math
+
+    from matchspark.llm import quality_pu
+
+    rng = np.random.default_rng(12)
+    zp, zu, prior = rng.normal(size=30), rng.normal(size=50), 0.7
+    loss = lambda z, y: math.log1p(math.exp(-y * z))
+    plus, minus = quality_pu.risk(zp, zu, prior)
+    assert abs(plus - prior * sum(loss(z, 1) for z in zp) / 30) < 1e-9
+    assert abs(minus - (sum(loss(z, -1) for z in zu) / 50 - prior * sum(loss(z, -1) for z in zp) / 30)) < 1e-9
+    good, bad = rng.normal(2, 1, (9000, 4)), rng.normal(-2, 1, (3000, 4))
+    positive, unlabelled = good[:4500], np.concatenate([good[4500:], bad])[rng.permutation(7500)]
+    assert abs(quality_pu.estimated_prior(positive, unlabelled) - 0.6) < 0.06
+    w, b = quality_pu.fit(positive, unlabelled, 0.6)
+    assert (good @ w + b > 0).mean() > 0.97 and (bad @ w + b < 0).mean() > 0.97
+    text = "ab" + "é|*" * 500_000  # longer than a chunk of trigrams
+    whole, counts = quality_pu.trigrams(text.encode()), Counter()
+    data = text.encode()
+    for i in range(len(data) - 2):
+        counts[(((data[i] << 16 | data[i + 1] << 8 | data[i + 2]) * 2654435761) & 0xFFFFFFFF) >> 23] += 1
+    assert np.allclose(whole, [math.sqrt(counts[i] / (len(data) - 2)) for i in range(512)])
+
+
+def test_vector_top_k_lengths_and_large_components(spark):
+    from matchspark.llm import vector_topk
+
+    rng = np.random.default_rng(17)
+    v = {i: (rng.normal(size=6) * (1e6 if i % 9 == 0 else 1)).tolist() for i in range(400)}
+    v[3], v[4], v[50] = [1.0], [], [1e30] * 6
+    rows = [(i, x) for i, x in v.items()] + [(100, v[100]), (None, v[1])]
+    got = vector_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    good = [(i, [int(np.floor(256 * c)) for c in x]) for i, x in rows if i is not None and i not in (3, 4, 50)]
+    want = set()
+    for q, x in {i: x for i, x in good if i % 50 == 0}.items():
+        best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in good if i != q)[:5]
+        want |= {(q, n, i, -s) for n, (s, i) in enumerate(best, 1)}
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_genetic_packing_beats_best_fit_decreasing():
+    rng = random.Random(3)
+    size = []
+    for _ in range(40):  # bins of three pieces that fill them exactly: hard for best-fit decreasing
+        a = rng.randint(380, 490)
+        b = rng.randint(250, (1000 - a) // 2)
+        size += [a, b, 1000 - a - b]
+    plain = len(packing.best_fit([], list(range(len(size))), size, 1000))
+    evolved = packing.evolve(size, packing.started(size, 1000, [], 16, rng), 1000, 600, rng)
+    assert packing.bound(size, 1000) <= len(evolved[0][0]) < plain
+    assert sorted(i for b in evolved[0][0] for i in b) == list(range(len(size))) and all(s <= 1000 for s in evolved[0][1])
+
+
+def test_toxicity_counts_repeats_and_empty_tables(spark):
+    from matchspark.llm import toxicity_zstd
+
+    docs = spark.createDataFrame([(1, "a"), (1, "a"), (None, None), (2, "word " * 200_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity_zstd.score_toxicity(docs, labels).count() == 4
+    assert toxicity_zstd.score_toxicity(docs.limit(0), labels).count() == 0
+    d = toxicity_zstd.Distance(toxicity_zstd.trained([(3, "vile")]), toxicity_zstd.trained([(3, "good")]))
+    plain = lambda w, x: len(toxicity_zstd.Distance.compressor(toxicity_zstd.trained([(3, x)])).compress(toxicity_zstd.frame(w).encode()))
+    text = "Vile good, vile other9words"
+    gaps = [plain(w, "good") - plain(w, "vile") for w in ("vile", "good", "vile", "other", "words")]
+    assert d.marks(text) == [5, *(sum(g >= t for g in gaps) for t in toxicity_zstd.DISTANCES)]
+    toxic, ordinary = np.array([[10, 3, *[0] * 11]] * 5), np.array([[100, 1, *[0] * 11]] * 5)
+    assert toxicity_zstd.calibrate(toxic, ordinary)[:2] == (1, 2)
