@@ -1,4 +1,4 @@
-"""Graph operators over many graphs at once: largest component and shortest distances."""
+"""Graph operators over many graphs at once: largest component, shortest distances and paths."""
 
 from __future__ import annotations
 
@@ -23,21 +23,71 @@ def largest_component(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame
     return named.join(chosen, [key, "component"]).select(key, "node", "component", "size")
 
 
-def shortest_distances(sources: DataFrame, edges: DataFrame, key: str, max_rounds: int = 10_000) -> DataFrame:
-    """``key, node, distance`` of every node that a source of its graph reaches.
+def both_ways(edges: DataFrame, key: str) -> DataFrame:
+    return edges.select(key, "src", "dst", "weight").unionByName(edges.select(key, F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+
+
+def shortest_distances(sources: DataFrame, edges: DataFrame, key: str, by_source: bool = False, fold: int = 4, max_rounds: int = 10_000) -> DataFrame:
+    """``key, node, distance`` of every node that a source of its graph reaches; ``by_source`` adds ``source``.
 
     ``sources`` has ``key, node``; ``edges`` has ``key, src, dst, weight`` (not negative),
-    walked both ways. Each round relaxes only the edges of nodes whose distance fell, for
-    all graphs together; a round is one equi-join and one grouped minimum.
+    walked both ways. With ``by_source`` each source has distances of its own, else the
+    nearest source counts. A round relaxes only the edges of nodes whose distance fell, for
+    all graphs and sources together, and checks them against the reached nodes they touch;
+    improvements are kept beside what is known and folded into it every ``fold`` rounds,
+    so that a long path does not rewrite all nodes once a hop.
+    """
+    both = cut(both_ways(edges, key))
+    at = [key, "source", "node"] if by_source else [key, "node"]
+    start = sources.select(key, *([F.col("node").alias("source")] if by_source else []), "node", F.lit(0.0).alias("distance")).distinct()
+    known, recent = cut(start), []
+    front = known
+    for n in range(1, max_rounds + 1):
+        names = [c for c in at if c != "node"]
+        reached = front.withColumnRenamed("node", "src").join(both, [key, "src"]).select(*names, F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"))
+        reached = reached.groupBy(*at).agg(F.min("distance").alias("distance"))
+        old = known
+        for x in recent:
+            old = old.unionByName(x)
+        old = old.join(reached.select(*at), at, "left_semi").groupBy(*at).agg(F.min("distance").alias("old"))
+        front = cut(reached.join(old, at, "left").where("old is null or distance < old").select(*at, "distance"))
+        if front.isEmpty():
+            break
+        recent.append(front)
+        if n % fold == 0:
+            for x in recent:
+                known = known.unionByName(x)
+            known, recent = cut(known.groupBy(*at).agg(F.min("distance").alias("distance"))), []
+    else:
+        raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
+    for x in recent:
+        known = known.unionByName(x)
+    return known.groupBy(*at).agg(F.min("distance").alias("distance"))
+
+
+def shortest_paths(pairs: DataFrame, edges: DataFrame, key: str, max_rounds: int = 10_000) -> DataFrame:
+    """``key, source, target, seq, node`` of a shortest path for each pair; ``seq`` 0 is the source.
+
+    ``pairs``: ``key, source, target``. Of equally short ways a path takes, seen from the
+    target, the lowest node each time. Pairs without a way give no rows.
     """
-    both = cut(edges.select(key, "src", "dst", "weight").unionByName(edges.select(key, F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))
-    known = cut(sources.select(key, "node", F.lit(0.0).alias("distance"), F.lit(True).alias("fell")).distinct())
+    both = both_ways(edges, key)
+    sources = pairs.select(key, F.col("source").alias("node")).distinct()
+    far = cut(shortest_distances(sources, edges, key, by_source=True))
+    near = far.select(key, "source", F.col("node").alias("src"), F.col("distance").alias("before"))
+    steps = near.join(both, [key, "src"]).withColumnRenamed("dst", "node").join(far, [key, "source", "node"])
+    steps = steps.where((F.abs(F.col("before") + F.col("weight") - F.col("distance")) <= 1e-9) & (F.col("node") != F.col("source")) & ((F.col("weight") > 0) | (F.col("src") < F.col("node"))))
+    before = cut(steps.groupBy(key, "source", "node").agg(F.min("src").alias("previous")))
+    front = pairs.distinct().join(far.select(key, "source", F.col("node").alias("target")), [key, "source", "target"]).select(key, "source", "target", F.lit(0).alias("back"), F.col("target").alias("node"))
+    front = cut(front)
+    parts = [front]
     for _ in range(max_rounds):
-        front = known.where("fell").select(key, F.col("node").alias("src"), "distance")
-        reached = front.join(both, [key, "src"]).select(key, F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"), F.lit(True).alias("new"))
-        rows = known.select(key, "node", "distance", F.lit(False).alias("new")).unionByName(reached)
-        least = rows.groupBy(key, "node").agg(F.min("distance").alias("distance"), F.min(F.when(~F.col("new"), F.col("distance"))).alias("__old"))
-        known = cut(least.select(key, "node", "distance", (F.col("__old").isNull() | (F.col("distance") < F.col("__old"))).alias("fell")))
-        if known.where("fell").isEmpty():
-            return known.drop("fell")
-    raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
+        front = cut(front.join(before, [key, "source", "node"]).select(key, "source", "target", (F.col("back") + 1).alias("back"), F.col("previous").alias("node")))
+        if front.isEmpty():
+            break
+        parts.append(front)
+    rows = parts[0]
+    for x in parts[1:]:
+        rows = rows.unionByName(x)
+    hops = rows.groupBy(key, "source", "target").agg(F.max("back").alias("hops"))
+    return rows.join(hops, [key, "source", "target"]).select(key, "source", "target", (F.col("hops") - F.col("back")).alias("seq"), "node")

@@ -1,158 +1,25 @@
-"""Registered queries of the match and map operators, with their DuckDB oracles.
-
-Each query is declared as SQL over the adapted inputs (projections of the given tables);
-Spark runs it through Catalyst. ``{ep}`` is the engine's spelling of epoch seconds.
-"""
+"""Registered queries of the match and map operators, with their DuckDB oracles."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchspark.operators.paths import largest_component, shortest_distances
-from matchspark.operators.sessions import life_segments
-from matchspark.plans import teams, trajectories
-from matchspark.session import cut, table
+from matchspark.plans import map_queries, match_queries, oracles, source_queries, study_queries
+from matchspark.plans.inputs import Inputs
 
 FLAGSHIP = "q4a_life_outcomes"
-EPOCH = {"spark": "unix_micros(CAST(ts AS TIMESTAMP))/1000000.0", "duckdb": "epoch(ts)"}
-
-MATCH_LOG = """match_log AS (
- SELECT e.*, CASE WHEN event_type IN (6, 7) THEN k4 END AS wool_id, CASE WHEN event_type = 3 THEN mate END AS victim_id FROM (
- SELECT CAST(FLOOR(user_id / 5.0) AS INT) AS match_id, CAST(user_id AS INT) AS player_id, event_id AS row_id,
-  CAST(FLOOR(({ep} - 1704067200) / 7200.0) AS INT) AS t,
-  CASE event_type WHEN 'signup' THEN 2 WHEN 'error' THEN 4
-   WHEN 'purchase' THEN (CASE event_id % 3 WHEN 0 THEN 6 WHEN 1 THEN 7 ELSE 3 END) ELSE 5 END AS event_type,
-  CAST(CAST(FLOOR(value) AS INT) % 64 - 32 AS INT) AS x,
-  CAST(CAST(FLOOR(value * 100) AS BIGINT) % 48 AS INT) AS y,
-  CAST((CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) * 7) % 64 - 32 AS INT) AS z,
-  CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 4 AS INT) AS k4,
-  CAST(FLOOR(user_id / 5.0) * 5 + (user_id + 1) % 5 AS INT) AS mate FROM events) e)"""
-MATCHES = """matches AS (SELECT o_orderkey AS match_id, CAST(o_custkey % 40 AS INT) AS map_id, o_orderdate AS match_start,
- CAST(FLOOR(o_totalprice / 100.0) AS INT) AS match_duration, CAST(o_orderkey % 60 AS INT) AS player_count,
- (o_orderstatus = 'F') AS processed FROM orders)"""
-MAPS = """maps AS (SELECT CAST(c_custkey AS INT) AS map_id, c_name AS map_slug, 2 + c_nationkey % 3 AS team_count,
- CAST(FLOOR(ABS(c_acctbal)) AS INT) + 1 AS total_blocks, c_mktsegment AS size_tier FROM customer WHERE c_custkey < 40)"""
-CHESTS = """chests AS (SELECT l_suppkey AS map_id, l_orderkey AS chest_id, l_linenumber AS slot, p_type AS item_id,
- CAST(FLOOR(l_quantity) AS INT) AS cnt, l_returnflag AS zone, p_brand AS category
- FROM lineitem JOIN part ON l_partkey = p_partkey)"""
-BLOCKS = """blocks AS (SELECT CAST(l_suppkey % 5 AS INT) AS map_id, CAST(l_partkey % 48 AS INT) AS x, CAST(l_orderkey % 48 AS INT) AS z,
- CAST((l_linenumber * 7 + CAST(FLOOR(l_quantity) AS INT)) % 32 AS INT) AS y, MAX(CAST(FLOOR(l_quantity) AS INT) % 40) AS block_id
- FROM lineitem GROUP BY 1, 2, 3, 4)"""
-
-LIVES = """
-spawns AS (SELECT *, row_number() OVER (PARTITION BY match_id, player_id ORDER BY t, row_id) - 1 AS segment_idx FROM match_log WHERE event_type = 2),
-deaths AS (SELECT *, row_number() OVER (PARTITION BY match_id, player_id ORDER BY t, row_id) - 1 AS segment_idx FROM match_log WHERE event_type = 4),
-lasts AS (SELECT match_id, player_id, max(t) AS last_t FROM match_log GROUP BY 1, 2),
-placed AS (SELECT e.match_id, e.player_id, e.event_type, (SELECT max(s.segment_idx) FROM spawns s
-  WHERE s.match_id = e.match_id AND s.player_id = e.player_id AND s.t <= e.t) AS segment_idx FROM match_log e WHERE e.event_type IN (3, 5, 6, 7)),
-counts AS (SELECT match_id, player_id, segment_idx, count(*) FILTER (WHERE event_type = 5) AS position_count, count(*) FILTER (WHERE event_type = 3) AS kill_count,
-  count(*) FILTER (WHERE event_type = 6) AS wool_touches, count(*) FILTER (WHERE event_type = 7) AS wool_captures FROM placed WHERE segment_idx IS NOT NULL GROUP BY 1, 2, 3),
-lives AS (SELECT s.match_id, s.player_id, CAST(s.segment_idx AS INT) AS segment_idx, s.t AS start_timestamp, coalesce(d.t, l.last_t) AS end_timestamp,
-  coalesce(d.t, l.last_t) - s.t AS duration, CASE WHEN d.t IS NULL THEN 'match_end' ELSE 'death' END AS outcome, s.x AS spawn_x, s.z AS spawn_z,
-  coalesce(position_count, 0) AS position_count, coalesce(kill_count, 0) AS kill_count, coalesce(wool_touches, 0) AS wool_touches, coalesce(wool_captures, 0) AS wool_captures
-  FROM spawns s LEFT JOIN deaths d USING (match_id, player_id, segment_idx) LEFT JOIN lasts l USING (match_id, player_id) LEFT JOIN counts c USING (match_id, player_id, segment_idx))"""
-
-#: Query name -> (inputs, tables, SQL that both engines run).
-SHARED: dict[str, tuple[list[str], str, str]] = {
-    "q1a_maps_with_matches": ([MATCHES, MAPS], "orders customer", "SELECT m.map_id, map_slug, count(match_id) AS n_matches, coalesce(sum(player_count), 0) AS players, round(avg(match_duration), 6) AS avg_duration FROM maps m LEFT JOIN matches x ON m.map_id = x.map_id GROUP BY m.map_id, map_slug"),
-    "q1d_processing_status": ([MATCHES], "orders", "SELECT processed, count(*) AS n FROM matches GROUP BY processed"),
-    "a18_match_statistics": ([MATCHES], "orders", "SELECT coalesce(CAST(map_id AS VARCHAR(9)), 'ALL') AS map_key, count(*) AS n, count(*) FILTER (WHERE processed) AS n_processed, sum(player_count) AS players FROM matches GROUP BY ROLLUP (map_id)"),
-    "w11_map_size_buckets": ([MAPS], "customer", "SELECT map_id, total_blocks, ntile(5) OVER (ORDER BY total_blocks, map_id) AS size_bucket FROM maps"),
-    "q7a_match_gaps": ([MATCHES], "orders", "SELECT map_id, match_id, gap_matches FROM (SELECT map_id, match_id, lead(match_id) OVER (PARTITION BY map_id ORDER BY match_start, match_id) - match_id AS gap_matches FROM matches) g WHERE gap_matches IS NOT NULL"),
-    "j15_maps_without_matches": ([MATCHES, MAPS], "orders customer", "SELECT map_id, map_slug FROM maps m WHERE NOT EXISTS (SELECT 1 FROM matches x WHERE x.map_id = m.map_id AND processed)"),
-    "a40_match_coverage": ([MATCHES], "orders", "SELECT CASE WHEN n = 1 THEN '1' WHEN n <= 5 THEN '2-5' WHEN n <= 15 THEN '6-15' WHEN n <= 30 THEN '16-30' WHEN n <= 60 THEN '31-60' ELSE '61+' END AS bucket, count(*) AS maps FROM (SELECT map_id, count(*) AS n FROM matches GROUP BY map_id) c GROUP BY 1"),
-    "w20_weekly_longest": ([MATCHES], "orders", "SELECT CAST(wk AS DATE) AS week_start, match_id, match_duration FROM (SELECT date_trunc('week', match_start) AS wk, match_id, match_duration, row_number() OVER (PARTITION BY date_trunc('week', match_start) ORDER BY match_duration DESC, match_id) AS rn FROM matches) r WHERE rn <= 3"),
-    "q9a_zone_category_share": ([CHESTS], "lineitem part", "SELECT zone, category, n, round(100.0 * n / sum(n) OVER (PARTITION BY zone), 6) AS pct FROM (SELECT zone, category, count(*) AS n FROM chests GROUP BY 1, 2) c"),
-    "q9d_category_summary": ([CHESTS], "lineitem part", "SELECT category, n, total, round(100.0 * n / sum(n) OVER (), 6) AS pct FROM (SELECT category, count(*) AS n, sum(cnt) AS total FROM chests GROUP BY 1) c"),
-    "l2_top_surface": ([BLOCKS], "lineitem", "SELECT map_id, x, z, y, block_id FROM (SELECT b.*, row_number() OVER (PARTITION BY map_id, x, z ORDER BY y DESC) AS rn FROM blocks b WHERE block_id NOT IN (0, 36) AND y <= 28) r WHERE rn = 1"),
-    "l5_lowest_solid": ([BLOCKS], "lineitem", "SELECT map_id, x, z, y, block_id FROM (SELECT b.*, row_number() OVER (PARTITION BY map_id, x, z ORDER BY y) AS rn FROM blocks b WHERE block_id NOT IN (0, 36)) r WHERE rn = 1"),
-    "l6_vertical_segments": ([BLOCKS], "lineitem", "SELECT map_id, x, z, min(y) AS y_start, max(y) AS y_end FROM (SELECT map_id, x, z, y, y - row_number() OVER (PARTITION BY map_id, x, z ORDER BY y) AS run FROM blocks WHERE block_id <> 0) r GROUP BY map_id, x, z, run HAVING count(*) >= 2"),
-    "a15_block_inventory": ([BLOCKS], "lineitem", "SELECT map_id, block_id, count(*) AS n, min(y) AS y_min, max(y) AS y_max FROM blocks GROUP BY map_id, block_id"),
-    "j8_kill_death_pairs": ([MATCH_LOG], "events", "SELECT k.match_id, k.t, k.player_id AS killer, k.victim_id, k.row_id AS kill_row, d.row_id AS death_row FROM match_log k JOIN match_log d ON k.match_id = d.match_id AND k.victim_id = d.player_id AND k.t = d.t WHERE k.event_type = 3 AND d.event_type = 4"),
-    "a12_wool_waves": ([MATCH_LOG], "events", "SELECT match_id, wool_id, wave_idx, min(t) AS start_timestamp, max(t) AS end_timestamp, count(*) AS touches, count(DISTINCT player_id) AS n_carriers FROM (SELECT w.*, sum(new_wave) OVER (PARTITION BY match_id, wool_id ORDER BY t, row_id ROWS UNBOUNDED PRECEDING) - 1 AS wave_idx FROM (SELECT m.*, CASE WHEN t - lag(t) OVER (PARTITION BY match_id, wool_id ORDER BY t, row_id) <= 12 THEN 0 ELSE 1 END AS new_wave FROM match_log m WHERE event_type = 6) w) v GROUP BY match_id, wool_id, wave_idx"),
-    "a10_wool_monuments": ([MATCH_LOG], "events", "SELECT match_id, wool_id, x, z, count(*) AS capture_count FROM match_log WHERE event_type = 7 GROUP BY match_id, wool_id, x, z"),
-    "w2_first_touch": ([MATCH_LOG], "events", "SELECT match_id, wool_id, player_id, t FROM (SELECT m.*, row_number() OVER (PARTITION BY match_id, wool_id ORDER BY t, row_id) AS rn FROM match_log m WHERE event_type = 6) r WHERE rn = 1"),
-    "a4_cell_occupation": ([MATCH_LOG], "events", "SELECT match_id, CAST(floor(x / 5.0) * 5 AS INT) AS cx, CAST(floor(z / 5.0) * 5 AS INT) AS cz, count(*) AS occupation, count(DISTINCT player_id) AS players FROM match_log WHERE event_type = 5 AND y > 0 GROUP BY 1, 2, 3"),
-    "a24_population_curve": ([MATCH_LOG], "events", "SELECT match_id, CAST(round(t / 60.0) AS INT) AS minute, count(DISTINCT player_id) AS players FROM match_log GROUP BY 1, 2"),
-}
-
-INPUTS = {"log": MATCH_LOG, "matches": MATCHES, "maps": MAPS, "chests": CHESTS, "blocks": BLOCKS, "teams": teams.TEAMS, "staged": teams.STAGED, "firsts": teams.FIRSTS} | trajectories.INPUTS
-SHARED |= {name: ([INPUTS[i] for i in inputs], tables, sql) for name, (inputs, tables, sql) in (teams.QUERIES | trajectories.QUERIES).items()}
-
-
-def _views(spark: SparkSession, sf_dir: str, names: str) -> None:
-    for name in names.split():
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
-
-
-def _shared(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    inputs, tables, sql = SHARED[name]
-    _views(spark, sf_dir, tables)
-    return spark.sql(f"WITH {', '.join(inputs)} {sql}".replace("{ep}", EPOCH["spark"]))
-
-
-def match_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _views(spark, sf_dir, "events")
-    return spark.sql(f"WITH {MATCH_LOG} SELECT * FROM match_log".replace("{ep}", EPOCH["spark"]))
-
-
-def lives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return life_segments(match_log(spark, sf_dir))
-
-
-def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lives(spark, sf_dir).groupBy("outcome").agg({"*": "count"}).withColumnRenamed("count(1)", "n")
-
-
-#: Cells of a match with two samples or more, numbered in the order of their place.
-BUSY = ["log", "lived", "samples", "cells"]
-NODES = "SELECT match_id, CAST(node_id AS BIGINT) AS node, cx, cz FROM cells WHERE occupation >= 2"
-
-
-def busy_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Busy cells and the links between cells that touch along a side, 5 blocks long."""
-    _views(spark, sf_dir, "events")
-    nodes = cut(spark.sql(f"WITH {', '.join(INPUTS[i] for i in BUSY)} {NODES}".replace("{ep}", EPOCH["spark"])))
-    steps = nodes.selectExpr("match_id", "node AS src", "inline(array(struct(cx + 5 AS cx, cz AS cz), struct(cx AS cx, cz + 5 AS cz)))")
-    edges = steps.join(nodes, ["match_id", "cx", "cz"]).selectExpr("match_id", "src", "node AS dst", "5.0D AS weight")
-    return nodes.select("match_id", "node"), edges
-
-
-def busy_component(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return largest_component(*busy_graph(spark, sf_dir), "match_id")
-
-
-def busy_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = busy_graph(spark, sf_dir)
-    return shortest_distances(nodes.groupBy("match_id").agg({"node": "min"}).toDF("match_id", "node"), edges, "match_id")
-
-
-BUSY_WALK = f"""WITH RECURSIVE {{inputs}}, nodes AS MATERIALIZED ({NODES}), edges AS MATERIALIZED (SELECT a.match_id, a.node AS src, b.node AS dst FROM nodes a JOIN nodes b
- ON a.match_id = b.match_id AND abs(a.cx - b.cx) + abs(a.cz - b.cz) = 5)"""
-BUSY_SQL = {
-    "g2_largest_component": BUSY_WALK + """, walk AS (SELECT match_id, node, node AS root FROM nodes UNION SELECT e.match_id, e.dst, w.root FROM walk w JOIN edges e ON w.match_id = e.match_id AND w.node = e.src),
- named AS (SELECT match_id, node, min(root) AS component FROM walk GROUP BY 1, 2), sized AS (SELECT match_id, component, count(*) AS size FROM named GROUP BY 1, 2),
- best AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY size DESC, component) AS rn FROM sized)
- SELECT n.match_id, n.node, n.component, b.size FROM named n JOIN best b ON n.match_id = b.match_id AND n.component = b.component WHERE rn = 1""",
-    "g6_shortest_distances": BUSY_WALK + """, walk AS (SELECT match_id, min(node) AS node, 0 AS hops FROM nodes GROUP BY match_id UNION SELECT e.match_id, e.dst, w.hops + 1 FROM walk w JOIN edges e ON w.match_id = e.match_id AND w.node = e.src WHERE w.hops < 200)
- SELECT match_id, node, CAST(5 * min(hops) AS DOUBLE) AS distance FROM walk GROUP BY match_id, node""",
-}
+PAIRED = map_queries.QUERIES | source_queries.QUERIES | study_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> function of (spark, folder of tables)."""
-    return {"a1_life_segments": lives, FLAGSHIP: outcomes, "g2_largest_component": busy_component, "g6_shortest_distances": busy_distances} | {name: partial(_shared, name) for name in SHARED}
+    bind = lambda f: lambda spark, sf_dir: f(Inputs(spark, sf_dir))
+    paired = {name: f for name, (f, _, _) in PAIRED.items()}
+    return {name: bind(f) for name, f in (match_queries.QUERIES | paired).items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """Query name -> DuckDB SQL with the same rows."""
-    own = {
-        "a1_life_segments": f"WITH {MATCH_LOG}, {LIVES} SELECT * FROM lives",
-        FLAGSHIP: f"WITH {MATCH_LOG}, {LIVES} SELECT outcome, count(*) AS n FROM lives GROUP BY outcome",
-    }
-    own |= {name: sql.replace("{inputs}", ", ".join(INPUTS[i] for i in BUSY)) for name, sql in BUSY_SQL.items()}
-    shared = {name: f"WITH {', '.join(inputs)} {sql}" for name, (inputs, _, sql) in SHARED.items()}
-    return {k: v.replace("{ep}", EPOCH["duckdb"]) for k, v in (own | shared).items()}
+    return oracles.oracle_sql() | {name: oracles.composed(inputs, sql) for name, (_, inputs, sql) in PAIRED.items()}
