@@ -55,15 +55,25 @@ class ChunkIds(dict):
             new = chunks
         whole, parted, odd = {}, [], []
         for chunk in new:
-            base = chunk if chunk.isalpha() else chunk.rstrip(TAIL)
-            low = base.lower() if self.lower and base.isascii() else base
-            if base.isalpha() and (base.isascii() or base.lower().isalpha()):
-                if low not in self:
-                    whole[low] = None
-                if chunk != low:
-                    parted.append((chunk, low, chunk[len(base) :]))
+            base = chunk
+            if not chunk.isalpha():
+                base = chunk.rstrip(TAIL)
+                if not base.isalpha():
+                    odd.append(chunk)
+                    continue
+            if base.isascii():
+                low = base.lower() if self.lower else base
+            elif base.lower().isalpha():
+                low = base
             else:
                 odd.append(chunk)
+                continue
+            if low == chunk:
+                whole[low] = None
+            else:
+                if low not in self:
+                    whole[low] = None
+                parted.append((chunk, low, chunk[len(base) :]))
         self.update(zip(odd, self.several([chunk if chunk[0] == "\n" else self.lead + chunk for chunk in odd]), strict=True))
         self.update(zip(whole, self.together(list(whole)), strict=True))
         tails = {tail: self.encode(tail) if tail else b"" for tail in {tail for _, _, tail in parted}}

@@ -34,6 +34,10 @@ ISLANDS, POPULATION, EPOCHS, GENERATIONS = 2, 8, 2, 12
 #: Bins filled to less than this share are packed again with those of other shards.
 FILLED = 0.98
 
+#: Bits for the number of a bin.
+BITS = 24
+LAST = (1 << BITS) - 1
+
 Packing = tuple[list[list[int]], list[int]]
 
 
@@ -44,20 +48,23 @@ def totals(bins: list[list[int]], size: list[int]) -> list[int]:
 def best_fit(bins: list[list[int]], items: list[int], size: list[int], limit: int, sums: list[int] | None = None) -> list[list[int]]:
     """Put each item (longest first) into the bin that it leaves fullest, else into a new one; ``sums`` of the bins follow."""
     sums = totals(bins, size) if sums is None else sums
-    room = sorted((limit - s, n) for n, s in enumerate(sums))
+    room = sorted((limit - s) << BITS | n for n, s in enumerate(sums) if s < limit)  # room and number of a bin in one integer
     for item in sorted(items, key=size.__getitem__, reverse=True):
         need = size[item]
-        at = bisect_left(room, (need, -1))
+        at = bisect_left(room, need << BITS)
         if at < len(room):
-            left, n = room.pop(at)
+            spot = room.pop(at)
+            n = spot & LAST
             bins[n].append(item)
             sums[n] += need
         else:
-            left, n = limit, len(bins)
+            n = len(bins)
+            spot = limit << BITS | n
             bins.append([item])
             sums.append(need)
-        if left > need:
-            insort(room, (left - need, n))
+        spot -= need << BITS
+        if spot > LAST:
+            insort(room, spot)
     return bins
 
 
