@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import sys
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -25,7 +27,13 @@ def crc_of_ids(ids: np.ndarray) -> int:
 
 
 def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The batches in slices, so that a worker holds few texts at a time; unused memory goes back at the end."""
+    """The batches in slices, so that a worker holds few texts at a time; unused memory goes back at the end.
+
+    A worker that took part in encoding before gives up the words that it has kept.
+    """
+    if "matchspark.llm.encoding" in sys.modules:
+        sys.modules["matchspark.llm.encoding"].encoder.cache_clear()
+        gc.collect()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
