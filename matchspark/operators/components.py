@@ -2,13 +2,18 @@
 
 Each step is a grouped minimum (combined on the map side) and an equi-join on the node,
 so no adjacency list is ever gathered in one place; a hub is one hot join key, which
-adaptive skew handling splits. Rounds grow with the logarithm of the longest path.
+adaptive skew handling splits. Rounds grow with the logarithm of the longest path. Once
+the links are few, which is counted each round, one task finishes them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from matchspark.session import cut
 
@@ -31,7 +36,44 @@ def _state(edges: DataFrame, keys: list[str]) -> tuple:
     return tuple(row)
 
 
-def connected_components(edges: DataFrame, keys: list[str] | None = None, max_rounds: int = 60) -> DataFrame:
+#: Links up to this number are finished in one task.
+SMALL = 100_000
+
+
+def _finished(n_keys: int):
+    """A mapInArrow function over all links (keys, u, v): each node with the least node that it reaches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[tuple, tuple] = {}
+        kept: dict[tuple, object] = {}
+        schema = None
+
+        def find(x: tuple) -> tuple:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for batch in batches:
+            schema = batch.schema
+            columns = [c.to_pylist() for c in batch.columns]
+            for *key, u, v in zip(*columns, strict=True):
+                ends = []
+                for node in (u, v):
+                    name = (*key, tuple(node.values()) if isinstance(node, dict) else node)
+                    if name not in root:
+                        root[name], kept[name] = name, node
+                    ends.append(find(name))
+                root[max(ends)] = min(ends)
+        if root:
+            rows = [(*x[:n_keys], kept[x], kept[find(x)]) for x in root]
+            types = [*(schema.field(i).type for i in range(n_keys)), schema.field(n_keys).type, schema.field(n_keys).type]
+            names = [*(schema.field(i).name for i in range(n_keys)), "node", "component"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    return run
+
+
+def connected_components(edges: DataFrame, keys: list[str] | None = None, max_rounds: int = 60, small: int = SMALL) -> DataFrame:
     """Label the nodes of an undirected graph with the smallest node they reach.
 
     ``edges`` has columns ``src``, ``dst`` and, for many graphs at once, the columns
@@ -48,6 +90,10 @@ def connected_components(edges: DataFrame, keys: list[str] | None = None, max_ro
     before = _state(links, keys)
     if before[0]:
         for _ in range(max_rounds):
+            if before[0] <= small:
+                fields = {f.name: f.dataType for f in links.schema}
+                out = StructType([*(StructField(k, fields[k]) for k in keys), StructField("node", fields["__u"]), StructField("component", fields["__u"])])
+                return links.select(*keys, "__u", "__v").coalesce(1).mapInArrow(_finished(len(keys)), out)
             links = cut(_star(_star(links, keys, True), keys, False))
             after = _state(links, keys)
             if after == before:

@@ -143,3 +143,14 @@ def reception(captures: DataFrame, positions: DataFrame, radius: int = 40, lead:
     near = falls.join(positions.select("match_id", "player_id", "t", "x", "z", "team"), "match_id").where(F.col("t").between(F.col("f_t") - lead, F.col("f_t")) & (F.hypot(F.col("x") - F.col("f_x"), F.col("z") - F.col("f_z")) <= radius))
     counts = near.groupBy("match_id", "wool_id").agg(F.count_distinct(F.when(F.col("team") == F.col("f_team"), F.col("player_id"))).alias("attackers"), F.count_distinct(F.when(F.col("team") != F.col("f_team"), F.col("player_id"))).alias("defenders"))
     return falls.join(counts, ["match_id", "wool_id"], "left").select("match_id", "wool_id", F.col("f_team").alias("team"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("attackers", "defenders")))
+
+
+def capture_frame(captures: DataFrame, teams: DataFrame) -> DataFrame:
+    """Per match with two captures: the first two objectives, their attacker, each other team, and the seconds between.
+
+    ``captures``: ``match_id, row_id, wool_id, team, t``; the attacker is the first capture's team.
+    """
+    order = Window.partitionBy("match_id").orderBy("t", "row_id")
+    rows = captures.withColumn("k", F.row_number().over(order)).withColumn("second_wool", F.lead("wool_id").over(order)).withColumn("next_t", F.lead("t").over(order)).where("k = 1 and second_wool is not null")
+    others = teams.select("match_id", F.col("team").alias("defender")).distinct()
+    return rows.join(others, "match_id").where("team <> defender").select("match_id", F.col("wool_id").alias("first_wool"), "second_wool", F.col("team").alias("attacker"), "defender", (F.col("next_t") - F.col("t")).alias("seconds"))
