@@ -209,7 +209,7 @@ def corridor_use(visits: DataFrame) -> DataFrame:
     pairs = visits.where("location_type = 'build_region' and bridge_node_1 is not null and bridge_node_2 is not null")
     counts = pairs.groupBy(*LIFE, F.least("bridge_node_1", "bridge_node_2").alias("a"), F.greatest("bridge_node_1", "bridge_node_2").alias("b")).agg(F.count("*").alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy(*LIFE))
-    return counts.withColumn("p", share).groupBy(*LIFE).agg(F.count("*").alias("corridors"), (-F.sum(F.col("p") * F.log2("p"))).alias("entropy"), F.max("p").alias("dominant_share"))
+    return counts.withColumn("p", share).groupBy(*LIFE).agg(F.count("*").alias("corridors"), F.abs(F.sum(F.col("p") * F.log2("p"))).alias("entropy"), F.max("p").alias("dominant_share"))
 
 
 def pushes(touches: DataFrame, bucket: int = 60, least: int = 2) -> DataFrame:

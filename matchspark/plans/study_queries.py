@@ -226,7 +226,7 @@ def l18_leaf_regions(i: Inputs) -> DataFrame:
 
 
 @query("log lived samples diamonds placed", f"""{VISITS}, c AS (SELECT match_id, player_id, segment_idx, least(bridge_node_1, bridge_node_2) AS a, greatest(bridge_node_1, bridge_node_2) AS b, count(*) AS n FROM out WHERE bridge_node_1 IS NOT NULL AND bridge_node_2 IS NOT NULL GROUP BY 1, 2, 3, 4, 5),
- p AS (SELECT *, n * 1.0 / sum(n) OVER (PARTITION BY match_id, player_id, segment_idx) AS p FROM c) SELECT match_id, player_id, segment_idx, count(*) AS corridors, round(-sum(p * log2(p)), 6) AS entropy, round(max(p), 6) AS dominant_share FROM p GROUP BY 1, 2, 3""")
+ p AS (SELECT *, n * 1.0 / sum(n) OVER (PARTITION BY match_id, player_id, segment_idx) AS p FROM c) SELECT match_id, player_id, segment_idx, count(*) AS corridors, round(abs(sum(p * log2(p))), 6) AS entropy, round(max(p), 6) AS dominant_share FROM p GROUP BY 1, 2, 3""")
 def x2_corridor_use(i: Inputs) -> DataFrame:
     return studies.corridor_use(visits(i)).withColumns({c: r6(c) for c in ("entropy", "dominant_share")})
 

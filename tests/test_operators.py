@@ -86,7 +86,7 @@ def test_paths_take_the_cheaper_way_and_the_lower_node(spark):
 
 
 SQUARE = [(x, z) for x in range(3) for z in range(3)]
-SHAPES = {"L": [(0, 0), (0, 1), (0, 2), (1, 0)], "J": [(5, 5), (6, 5), (7, 5), (7, 6)], "S": [(1, 0), (2, 0), (0, 1), (1, 1)], "ring": [p for p in SQUARE if p != (1, 1)]}
+SHAPES = {"L": [(0, 0), (0, 1), (0, 2), (1, 0)], "J": [(6, 5), (6, 6), (6, 7), (5, 5)], "S": [(1, 0), (2, 0), (0, 1), (1, 1)], "ring": [p for p in SQUARE if p != (1, 1)]}
 
 
 def island(spark, **named):
