@@ -72,7 +72,8 @@ def with_anchors(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, key: st
 
     An anchor whose cell has a node marks it. Others become nodes of their own, numbered
     after the last by ``anchor_id`` (one for each cell, the first), with an edge of one
-    transition to each of the ``k`` nodes nearest to the anchor; ties to the lower node.
+    transition to each of the ``k`` nodes of the traffic nearest to the anchor; ties to the
+    lower node. Where there is no traffic they are numbered from 0 and have no edge.
     """
     from matchspark.operators.spatial import nearest_nodes
 
@@ -81,7 +82,7 @@ def with_anchors(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, key: st
     a = a.groupBy(key, "cx", "cz").agg(F.min(F.struct("anchor_id", "x", "z", "poi_type")).alias("a")).select(key, "cx", "cz", "a.*")
     marked = nodes.join(a.select(key, "cx", "cz", "poi_type"), [key, "cx", "cz"], "left").withColumn("fixed", F.col("poi_type").isNotNull())
     last = nodes.groupBy(key).agg(F.max("node_id").alias("last"))
-    lone = cut(a.join(nodes.select(key, "cx", "cz"), [key, "cx", "cz"], "left_anti").join(last, key))
+    lone = cut(a.join(nodes.select(key, "cx", "cz"), [key, "cx", "cz"], "left_anti").join(last, key, "left").withColumn("last", F.coalesce("last", F.lit(-1))))
     lone = lone.withColumn("node_id", F.col("last") + F.row_number().over(Window.partitionBy(key).orderBy("anchor_id")))
     more = lone.select(key, "node_id", "cx", "cz", F.lit(0).cast("long").alias("occupation"), "poi_type", F.lit(True).alias("fixed"))
     centres = nodes.select(F.col(key).alias("map_id"), "node_id", (F.col("cx") + size / 2).alias("x"), (F.col("cz") + size / 2).alias("z"))

@@ -436,7 +436,7 @@ def g1_traffic_edges(i: Inputs) -> DataFrame:
 
 
 ANCHORS = """, w AS (SELECT map_id, polygon_id, CAST(cx AS DOUBLE) AS x, CAST(cz AS DOUBLE) AS z, CAST(floor(cx / 5.0) * 5 AS INT) AS ax, CAST(floor(cz / 5.0) * 5 AS INT) AS az, row_number() OVER (PARTITION BY map_id, floor(cx / 5.0), floor(cz / 5.0) ORDER BY polygon_id) AS k FROM diamonds WHERE kind = 'island'),
- lone AS (SELECT w.*, (SELECT max(node_id) FROM nodes n WHERE n.map_id = w.map_id) + row_number() OVER (PARTITION BY map_id ORDER BY polygon_id) AS node_id FROM w WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM nodes n WHERE n.map_id = w.map_id AND n.cx = w.ax AND n.cz = w.az)),
+ lone AS (SELECT w.*, coalesce((SELECT max(node_id) FROM nodes n WHERE n.map_id = w.map_id), -1) + row_number() OVER (PARTITION BY map_id ORDER BY polygon_id) AS node_id FROM w WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM nodes n WHERE n.map_id = w.map_id AND n.cx = w.ax AND n.cz = w.az)),
  links AS (SELECT map_id, node_id AS dst, src FROM (SELECT l.map_id, l.node_id, n.node_id AS src, row_number() OVER (PARTITION BY l.map_id, l.node_id ORDER BY (n.cx + 2.5 - l.x) * (n.cx + 2.5 - l.x) + (n.cz + 2.5 - l.z) * (n.cz + 2.5 - l.z), n.node_id) AS r FROM lone l JOIN nodes n ON n.map_id = l.map_id) q WHERE r <= 3),
  every AS (SELECT map_id, src, dst, CAST(transitions AS BIGINT) AS transitions FROM edges UNION ALL SELECT map_id, src, dst, 1 FROM links)"""
 
