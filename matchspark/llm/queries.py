@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchspark.llm import decision_list, line_dedup, packing, quality_pu, secret_scan, sentencepiece_codec, simhash_near, sstable, toxicity_zstd, vector_topk
+from matchspark.llm import decision_list, line_dedup, merkle_log, packing, quality_pu, secret_scan, sentencepiece_codec, simhash_near, sstable, toxicity_zstd, vector_topk
 from matchspark.session import table
 
 
@@ -73,10 +73,15 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs of all documents."""
+    return merkle_log.merkle_manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_line_dedup, op2_exact_top_k, op3_sentencepiece, op4_quality_classifier, op5_simhash_near_dedup, op6_secret_scans, op7_best_fit_packing, op8_quality_rules, op9_toxicity, op10_sstable, pipeline]
+    named = [op1_line_dedup, op2_exact_top_k, op3_sentencepiece, op4_quality_classifier, op5_simhash_near_dedup, op6_secret_scans, op7_best_fit_packing, op8_quality_rules, op9_toxicity, op10_sstable, op11_merkle_manifest, pipeline]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL.replace("{docs}", "documents"), "op2_exact_top_k": vector_topk.SQL}
+    return {"op1_line_dedup": line_dedup.SQL.replace("{docs}", "documents"), "op2_exact_top_k": vector_topk.SQL, "op11_merkle_manifest": merkle_log.SQL}
