@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchspark.llm import decision_list, line_dedup, merkle_log, packing, quality_pu, secret_scan, sentencepiece_codec, simhash_near, sstable, text_prints, toxicity_zstd, vector_topk
+from matchspark.llm import collocations, decision_list, line_dedup, merkle_log, packing, quality_pu, secret_scan, sentencepiece_codec, simhash_near, sstable, text_prints, toxicity_zstd, vector_topk
 from matchspark.session import table
 
 
@@ -78,15 +78,20 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_log.merkle_manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first phrases of each language over all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return text_prints.document_prints(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_line_dedup, op2_exact_top_k, op3_sentencepiece, op4_quality_classifier, op5_simhash_near_dedup, op6_secret_scans, op7_best_fit_packing, op8_quality_rules, op9_toxicity, op10_sstable, op11_merkle_manifest, op13_document_fingerprints, pipeline]
+    named = [op1_line_dedup, op2_exact_top_k, op3_sentencepiece, op4_quality_classifier, op5_simhash_near_dedup, op6_secret_scans, op7_best_fit_packing, op8_quality_rules, op9_toxicity, op10_sstable, op11_merkle_manifest, op12_phrase_collocations, op13_document_fingerprints, pipeline]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL.replace("{docs}", "documents"), "op2_exact_top_k": vector_topk.SQL, "op11_merkle_manifest": merkle_log.SQL}
+    return {"op1_line_dedup": line_dedup.SQL.replace("{docs}", "documents"), "op2_exact_top_k": vector_topk.SQL, "op11_merkle_manifest": merkle_log.SQL, "op12_phrase_collocations": collocations.SQL}
