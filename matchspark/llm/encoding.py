@@ -13,6 +13,8 @@ from os.path import commonprefix
 
 import numpy as np
 
+from matchspark.llm.text import KEPT
+
 #: White space other than space and line feed, and separators that libraries class differently.
 ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85᠎​﻿]")
 CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+$")
@@ -162,3 +164,6 @@ class TextEncoder:
 def encoder(path: str) -> TextEncoder:
     """One encoder for each file and Python process, so tasks share what it has met."""
     return TextEncoder(path)
+
+
+KEPT.append(encoder.cache_clear)

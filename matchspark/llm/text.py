@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
-import sys
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -26,19 +27,28 @@ def crc_of_ids(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The batches in slices, so that a worker holds few texts at a time; unused memory goes back at the end.
+#: What gives up memory that a worker process keeps between tasks; modules with such memory add to it.
+KEPT: list[Callable[[], None]] = []
+
+
+def give_back() -> None:
+    """Return memory that is not in use to the machine; workers live on between tasks of different kinds."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # C libraries without it
+        ctypes.CDLL(None).malloc_trim(0)
 
-    A worker that took part in encoding before gives up the words that it has kept.
-    """
-    if "matchspark.llm.encoding" in sys.modules:
-        sys.modules["matchspark.llm.encoding"].encoder.cache_clear()
-        gc.collect()
+
+def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that a worker holds few texts at a time; memory goes back before and after them."""
+    for forget in KEPT:
+        forget()
+    give_back()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
     del batches
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def per_row(columns: list[str], out: pa.Schema, function: Callable[..., tuple]) -> Callable:
