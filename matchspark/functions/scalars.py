@@ -92,8 +92,13 @@ def item_category(item: Column) -> Column:
 
 
 def structure_class(gradient: Column, ratio: Column, width: Column, length: Column, room: Column) -> Column:
-    """Stair or wall, by steepness, the ratio of both sides, width, length and distance to the nearest room; else null."""
-    return F.when((gradient >= 0.5) & (ratio >= 2) & (width <= 8), "stair").when((gradient < 0.5) & (length >= 8) & (room <= 40), "wall")
+    """A stair climbs along itself, a wall is level, long and near a room; else null.
+
+    ``gradient`` is the slope along the long axis, ``ratio`` that over the slope across.
+    """
+    stair = (ratio >= 2.5) & (gradient >= 0.45) & (width <= 14)
+    wall = (room <= 25) & (gradient <= 0.35) & (ratio < 2) & (width <= 12) & (length >= 8)
+    return F.when(stair, "stair").when(wall, "wall")
 
 
 def respawn_label(has_spawner: Column, has_mob_spawner: Column, has_renewable: Column, has_chest: Column) -> Column:
@@ -116,6 +121,6 @@ def plain_team(team: Column) -> Column:
     return F.regexp_replace(team, "-team$", "")
 
 
-def death_region(location: Column, home: Column, enemy: Column) -> Column:
-    """Where a life ended: home, enemy or neutral island, build region, else void."""
-    return F.when(location == "island", F.when(home, "home_island").when(enemy, "enemy_island").otherwise("neutral_island")).when(location == "build_region", "build_region").otherwise("void")
+def death_region(location: Column, island: Column, home: Column) -> Column:
+    """Where a life ended: bridge (a build region), home or enemy island, else void."""
+    return F.when(location == "build_region", "bridge").when((location == "island") & island.isNotNull(), F.when(island == home, "home_island").otherwise("enemy_island")).otherwise("void")

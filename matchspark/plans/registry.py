@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchspark.plans import map_queries, match_queries, oracles, room_queries, source_queries, study_queries
+from matchspark.plans import map_queries, match_queries, oracles, room_queries, route_queries, source_queries, study_queries
 from matchspark.plans.inputs import Inputs
 
 FLAGSHIP = "q4a_life_outcomes"
-PAIRED = map_queries.QUERIES | source_queries.QUERIES | study_queries.QUERIES | room_queries.QUERIES
+PAIRED = map_queries.QUERIES | source_queries.QUERIES | study_queries.QUERIES | room_queries.QUERIES | route_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

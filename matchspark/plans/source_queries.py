@@ -227,15 +227,20 @@ def s11_chosen_layers(i: Inputs) -> DataFrame:
     return blocks.chosen_layers(stats, wanted)
 
 
-def streamed_log(i: Inputs) -> DataFrame:
-    """The log as a stream of files that hold whole matches."""
+STREAMED = ["match_id", "player_id", "row_id", "t", "event_type", "x", "y", "z", "wool_id"]
+
+
+def streamed_log(i: Inputs, closed: bool = False) -> DataFrame:
+    """The log as a stream of three files, whole matches in each; ``closed`` adds the closing mark."""
     path = scratch_path(i.spark, "stream")
-    i.log.select("match_id", "player_id", "row_id", "t", "event_type", "x", "y", "z", "wool_id").repartition(3, "match_id").sortWithinPartitions("t", "row_id").write.parquet(path)
+    i.log.select(*STREAMED).repartition(3, "match_id").sortWithinPartitions("t", "row_id").write.parquet(path)
+    if closed:
+        streams.close_log(i.spark, path)
     return streams.read_log(i.spark, path)
 
 
-def run_stream(i: Inputs, rows: DataFrame, mode: str) -> DataFrame:
-    return streams.drained(rows, scratch_path(i.spark, "stream-state"), scratch_path(i.spark, "stream-out"), mode)
+def run_stream(i: Inputs, rows: DataFrame) -> DataFrame:
+    return streams.drained(rows, scratch_path(i.spark, "stream-state"), scratch_path(i.spark, "stream-out"))
 
 
 @query("log", "SELECT match_id, count(*) AS n FROM match_log GROUP BY 1")
@@ -249,26 +254,28 @@ def m1_ingested_once(i: Inputs) -> DataFrame:
 
 @query("log", ", g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY match_id, wool_id ORDER BY t, row_id) <= 12 THEN 0 ELSE 1 END AS new FROM match_log WHERE event_type = 6), s AS (SELECT *, sum(new) OVER (PARTITION BY match_id, wool_id ORDER BY t, row_id) AS k FROM g) SELECT match_id, wool_id, count(*) AS touches, min(t) AS start_timestamp, max(t) AS end_timestamp FROM s GROUP BY match_id, wool_id, k")
 def m2_touch_sessions(i: Inputs) -> DataFrame:
-    return run_stream(i, streams.touch_sessions(streamed_log(i), 12), "complete")
+    return run_stream(i, streams.touch_sessions(streamed_log(i, closed=True), 12))
 
 
 @query("log", "SELECT match_id, t // 60 * 60 AS start, count(*) AS events, count(*) FILTER (WHERE event_type = 3) AS kills FROM match_log GROUP BY 1, 2")
 def m3_tumbling_buckets(i: Inputs) -> DataFrame:
-    return run_stream(i, streams.buckets(streamed_log(i)), "complete")
+    return run_stream(i, streams.buckets(streamed_log(i, closed=True)))
 
 
-@query("log", "SELECT match_id FROM match_log GROUP BY 1")
+@query("log", "SELECT match_id, CAST(count(*) AS BIGINT) AS rows, CAST(sum(CASE WHEN row_id % 2 = 0 THEN 1 ELSE 0 END) > 0 AS INT) + CAST(sum(row_id % 2) > 0 AS INT) AS changes FROM match_log GROUP BY 1")
 def m4_changed_sets(i: Inputs) -> DataFrame:
-    """Matches are acted on when their set of events changes: here once each, as files hold whole matches."""
-    acted = scratch_path(i.spark, "acted")
-    fingerprint = lambda rows: matchstats.set_fingerprint(rows, ["match_id"], "row_id")
-    streams.on_change(streamed_log(i), scratch_path(i.spark, "change-state"), fingerprint, scratch_path(i.spark, "seen"), lambda keys: keys.write.mode("append").parquet(acted), "match_id")
-    return i.spark.read.parquet(acted)
+    """Matches are acted on whenever rows are added to them: here the even rows come in one file and the odd ones in the next."""
+    path, acted = scratch_path(i.spark, "stream"), scratch_path(i.spark, "acted")
+    for k in range(2):
+        i.log.where(F.col("row_id") % 2 == k).select(*STREAMED).coalesce(1).write.mode("append").parquet(path)
+    streams.on_change(streams.read_log(i.spark, path), scratch_path(i.spark, "change-state"), "match_id", STREAMED, streams.write_batch(acted))
+    batches = i.spark.read.parquet(acted)
+    return batches.groupBy("match_id").agg(F.max("rows").alias("rows"), F.count_distinct("fingerprint").cast("int").alias("changes"))
 
 
 @query("log", ", o AS (SELECT *, row_number() OVER (PARTITION BY match_id, player_id, event_type ORDER BY t, row_id) AS k FROM match_log WHERE event_type IN (2, 4)) SELECT s.match_id, s.player_id, s.t AS start, d.t AS end FROM o s JOIN o d ON s.match_id = d.match_id AND s.player_id = d.player_id AND s.k = d.k AND s.event_type = 2 AND d.event_type = 4".replace(" AS end ", ' AS "end" '))
 def m5_lives_as_state(i: Inputs) -> DataFrame:
-    return run_stream(i, streams.lives(streamed_log(i)), "append")
+    return run_stream(i, streams.lives(streamed_log(i, closed=True))).where("end is not null")
 
 
 SENTENCE = "split_part(text, '.', 1)"
