@@ -47,11 +47,10 @@ def bounds(cells: DataFrame, keys: list[str]) -> DataFrame:
     return cells.groupBy(*keys).agg(F.count("*").alias("area"), F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("z").alias("min_z"), F.max("z").alias("max_z"))
 
 
-def holes(cells: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
-    """Enclosed empty cells of each key: ``keys, hole_id, x0, x1, z`` runs and the ``area`` of their hole.
+def empty_parts(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """The empty cells of each key's bounding box as runs ``keys, z, x0, x1, component, open``; parts meet along sides.
 
-    Empty means within the key's bounding box; a hole touches the box nowhere, and its
-    cells meet along sides. Holes are numbered by their first cell.
+    ``open`` runs touch the box; a part without any is enclosed.
     """
     runs = cell_runs(cells, keys).drop("node")
     boxed = runs.join(bounds(cells, keys).drop("area"), keys)
@@ -63,7 +62,16 @@ def holes(cells: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
     rows = boxed.select(*keys, "min_x", "max_x", "min_z", "max_z").distinct().withColumn("z", F.explode(F.sequence("min_z", "max_z")))
     bare = rows.join(runs.select(*keys, "z").distinct(), [*keys, "z"], "left_anti").select(*keys, "z", F.col("min_x").alias("x0"), F.col("max_x").alias("x1"), F.lit(True).alias("open"))
     empty = empty.unionByName(bare).withColumn("node", F.struct("z", F.col("x0").alias("x")))
-    labelled = cut(linked_runs(empty, keys, 0))
+    return cut(linked_runs(empty, keys, 0))
+
+
+def holes(cells: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
+    """Enclosed empty cells of each key: ``keys, hole_id, x0, x1, z`` runs and the ``area`` of their hole.
+
+    Empty means within the key's bounding box; a hole touches the box nowhere, and its
+    cells meet along sides. Holes are numbered by their first cell.
+    """
+    labelled = empty_parts(cells, keys)
     closed = labelled.groupBy(*keys, "component").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"), F.bool_or("open").alias("open")).where(~F.col("open") & (F.col("area") >= least))
     closed = closed.withColumn("hole_id", (F.row_number().over(Window.partitionBy(*keys).orderBy("component")) - 1).cast("int"))
     return labelled.drop("open").join(closed.drop("open"), [*keys, "component"]).select(*keys, "hole_id", "area", "z", "x0", "x1")

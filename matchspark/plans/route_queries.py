@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchspark.operators import blocks, forks, life_features, routes, spatial, structures, trajectories
+from matchspark.operators import archetypes, blocks, forks, graph, life_features, routes, spatial, structures, trajectories
 from matchspark.operators.paths import both_ways
 from matchspark.operators.sessions import LIFE, asof_segment
 from matchspark.plans.inputs import Inputs
-from matchspark.plans.map_queries import VISITS, visits
+from matchspark.plans.map_queries import BOX, VISITS, WALK, island_cells, visits
 from matchspark.plans.match_queries import busy_graph, r6
 from matchspark.session import cut
 
@@ -253,3 +253,66 @@ def p12_region_visits(i: Inputs) -> DataFrame:
     """Visits of the matches with a capture, with the ends of their paths."""
     rows = life_features.region_visits_of(visits(i)).join(i.log.where("event_type = 7").select("match_id").distinct(), "match_id", "left_semi")
     return rows.select(*LIFE, "visit_idx", "location_type", "island_id", "entry_timestamp", "exit_timestamp", F.size("nodes").alias("steps"), F.get("nodes", F.lit(0)).alias("first_node"), F.element_at("nodes", -1).alias("last_node"))
+
+
+#: Figures of islands in SQL: empty parts by flooding, the outline by lattice points, and the hull by its supporting pairs.
+FEATURES = f"""{WALK}{BOX}, gap AS MATERIALIZED (SELECT b.map_id, b.island_id, u.x, v.z, u.x IN (min_x, max_x) OR v.z IN (min_z, max_z) AS edge FROM box b, unnest(range(b.min_x, b.max_x + 1)) u(x), unnest(range(b.min_z, b.max_z + 1)) v(z) WHERE NOT EXISTS (SELECT 1 FROM islands i WHERE i.map_id = b.map_id AND i.island_id = b.island_id AND i.x = u.x AND i.z = v.z)),
+ flow AS (SELECT map_id, island_id, x, z, z * 1000 + x AS part FROM gap UNION SELECT g.map_id, g.island_id, g.x, g.z, f.part FROM flow f JOIN gap g ON g.map_id = f.map_id AND g.island_id = f.island_id AND abs(g.x - f.x) + abs(g.z - f.z) = 1),
+ parted AS MATERIALIZED (SELECT map_id, island_id, x, z, edge, min(part) AS part FROM flow JOIN gap USING (map_id, island_id, x, z) GROUP BY ALL),
+ parts AS MATERIALIZED (SELECT map_id, island_id, part, count(*) AS cells, min(x) AS a, max(x) AS b, min(z) AS c, max(z) AS d, bool_or(edge) AS open FROM parted GROUP BY 1, 2, 3),
+ whole AS MATERIALIZED (SELECT map_id, island_id, x, z FROM islands UNION SELECT map_id, island_id, x, z FROM parted JOIN parts USING (map_id, island_id, part) WHERE NOT open),
+ lattice AS MATERIALIZED (SELECT map_id, island_id, x + dx AS px, z + dz AS pz, sum(CASE WHEN dx = 0 AND dz = 0 THEN 1 WHEN dz = 0 THEN 2 WHEN dx = 0 THEN 4 ELSE 8 END) AS around, count(*) AS n FROM whole, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(dx, dz) GROUP BY 1, 2, 3, 4),
+ pts AS MATERIALIZED (SELECT map_id, island_id, px, pz, CASE WHEN n IN (1, 3) THEN 1 WHEN around IN (6, 9) THEN 2 ELSE 0 END AS turns, CASE WHEN around IN (6, 9) THEN 4 ELSE 2 END AS sides FROM lattice WHERE n < 4),
+ corners AS (SELECT map_id, island_id, CAST(px AS DOUBLE) AS x, CAST(pz AS DOUBLE) AS z, unnest(range(turns)) AS again FROM pts),
+ mom AS (SELECT map_id, island_id, avg(x) AS mx, avg(z) AS mz, avg(x * x + z * z) AS mq, var_samp(x) AS xx, var_samp(z) AS zz, covar_samp(x, z) AS xz, covar_samp(x, x * x + z * z) AS xq, covar_samp(z, x * x + z * z) AS zq FROM corners GROUP BY 1, 2),
+ fit AS (SELECT *, xx * zz - xz * xz AS det, (xq * zz - zq * xz) / (2 * (xx * zz - xz * xz)) AS ox, (zq * xx - xq * xz) / (2 * (xx * zz - xz * xz)) AS oz, 0.5 * atan2(2 * xz, xx - zz) AS axis FROM mom),
+ circ AS (SELECT *, mq - 2 * ox * mx - 2 * oz * mz + ox * ox + oz * oz AS r2 FROM fit),
+ res AS (SELECT map_id, island_id, any_value(axis) AS axis, sqrt(avg(pow(sqrt(pow(x - ox, 2) + pow(z - oz, 2)) - sqrt(r2), 2))) / sqrt(any_value(r2)) AS circle, stddev_pop(sqrt((zz * pow(x - mx, 2) - 2 * xz * (x - mx) * (z - mz) + xx * pow(z - mz, 2)) / det)) / avg(sqrt((zz * pow(x - mx, 2) - 2 * xz * (x - mx) * (z - mz) + xx * pow(z - mz, 2)) / det)) AS ellipse,
+  (max((x - mx) * cos(axis) + (z - mz) * sin(axis)) - min((x - mx) * cos(axis) + (z - mz) * sin(axis))) * (max((z - mz) * cos(axis) - (x - mx) * sin(axis)) - min((z - mz) * cos(axis) - (x - mx) * sin(axis))) AS turned FROM corners JOIN circ USING (map_id, island_id) GROUP BY 1, 2),
+ vert AS MATERIALIZED (SELECT map_id, island_id, px AS x, pz AS z FROM pts WHERE turns > 0),
+ hull AS (SELECT p.map_id, p.island_id, sum(p.x * q.z - q.x * p.z) / 2.0 AS hull_area FROM vert p JOIN vert q USING (map_id, island_id) WHERE (p.x, p.z) <> (q.x, q.z) AND NOT EXISTS (SELECT 1 FROM vert r WHERE r.map_id = p.map_id AND r.island_id = p.island_id AND ((q.x - p.x) * (r.z - p.z) - (q.z - p.z) * (r.x - p.x) < 0
+  OR (q.x - p.x) * (r.z - p.z) - (q.z - p.z) * (r.x - p.x) = 0 AND (r.x - p.x) * (r.x - q.x) + (r.z - p.z) * (r.z - q.z) < 0)) GROUP BY 1, 2),
+ lab AS (SELECT p.*, max_x - min_x + 1 AS wide, max_z - min_z + 1 AS deep, a <= min_x + greatest(0.5, 0.02 * least(max_x - min_x + 1, max_z - min_z + 1)) AS l, b >= max_x - greatest(0.5, 0.02 * least(max_x - min_x + 1, max_z - min_z + 1)) AS r, c <= min_z + greatest(0.5, 0.02 * least(max_x - min_x + 1, max_z - min_z + 1)) AS t, d >= max_z - greatest(0.5, 0.02 * least(max_x - min_x + 1, max_z - min_z + 1)) AS m FROM parts p JOIN box USING (map_id, island_id)),
+ cut AS (SELECT *, CASE WHEN l <> r AND t <> m AND cells >= 0.95 * (b - a + 1) * (d - c + 1) THEN CASE WHEN t THEN 'T' ELSE 'B' END || CASE WHEN l THEN 'L' ELSE 'R' END END AS corner FROM lab),
+ cuts AS (SELECT map_id, island_id, count(corner) AS cuts, round(sum(cells) FILTER (corner IS NOT NULL) / sum(cells), 4) AS coverage, string_agg(DISTINCT corner, ',' ORDER BY corner) AS corners, CASE WHEN count(DISTINCT corner) = 4 THEN round(greatest(0, least(1 - sum(b - a + 1) FILTER (corner[1] = 'T') / any_value(wide), 1 - sum(b - a + 1) FILTER (corner[1] = 'B') / any_value(wide), 1 - sum(d - c + 1) FILTER (corner[2] = 'L') / any_value(deep), 1 - sum(d - c + 1) FILTER (corner[2] = 'R') / any_value(deep))), 4) ELSE 0 END AS min_side FROM cut GROUP BY 1, 2 HAVING count(corner) > 0),
+ flushes AS (SELECT map_id, island_id, greatest(greatest(count(*) FILTER (x = min_x), count(*) FILTER (x = max_x)) * 1.0 / any_value(max_z - min_z + 1), greatest(count(*) FILTER (z = min_z), count(*) FILTER (z = max_z)) * 1.0 / any_value(max_x - min_x + 1)) AS flush FROM whole JOIN box USING (map_id, island_id) GROUP BY 1, 2),
+ feats AS MATERIALIZED (SELECT b.map_id, b.island_id, b.area, max_x - min_x + 1 AS wide, max_z - min_z + 1 AS deep, (SELECT count(*) FROM whole w WHERE w.map_id = b.map_id AND w.island_id = b.island_id) AS outer_area, (SELECT count(*) FROM parts p WHERE p.map_id = b.map_id AND p.island_id = b.island_id AND NOT open) AS holes,
+  (SELECT sum(sides) / 2 FROM pts p WHERE p.map_id = b.map_id AND p.island_id = b.island_id) AS perimeter, hull_area, circle, ellipse, round(degrees(axis), 2) - 90 * floor(round(degrees(axis), 2) / 90) AS tilt, turned, coalesce(cuts, 0) AS cuts, coalesce(coverage, 0) AS coverage, coalesce(corners, '') AS corners, coalesce(min_side, 0) AS min_side,
+  flush,
+  NOT EXISTS (SELECT 1 FROM whole w WHERE w.map_id = b.map_id AND w.island_id = b.island_id AND NOT EXISTS (SELECT 1 FROM whole o WHERE o.map_id = w.map_id AND o.island_id = w.island_id AND o.x = min_x + max_x - w.x AND o.z = min_z + max_z - w.z)) AS half_turn
+  FROM box b JOIN res USING (map_id, island_id) JOIN flushes USING (map_id, island_id) JOIN hull USING (map_id, island_id) LEFT JOIN cuts USING (map_id, island_id)),
+ figured AS MATERIALIZED (SELECT map_id, island_id, area, wide, deep, round(greatest(wide, deep) * 1.0 / least(wide, deep), 4) AS aspect, round(area * 1.0 / (wide * deep), 4) AS fill, round(least(1, outer_area / hull_area), 4) AS convexity, round(perimeter / (2.0 * (wide + deep)), 4) AS rugosity, holes, round(circle, 4) AS circle_residual, round(ellipse, 4) AS ellipse_residual, tilt,
+  CASE WHEN tilt BETWEEN 20 AND 70 THEN round(least(1, outer_area / turned), 4) END AS turned_fill, half_turn, round(flush, 4) AS flush, cuts, coverage, corners, min_side FROM feats)"""
+MEASURES = ["area", "wide", "deep", "aspect", "fill", "convexity", "rugosity", "holes", "circle_residual", "ellipse_residual", "tilt", "turned_fill", "half_turn", "flush", "cuts", "coverage", "corners", "min_side"]
+
+
+@query("ground", f"{FEATURES} SELECT map_id, island_id, {', '.join(MEASURES)} FROM figured")
+def l26_island_features(i: Inputs) -> DataFrame:
+    return archetypes.island_features(island_cells(i)).select("map_id", "island_id", *MEASURES)
+
+
+@query("ground", f"""{FEATURES}, round_ AS (SELECT *, convexity >= 0.88 AND holes = 0 AND half_turn AND CASE WHEN aspect <= 1.2 THEN circle_residual < 0.12 ELSE ellipse_residual < 0.10 AND fill >= 0.72 END AS is_round, corners IN ('BL,TR', 'BR,TL') AS opposite FROM figured)
+ SELECT map_id, island_id, CASE WHEN fill = 1 OR cuts = 4 AND corners = 'BL,BR,TL,TR' AND coverage >= 0.99 AND min_side >= 0.6 OR fill >= 0.95 AND convexity >= 0.95 AND holes = 0 AND cuts = 0 THEN 'rectangle' WHEN turned_fill >= 0.92 THEN 'rectangle_staircase' WHEN fill >= 0.88 AND convexity >= 0.88 AND holes = 0 AND cuts = 0 AND rugosity >= 1.08 THEN 'rectangle_noisy'
+  WHEN holes = 1 AND area >= 30 AND fill >= 0.25 AND convexity >= 0.92 AND rugosity <= 1.1 THEN 'ring' WHEN holes = 1 AND area >= 30 AND fill >= 0.25 AND convexity >= 0.85 AND rugosity <= 1.25 THEN 'ring_rugged' WHEN is_round AND rugosity >= 1.05 THEN 'circle_rugged' WHEN is_round THEN 'circle'
+  WHEN cuts = 1 AND coverage >= 0.9 THEN 'L' WHEN cuts = 2 AND coverage >= 0.9 THEN CASE WHEN opposite THEN 'Z' ELSE 'T' END WHEN convexity >= 0.6 AND cuts = 1 AND coverage >= 0.7 THEN 'L_noisy' WHEN convexity >= 0.6 AND cuts = 2 AND coverage >= 0.7 THEN CASE WHEN opposite THEN 'Z_noisy' ELSE 'T_noisy' END
+  WHEN flush >= 0.8 AND fill >= 0.65 AND convexity >= 0.82 AND rugosity <= 1.12 AND holes = 0 AND cuts = 0 THEN 'rectangle_chopped' WHEN holes >= 2 AND rugosity >= 1.2 THEN 'maze_rugged' WHEN holes >= 2 THEN 'maze' WHEN rugosity >= 1.2 THEN 'amoeba_rugged' WHEN aspect >= 2.5 THEN 'linear' ELSE 'amoeba' END AS island_type,
+  wide = deep AND cuts = 0 AND (fill = 1 OR fill >= 0.95 AND convexity >= 0.95 AND holes = 0) AS is_square FROM round_""")
+def l30_archetypes(i: Inputs) -> DataFrame:
+    return archetypes.archetypes(archetypes.island_features(island_cells(i))).select("map_id", "island_id", "island_type", "is_square")
+
+
+SKELETON = """, g AS MATERIALIZED (SELECT g.map_id, g.map_id AS island_id, x, z, (SELECT count(*) FROM ground o WHERE o.map_id = g.map_id AND abs(o.x - g.x) <= 1 AND abs(o.z - g.z) <= 1) - 1 AS degree FROM ground g),
+ sk AS (SELECT map_id, island_id, count(*) FILTER (degree >= 3) AS junctions, count(*) FILTER (degree = 1) AS endpoints, count(*) FILTER (degree = 2) AS edges FROM g GROUP BY 1, 2)"""
+
+
+@query("ground", f"{SKELETON} SELECT *, CASE WHEN junctions = 0 AND endpoints = 0 THEN 'none' WHEN junctions = 0 AND endpoints = 2 THEN 'line' WHEN edges > junctions + endpoints - 1 THEN 'mesh' ELSE 'tree' END AS topology FROM sk")
+def g23_skeleton_classes(i: Inputs) -> DataFrame:
+    """Cells of a map taken as one skeleton, those with two neighbours as its edges."""
+    nodes = graph.degrees(i.cells).withColumn("island_id", F.col("map_id"))
+    return archetypes.skeleton_features(nodes, nodes.where("degree = 2")).drop("min_arm_angle")
+
+
+@query("ground", f"{SKELETON} SELECT map_id, CAST(sum(n) AS BIGINT) AS nodes, any_value(edges) AS edges, any_value(endpoints) AS endpoints, any_value(junctions) AS junctions FROM sk JOIN (SELECT map_id, count(*) AS n FROM g GROUP BY 1) USING (map_id) GROUP BY 1")
+def g24_skeleton_totals(i: Inputs) -> DataFrame:
+    nodes = graph.degrees(i.cells).withColumn("island_id", F.col("map_id"))
+    return archetypes.skeleton_totals(archetypes.skeleton_features(nodes, nodes.where("degree = 2")), nodes)
