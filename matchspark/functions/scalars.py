@@ -124,3 +124,17 @@ def plain_team(team: Column) -> Column:
 def death_region(location: Column, island: Column, home: Column) -> Column:
     """Where a life ended: bridge (a build region), home or enemy island, else void."""
     return F.when(location == "build_region", "bridge").when((location == "island") & island.isNotNull(), F.when(island == home, "home_island").otherwise("enemy_island")).otherwise("void")
+
+
+def binomial_tails(top: Column, trials: Column) -> Column:
+    """Twice the odds of ``top`` or more heads among ``trials`` tosses of a fair coin; not cut at 1.
+
+    Terms are summed from the first one by its logarithm, so none overflows.
+    """
+    one = lambda c: c.cast("double")
+    steps = F.when(top > 0, F.sequence(F.lit(1), F.greatest(top, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    first = F.aggregate(steps, -one(trials) * F.log(F.lit(2.0)), lambda s, i: s + F.log(one(trials - i + 1) / one(i)))
+    ahead = F.sequence(top, F.greatest(trials, top))
+    start = F.struct(first.alias("term"), F.lit(0.0).alias("sum"))
+    last = F.aggregate(ahead, start, lambda s, k: F.struct((s["term"] + F.log(F.greatest(one(trials - k), F.lit(1e-300)) / one(k + 1))).alias("term"), (s["sum"] + F.exp(s["term"])).alias("sum")))
+    return F.when(top > trials, 0.0).otherwise(2 * last["sum"])

@@ -95,15 +95,32 @@ def snapped(points: DataFrame, nodes: DataFrame) -> DataFrame:
     return points.join(nearest_nodes(points, nodes).drop("rank"), CELL, "left")
 
 
+def held_by(points: DataFrame, rectangles: DataFrame) -> DataFrame:
+    """``points (map_id, point_id, x, z)`` with each rectangle ``map_id, region_id, min_x, max_x, min_z, max_z`` that holds them, ends included.
+
+    A rectangle is posted in grid buckets as wide as its longer side, rounded up to a power
+    of two: four at most. A point looks in one bucket of each width that its map's
+    rectangles have. Rectangles without an end (or without area) hold nothing.
+    """
+    side = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_z") - F.col("min_z"), F.lit(1.0))
+    finite = rectangles.where((F.col("max_x") >= F.col("min_x")) & (F.col("max_z") >= F.col("min_z")) & (F.abs("min_x") < float("inf")) & (F.abs("min_z") < float("inf")) & (side < float("inf")))
+    sized = finite.withColumn("__w", F.pow(F.lit(2.0), F.ceil(F.log2(side))))
+    spread = lambda c: F.explode(F.sequence(F.floor(F.col(f"min_{c}") / F.col("__w")), F.floor(F.col(f"max_{c}") / F.col("__w"))))
+    posted = sized.withColumn("__bx", spread("x")).withColumn("__bz", spread("z"))
+    widths = sized.select("map_id", "__w").distinct()
+    asked = points.join(widths, "map_id").withColumn("__bx", F.floor(F.col("x") / F.col("__w"))).withColumn("__bz", F.floor(F.col("z") / F.col("__w")))
+    met = asked.join(posted, ["map_id", "__w", "__bx", "__bz"]).where("x between min_x and max_x and z between min_z and max_z")
+    return met.drop("__w", "__bx", "__bz")
+
+
 def smallest_region(points: DataFrame, regions: DataFrame) -> DataFrame:
     """The smallest rectangle that holds each point ``map_id, point_id, x, z`` (ends included); ties to the smaller id.
 
     ``regions``: ``map_id, region_id, min_x, max_x, min_z, max_z``; endless ones never win.
     """
     area = (F.col("max_x") - F.col("min_x")) * (F.col("max_z") - F.col("min_z"))
-    finite = regions.where(F.abs(area) < float("inf")).withColumn("area", area)
-    held = points.join(finite, "map_id").where("x between min_x and max_x and z between min_z and max_z")
-    return held.groupBy("map_id", "point_id").agg(F.min_by("region_id", F.struct("area", "region_id")).alias("region_id"))
+    held = held_by(points.select("map_id", "point_id", "x", "z"), regions.select("map_id", "region_id", "min_x", "max_x", "min_z", "max_z"))
+    return held.withColumn("__area", area).groupBy("map_id", "point_id").agg(F.min_by("region_id", F.struct("__area", "region_id")).alias("region_id"))
 
 
 def rasterised(polygons: DataFrame, size: int) -> DataFrame:

@@ -175,7 +175,9 @@ def approaches(touches: DataFrame, positions: DataFrame, radius: float = 30.0, b
 
 def region_audit(points: DataFrame, regions: DataFrame) -> DataFrame:
     """Points by the rectangles that hold them: none, one, several with one box, several."""
-    held = points.join(regions, "map_id").where("x between min_x and max_x and z between min_z and max_z")
+    from matchspark.operators.spatial import held_by
+
+    held = held_by(points.select("map_id", "point_id", "x", "z"), regions)
     per = held.groupBy("map_id", "point_id").agg(F.count("*").alias("n"), F.count_distinct("min_x", "max_x", "min_z", "max_z").alias("boxes"))
     rows = points.select("map_id", "point_id").join(per, ["map_id", "point_id"], "left")
     kind = F.when(F.col("n").isNull(), "zero").when(F.col("n") == 1, "one").when(F.col("boxes") == 1, "one_bbox").otherwise("multiple")

@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchspark.operators import archetypes, blocks, forks, graph, life_features, routes, spatial, structures, trajectories
+from matchspark.functions import scalars
+from matchspark.operators import archetypes, blocks, forks, graph, life_features, objective_rooms, points_of_interest, routes, spatial, structures, trajectories
 from matchspark.operators.paths import both_ways
 from matchspark.operators.sessions import LIFE, asof_segment
 from matchspark.plans.inputs import Inputs
 from matchspark.plans.map_queries import BOX, VISITS, WALK, island_cells, visits
 from matchspark.plans.match_queries import busy_graph, r6
-from matchspark.session import cut
+from matchspark.session import cut, scratch_path
+from matchspark.sources import warehouse
 
 QUERIES: dict[str, tuple[Callable[[Inputs], DataFrame], list[str], str]] = {}
 
@@ -316,3 +318,128 @@ def g23_skeleton_classes(i: Inputs) -> DataFrame:
 def g24_skeleton_totals(i: Inputs) -> DataFrame:
     nodes = graph.degrees(i.cells).withColumn("island_id", F.col("map_id"))
     return archetypes.skeleton_totals(archetypes.skeleton_features(nodes, nodes.where("degree = 2")), nodes)
+
+
+#: Rooms in SQL: wools by map, regions as squares, spawners and chests by their colour's number, and the three passes one after the other.
+ROOMS = """, regions AS MATERIALIZED (SELECT map_id, kind || '-' || polygon_id AS region_id, cx - r AS min_x, cx + r AS max_x, cz - r AS min_z, cz + r AS max_z FROM diamonds),
+ wools AS MATERIALIZED (SELECT map_id, wool_id * 2 + again AS idx, wool_id, CAST(wool_id AS INT) AS damage, x, z FROM (SELECT match_id % 5 AS map_id, wool_id, median(x) AS x, median(z) AS z FROM match_log WHERE event_type = 7 GROUP BY 1, 2) w, (VALUES (0), (1)) v(again)),
+ spawners AS MATERIALIZED (SELECT map_id, polygon_id AS idx, kind || '-' || polygon_id AS region_id, CAST(polygon_id % 9 AS INT) AS damage FROM diamonds),
+ chest AS MATERIALIZED (SELECT map_id, x - 24 AS x, y, z - 24 AS z, CAST(y % 4 AS INT) AS damage, (y * 48 + z) * 48 + x AS idx FROM blocks WHERE block_id = 3 AND y % 4 < 2),
+ inside AS (SELECT c.map_id, c.damage, c.idx, first(region_id ORDER BY (max_x - min_x) * (max_z - min_z), region_id) AS region_id FROM chest c JOIN regions g ON g.map_id = c.map_id AND c.x BETWEEN min_x AND max_x AND c.z BETWEEN min_z AND max_z GROUP BY 1, 2, 3),
+ one AS (SELECT map_id, damage, first(region_id ORDER BY idx) AS region_id FROM spawners GROUP BY 1, 2), two AS (SELECT map_id, damage, first(region_id ORDER BY idx) AS region_id FROM inside GROUP BY 1, 2),
+ three AS (SELECT w.map_id, w.idx, first(region_id ORDER BY (max_x - min_x) * (max_z - min_z), region_id) AS region_id FROM wools w JOIN regions g ON g.map_id = w.map_id AND w.x BETWEEN min_x AND max_x AND w.z BETWEEN min_z AND max_z GROUP BY 1, 2),
+ lead AS (SELECT map_id, round(x, 1) AS px, round(z, 1) AS pz, min(idx) AS lead FROM wools GROUP BY 1, 2, 3),
+ solved AS (SELECT l.*, coalesce(one.region_id, two.region_id, three.region_id) AS region_id, CASE WHEN one.region_id IS NOT NULL THEN 'spawner' WHEN two.region_id IS NOT NULL THEN 'chest' WHEN three.region_id IS NOT NULL THEN 'location' END AS how FROM lead l JOIN wools w ON w.map_id = l.map_id AND w.idx = l.lead LEFT JOIN one ON one.map_id = w.map_id AND one.damage = w.damage LEFT JOIN two ON two.map_id = w.map_id AND two.damage = w.damage LEFT JOIN three ON three.map_id = w.map_id AND three.idx = w.idx),
+ found AS MATERIALIZED (SELECT w.*, region_id, CASE WHEN w.idx <> lead AND how IS NOT NULL THEN 'shared' ELSE how END AS found_by FROM wools w JOIN solved s ON s.map_id = w.map_id AND s.px = round(w.x, 1) AND s.pz = round(w.z, 1)),
+ block AS (SELECT DISTINCT b.map_id, b.x - 24 AS x, b.y, b.z - 24 AS z, CAST(y % 4 AS VARCHAR) AS colour FROM blocks b JOIN regions g ON g.map_id = b.map_id AND g.region_id LIKE 'build%' AND g.map_id <> 3 AND b.x - 24 BETWEEN min_x AND max_x AND b.z - 24 BETWEEN min_z AND max_z WHERE block_id = 5),
+ mobs AS (SELECT map_id, x - 24 AS x, z - 24 AS z FROM blocks WHERE block_id = 11 AND (map_id = 2 OR y % 2 = 0)),
+ things AS (SELECT map_id, x, z, 'c' AS kind, CAST(damage AS VARCHAR) AS colour FROM chest UNION ALL SELECT map_id, x, z, 'b', colour FROM block UNION ALL SELECT map_id, x, z, 'm', NULL FROM mobs),
+ held AS MATERIALIZED (SELECT g.map_id, g.region_id, count(*) FILTER (kind = 'c') AS chest_wool, count(*) FILTER (kind = 'b') AS block_wool, count(*) FILTER (kind = 'm') AS mob_spawners, coalesce(string_agg(DISTINCT colour, ',' ORDER BY colour), '') AS colours FROM regions g LEFT JOIN things t ON t.map_id = g.map_id AND t.x BETWEEN min_x AND max_x AND t.z BETWEEN min_z AND max_z GROUP BY 1, 2)"""
+
+
+def room_inputs(i: Inputs) -> dict[str, DataFrame]:
+    """Regions, wools (each twice, for two teams), spawners and chests of five maps."""
+    name = F.concat("kind", F.lit("-"), "polygon_id")
+    d = i.adapted("diamonds")
+    regions = d.select("map_id", name.alias("region_id"), *((F.col(f"c{c}") + s * F.col("r")).alias(f"{e}_{c}") for c in ("x", "z") for e, s in (("min", -1), ("max", 1))))
+    places = i.log.where("event_type = 7").groupBy((F.col("match_id") % 5).alias("map_id"), "wool_id").agg(F.median("x").alias("x"), F.median("z").alias("z"))
+    wools = places.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))).select("map_id", (F.col("wool_id") * 2 + F.col("again")).alias("idx"), "wool_id", F.col("wool_id").cast("int").alias("damage"), "x", "z")
+    spawners = d.select("map_id", F.col("polygon_id").alias("idx"), name.alias("region_id"), (F.col("polygon_id") % 9).cast("int").alias("damage"))
+    at = lambda kind: i.blocks.where(F.col("block_id") == kind).select("map_id", (F.col("x") - 24).alias("x"), "y", (F.col("z") - 24).alias("z"), (F.col("y") % 4).cast("int").alias("damage"), ((F.col("y") * 48 + F.col("z")) * 48 + F.col("x")).alias("idx"))
+    return {"regions": regions, "wools": wools, "spawners": spawners, "chests": at(3).where("damage < 2"), "blocks": at(5), "mobs": at(11)}
+
+
+def rooms_of(n: dict[str, DataFrame]) -> DataFrame:
+    return objective_rooms.room_regions(n["wools"], n["regions"], n["spawners"], n["chests"])
+
+
+def room_contents(n: dict[str, DataFrame]) -> DataFrame:
+    """What the rooms hold; map 3 renews no blocks, and map 2 has no tile entities."""
+    coloured = lambda rows: rows.withColumn("colour", F.col("damage").cast("string"))
+    renewables = n["regions"].where("region_id like 'build%' and map_id <> 3")
+    entities = n["mobs"].where("map_id <> 2").select("map_id", "x", "y", "z", (F.col("y") % 2 == 0).alias("spawns_wool"))
+    return objective_rooms.wool_in_rooms(n["regions"], coloured(n["chests"]), coloured(n["blocks"]), objective_rooms.wool_spawners(n["mobs"].select("map_id", "x", "y", "z"), entities), renewables)
+
+
+@query("log blocks diamonds", f"{ROOMS} SELECT map_id, idx, wool_id, region_id, found_by FROM found")
+def l12_room_regions(i: Inputs) -> DataFrame:
+    return rooms_of(room_inputs(i)).select("map_id", "idx", "wool_id", "region_id", "found_by")
+
+
+@query("log blocks diamonds", f"{ROOMS} SELECT f.map_id, f.wool_id, any_value(min_x) AS min_x, any_value(max_x) AS max_x, any_value(min_z) AS min_z, any_value(max_z) AS max_z FROM found f JOIN regions g USING (map_id, region_id) GROUP BY 1, 2")
+def p13_room_rectangles(i: Inputs) -> DataFrame:
+    n = room_inputs(i)
+    return objective_rooms.room_rectangles(rooms_of(n), n["regions"])
+
+
+@query("log blocks diamonds", f"{ROOMS} SELECT * FROM held")
+def l14_wool_in_rooms(i: Inputs) -> DataFrame:
+    return room_contents(room_inputs(i)).withColumn("colours", F.array_join("colours", ","))
+
+
+@query("log blocks diamonds", f"{ROOMS} SELECT map_id, count(*) AS spawners FROM mobs GROUP BY 1")
+def l16_wool_spawners(i: Inputs) -> DataFrame:
+    mobs = room_inputs(i)["mobs"].select("map_id", "x", "y", "z")
+    entities = mobs.where("map_id <> 2").withColumn("spawns_wool", F.col("y") % 2 == 0)
+    return objective_rooms.wool_spawners(mobs, entities).groupBy("map_id").agg(F.count("*").alias("spawners"))
+
+
+@query("log blocks diamonds", f"""{ROOMS}, s AS (SELECT f.map_id, f.idx, min(s.idx) AS spawner_idx FROM found f JOIN spawners s ON s.map_id = f.map_id AND (s.region_id = f.region_id OR s.damage = f.damage) GROUP BY 1, 2)
+ SELECT f.map_id, f.idx, f.wool_id, f.region_id, spawner_idx, CASE WHEN spawner_idx IS NOT NULL THEN 'pgm_spawner' WHEN mob_spawners > 0 THEN 'mob_spawner' WHEN block_wool > 0 THEN 'renewable' WHEN chest_wool > 0 THEN 'chest' ELSE 'unknown' END AS respawn FROM found f LEFT JOIN s USING (map_id, idx) LEFT JOIN held h ON h.map_id = f.map_id AND h.region_id = f.region_id""")
+def l17_wool_respawns(i: Inputs) -> DataFrame:
+    """How each wool comes back: by a spawner for its players or colour, or by what its room holds."""
+    n = room_inputs(i)
+    return objective_rooms.wool_respawns(rooms_of(n), n["spawners"], room_contents(n)).select("map_id", "idx", "wool_id", "region_id", "spawner_idx", "respawn")
+
+
+NAMED = """, teams_of AS (SELECT map_id, t.ord, t.team, t.colour, CASE WHEN map_id % 2 = 0 THEN t.name END AS name FROM maps, (VALUES (0, 'red-team', 'dark red', 'Reds'), (1, 'blue-team', 'blue', 'Blues')) t(ord, team, colour, name)),
+ named AS (SELECT map_id, CASE map_id % 7 WHEN 0 THEN 'Red-Team-Spawn' WHEN 1 THEN 'blue-spawn-point' WHEN 2 THEN 'reds-spawn' WHEN 3 THEN 'wool-spawn-blue' WHEN 4 THEN 'obs-spawn' WHEN 5 THEN 'spawn' ELSE 'blue-team-spawns' END AS region_id, CASE WHEN map_id % 7 = 6 AND map_id % 3 = 0 THEN 'union' ELSE 'cuboid' END AS kind, total_blocks * 1.0 AS min_x, total_blocks + 4.0 AS max_x, 0.0 AS min_z, 2.0 AS max_z FROM maps),
+ told AS (SELECT n.map_id, n.region_id, (SELECT t.team FROM teams_of t WHERE t.map_id = n.map_id AND (contains(lower(n.region_id), t.team) OR contains(lower(n.region_id), t.colour) OR contains(lower(n.region_id), lower(t.name))) ORDER BY NOT contains(lower(n.region_id), t.team), t.ord LIMIT 1) AS team FROM named n)"""
+
+
+def named_regions(i: Inputs) -> tuple[DataFrame, DataFrame]:
+    """Regions of all maps, named in turn as maps name them, and two teams each."""
+    names = F.array(*(F.lit(x) for x in ("Red-Team-Spawn", "blue-spawn-point", "reds-spawn", "wool-spawn-blue", "obs-spawn", "spawn", "blue-team-spawns")))
+    kind = F.when((F.col("map_id") % 7 == 6) & (F.col("map_id") % 3 == 0), "union").otherwise("cuboid")
+    regions = i.maps.select("map_id", F.get(names, F.col("map_id") % 7).alias("region_id"), kind.alias("kind"), F.col("total_blocks").cast("double").alias("min_x"), (F.col("total_blocks") + 4.0).alias("max_x"), F.lit(0.0).alias("min_z"), F.lit(2.0).alias("max_z"))
+    team = lambda n, *x: F.struct(F.lit(n).alias("ord"), *(F.lit(v).alias(c) for c, v in zip(("team", "colour", "name"), x, strict=True)))
+    teams = i.maps.select("map_id", F.explode(F.array(team(0, "red-team", "dark red", "Reds"), team(1, "blue-team", "blue", "Blues"))).alias("t")).select("map_id", "t.*")
+    return regions, teams.withColumn("name", F.when(F.col("map_id") % 2 == 0, F.col("name")))
+
+
+@query("maps", f"{NAMED} SELECT * FROM told")
+def f30_teams_of_regions(i: Inputs) -> DataFrame:
+    return points_of_interest.teams_of_regions(*named_regions(i))
+
+
+SPAWNS = f"""{NAMED}, points AS (SELECT map_id, 'red-team-spawn (inline)' AS region_id, total_blocks + 1.0 AS x, 5.0 AS z, 'red-team' AS team FROM maps WHERE stub UNION ALL SELECT map_id, region_id, (min_x + max_x) / 2, 1.0, team FROM named JOIN told USING (map_id, region_id) JOIN maps USING (map_id) WHERE NOT stub AND lower(region_id) LIKE '%spawn%' AND NOT regexp_matches(lower(region_id), 'wool|not-|obs') AND kind <> 'union')"""
+
+
+def spawn_points(i: Inputs) -> DataFrame:
+    """Stub maps carry a spawn of their own, the others' regions are read by their names."""
+    regions, teams = named_regions(i)
+    at = lambda c, n: (F.col("total_blocks") + n).cast("double").alias(c)
+    own = i.maps.where("stub").select("map_id", F.lit("red-team").alias("team"), at("min_x", 0), at("max_x", 2), F.lit(4.0).alias("min_z"), F.lit(6.0).alias("max_z"))
+    return points_of_interest.spawn_points(own, regions, teams)
+
+
+@query("maps", f"{SPAWNS} SELECT map_id, region_id, x, z, team, CASE team WHEN 'red-team' THEN 'dark red' WHEN 'blue-team' THEN 'blue' END AS team_colour FROM points")
+def l45_spawn_points(i: Inputs) -> DataFrame:
+    return spawn_points(i).select("map_id", "region_id", "x", "z", "team", "team_colour")
+
+
+@query("maps", f"{SPAWNS} SELECT map_id, CAST(row_number() OVER (PARTITION BY map_id ORDER BY team NULLS LAST, region_id) - 1 AS INT) AS spawn_idx, region_id, x, z, team FROM points")
+def l46_spawn_table(i: Inputs) -> DataFrame:
+    """The spawn table is written twice, the second time for stub maps alone: no row doubles."""
+    path, rows = scratch_path(i.spark, "spawns"), points_of_interest.spawn_table(spawn_points(i), i.maps).withColumn("bucket", F.col("map_id") % 8)
+    for some in (rows, rows.join(i.maps.where("map_id % 8 = 3").select("map_id"), "map_id", "left_semi")):
+        warehouse.replace_keys(some, path, "bucket")
+    return i.spark.read.parquet(path).select("map_id", "spawn_idx", "region_id", "x", "z", "team")
+
+
+@query("log", """, w AS (SELECT wool_id, match_id, count(*) FILTER (x >= 0) AS top, count(*) AS n FROM match_log WHERE event_type IN (6, 7) GROUP BY 1, 2), lf AS MATERIALIZED (SELECT k, coalesce(sum(ln(CAST(greatest(k, 1) AS DOUBLE))) OVER (ORDER BY k), 0) AS f FROM range(0, 10001) r(k))
+ SELECT wool_id, match_id, top, n, round(sum(exp(a.f - b.f - c.f - n * ln(2.0))) * 2, 6) AS tail FROM w, range(0, 10001) r(k) JOIN lf b ON b.k = r.k JOIN lf a ON a.k = n JOIN lf c ON c.k = n - r.k WHERE r.k BETWEEN top AND n GROUP BY 1, 2, 3, 4""")
+def f26_binomial_tails(i: Inputs) -> DataFrame:
+    """How odd the share of acts on one side of the map is, for each objective of a match."""
+    rows = i.log.where("event_type in (6, 7)").groupBy("wool_id", "match_id").agg(F.count_if(F.col("x") >= 0).alias("top"), F.count("*").alias("n"))
+    return rows.withColumn("tail", F.round(scalars.binomial_tails(F.col("top").cast("int"), F.col("n").cast("int")), 6))
