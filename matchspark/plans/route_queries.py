@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchspark.functions import scalars
-from matchspark.operators import archetypes, blocks, forks, graph, life_features, objective_rooms, points_of_interest, routes, spatial, structures, trajectories
+from matchspark.operators import archetypes, blocks, cluster_graph, forks, graph, life_features, objective_rooms, points_of_interest, routes, shapes, spatial, structures, team_shapes, trajectories
 from matchspark.operators.paths import both_ways
 from matchspark.operators.sessions import LIFE, asof_segment
 from matchspark.plans.inputs import Inputs
-from matchspark.plans.map_queries import BOX, VISITS, WALK, island_cells, visits
+from matchspark.plans.map_queries import BOX, TRAFFIC, VISITS, WALK, island_cells, traffic, visits
 from matchspark.plans.match_queries import busy_graph, r6
 from matchspark.session import cut, scratch_path
 from matchspark.sources import warehouse
@@ -443,3 +443,81 @@ def f26_binomial_tails(i: Inputs) -> DataFrame:
     """How odd the share of acts on one side of the map is, for each objective of a match."""
     rows = i.log.where("event_type in (6, 7)").groupBy("wool_id", "match_id").agg(F.count_if(F.col("x") >= 0).alias("top"), F.count("*").alias("n"))
     return rows.withColumn("tail", F.round(scalars.binomial_tails(F.col("top").cast("int"), F.col("n").cast("int")), 6))
+
+
+#: Territories in SQL: islands by the side of the map's middle that their centre lies on.
+TEAMED = f"""{WALK}{BOX}, mid AS (SELECT map_id, min(x) + max(x) AS sx, min(z) + max(z) AS sz FROM islands GROUP BY 1), sided AS MATERIALIZED (SELECT b.*, CASE WHEN 2 * center_x - 1 < sx THEN 'red' ELSE 'blue' END AS team, sx, sz FROM box b JOIN mid USING (map_id)),
+ homes AS (SELECT map_id, team, first(center_x - 0.5 ORDER BY area DESC, island_id) AS x, first(center_z - 0.5 ORDER BY area DESC, island_id) AS z, any_value(sx) AS sx, any_value(sz) AS sz FROM sided GROUP BY 1, 2),
+ axes AS MATERIALIZED (SELECT *, CASE map_id % 3 WHEN 0 THEN 'mirror_z' WHEN 1 THEN CASE WHEN abs(2 * z - sz) > abs(2 * x - sx) THEN 'mirror_x' ELSE 'mirror_z' END ELSE 'mirror_x' END AS axis FROM homes)"""
+
+
+def sided(i: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Islands with a team by side, their cells, and twice the middles of the maps."""
+    cells = island_cells(i)
+    middles = cells.groupBy("map_id").agg((F.min("x") + F.max("x")).alias("sx"), (F.min("z") + F.max("z")).alias("sz"))
+    boxes = shapes.bounds(cells, shapes.ISLAND).join(cells.groupBy(*shapes.ISLAND).agg(F.avg("x").alias("x"), F.avg("z").alias("z")), shapes.ISLAND)
+    return boxes.join(middles, "map_id").withColumn("team", F.when(2 * F.col("x") < F.col("sx"), "red").otherwise("blue")), cells, middles
+
+
+@query("ground", f"""{TEAMED}, halves AS (SELECT s.map_id, s.team, axis, abs(CASE axis WHEN 'mirror_x' THEN 2 * i.x - a.sx ELSE 2 * i.z - a.sz END) AS off, CASE axis WHEN 'mirror_x' THEN i.z ELSE i.x END AS along, count(*) AS n FROM islands i JOIN sided s USING (map_id, island_id) JOIN axes a ON a.map_id = s.map_id AND a.team = s.team WHERE CASE axis WHEN 'mirror_x' THEN 2 * i.x <> a.sx ELSE 2 * i.z <> a.sz END GROUP BY ALL)
+ SELECT map_id, team, axis, round(avg(n - 1), 6) AS overlap, avg(n - 1) >= 0.6 AS symmetric FROM halves GROUP BY 1, 2, 3""")
+def l34_team_symmetry(i: Inputs) -> DataFrame:
+    """Maps are taken as mirrored or turned in turn; a team's home is its largest island."""
+    islands, cells, middles = sided(i)
+    homes = islands.groupBy("map_id", "team").agg(F.min_by(F.struct("x", "z"), F.struct(-F.col("area"), "island_id")).alias("h")).select("map_id", "team", "h.*")
+    kinds = islands.select("map_id").distinct().withColumn("symmetry", F.when(F.col("map_id") % 3 == 0, "mirror_x").when(F.col("map_id") % 3 == 1, "point").otherwise("mirror_z"))
+    axes = team_shapes.inner_axes(homes, kinds, middles)
+    owned = cells.join(islands.select(*shapes.ISLAND, "team"), shapes.ISLAND)
+    return team_shapes.team_symmetry(owned, axes, middles).withColumn("overlap", r6("overlap"))
+
+
+@query("ground", f"{TEAMED}, own AS (SELECT map_id, team, area, count(*) AS n FROM sided GROUP BY 1, 2, 3) SELECT map_id, team, any_value(g) AS groups, count(*) FILTER (n = 1) AS covered, any_value(g) = count(*) FILTER (n = 1) AS symmetric FROM own JOIN (SELECT map_id, count(DISTINCT area) AS g FROM sided GROUP BY 1) USING (map_id) GROUP BY 1, 2")
+def l34_canonical_coverage(i: Inputs) -> DataFrame:
+    """Islands of one area are taken as one shape."""
+    return team_shapes.canonical_coverage(sided(i)[0].select(*shapes.ISLAND, "team", F.col("area").alias("shape")))
+
+
+@query("ground diamonds", f"""{WALK}{BOX}, spot AS (SELECT map_id, abs(cx) AS x, abs(cz) AS z FROM diamonds WHERE polygon_id < 5), near AS (SELECT s.map_id, i.island_id, row_number() OVER (PARTITION BY s.map_id ORDER BY i.x <> s.x OR i.z <> s.z, i.x, i.z) AS k FROM spot s JOIN islands i ON i.map_id = s.map_id AND abs(i.x - s.x) <= 2 AND abs(i.z - s.z) <= 2),
+ r AS (SELECT b.map_id, b.island_id, CASE WHEN EXISTS (SELECT 1 FROM near n WHERE n.k = 1 AND n.map_id = b.map_id AND n.island_id = b.island_id) THEN 'observer' WHEN b.island_id = 3 AND b.map_id < 3 THEN 'listed' WHEN b.map_id > 0 AND NOT (center_x BETWEEN 4 AND 44 AND center_z BETWEEN 4 AND 44) THEN 'outside' END AS reason FROM box b) SELECT * FROM r WHERE reason IS NOT NULL""")
+def l35_unplayable_islands(i: Inputs) -> DataFrame:
+    cells = island_cells(i)
+    figures = shapes.island_figures(cells)
+    spots = i.adapted("diamonds").where("polygon_id < 5").select("map_id", F.abs("cx").cast("double").alias("x"), F.abs("cz").cast("double").alias("z"))
+    boxes = figures.select("map_id").distinct().where("map_id > 0").select("map_id", F.lit(4).alias("min_x"), F.lit(44).alias("max_x"), F.lit(4).alias("min_z"), F.lit(44).alias("max_z"))
+    return team_shapes.unplayable(figures, team_shapes.observer_islands(spots, cells), figures.where("island_id = 3 and map_id < 3"), boxes)
+
+
+def _round(k: int) -> str:
+    """One round of moving centres in SQL."""
+    return f""" a{k} AS MATERIALIZED (SELECT p.map_id, p.x, p.z, p.n, (SELECT c.node_id FROM c{k} c WHERE c.map_id = p.map_id ORDER BY sqrt((p.x - c.x) * (p.x - c.x) + (p.z - c.z) * (p.z - c.z)), c.node_id LIMIT 1) AS node_id FROM places p),
+ c{k + 1} AS MATERIALIZED (SELECT c.map_id, c.node_id, coalesce(sum(a.x * n) * 1.0 / sum(n), any_value(c.x)) AS x, coalesce(sum(a.z * n) * 1.0 / sum(n), any_value(c.z)) AS z FROM c{k} c LEFT JOIN a{k} a ON a.map_id = c.map_id AND a.node_id = c.node_id GROUP BY 1, 2)"""
+
+
+CLUSTERS = f""", s AS MATERIALIZED (SELECT match_id % 5 AS map_id, samples.* FROM samples), places AS MATERIALIZED (SELECT map_id, x, z, count(*) AS n FROM s GROUP BY 1, 2, 3),
+ sized AS (SELECT map_id, count(*) AS m, least(greatest(floor(sqrt(sum(n) / 4)), 20), 400, count(*)) AS k FROM places GROUP BY 1), spots AS (SELECT p.*, m, k, row_number() OVER (PARTITION BY map_id ORDER BY x, z) - 1 AS spot FROM places p JOIN sized USING (map_id)),
+ c0 AS MATERIALIZED (SELECT map_id, CAST(floor(spot * k / m) AS BIGINT) AS node_id, CAST(x AS DOUBLE) AS x, CAST(z AS DOUBLE) AS z FROM spots WHERE spot = 0 OR floor(spot * k / m) > floor((spot - 1) * k / m)),{_round(0)},{_round(1)},
+ last AS MATERIALIZED (SELECT s.*, (SELECT c.node_id FROM c2 c WHERE c.map_id = s.map_id ORDER BY sqrt((s.x - c.x) * (s.x - c.x) + (s.z - c.z) * (s.z - c.z)), c.node_id LIMIT 1) AS node_id FROM s),
+ cn AS MATERIALIZED (SELECT c.map_id, c.node_id, c.x, c.z, count(*) AS occupation FROM c2 c JOIN last l USING (map_id, node_id) WHERE EXISTS (SELECT 1 FROM s v WHERE v.map_id = c.map_id AND v.cx = floor(c.x / 5) * 5 AND v.cz = floor(c.z / 5) * 5) GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2),
+ hop AS (SELECT map_id, node_id, lag(node_id) OVER w AS before, t - lag(t) OVER w AS gap FROM last WINDOW w AS (PARTITION BY match_id, player_id, segment_idx ORDER BY t, row_id)),
+ ce AS MATERIALIZED (SELECT h.map_id, least(before, node_id) AS src, greatest(before, node_id) AS dst, count(*) AS transitions FROM hop h WHERE before <> node_id AND gap <= 30 AND (h.map_id, node_id) IN (SELECT (map_id, node_id) FROM cn) AND (h.map_id, before) IN (SELECT (map_id, node_id) FROM cn) GROUP BY 1, 2, 3)"""
+
+
+def clustered(i: Inputs) -> tuple[DataFrame, DataFrame]:
+    places = cut(i.mapped.groupBy("map_id", "x", "z").agg(F.count("*").alias("n")))
+    centres = cluster_graph.lloyd(places, cluster_graph.first_centres(places), 2)
+    return cluster_graph.cluster_graph(i.mapped, centres, i.mapped, LIFE, 2, 1)
+
+
+@query("log lived samples", f"{CLUSTERS} SELECT map_id, node_id, round(x, 6) AS x, round(z, 6) AS z, occupation FROM cn")
+def g10_cluster_nodes(i: Inputs) -> DataFrame:
+    return clustered(i)[0].withColumns({c: r6(c) for c in ("x", "z")})
+
+
+@query("log lived samples", f"{CLUSTERS} SELECT * FROM ce")
+def g10_cluster_edges(i: Inputs) -> DataFrame:
+    return clustered(i)[1]
+
+
+@query("log lived samples", f"{CLUSTERS}{TRAFFIC.replace(', s AS (SELECT match_id % 5 AS map_id, samples.* FROM samples),', ',')} SELECT 'clusters' AS strategy, map_id, count(*) AS nodes, any_value(k) AS edges, any_value(n) AS transitions FROM cn LEFT JOIN (SELECT map_id, count(*) AS k, CAST(sum(transitions) AS BIGINT) AS n FROM ce GROUP BY 1) e USING (map_id) GROUP BY 2 UNION ALL SELECT 'grid_5', map_id, count(*), any_value(e.k), any_value(e.n) FROM nodes LEFT JOIN (SELECT map_id, count(*) AS k, CAST(sum(transitions) AS BIGINT) AS n FROM edges GROUP BY 1) e USING (map_id) GROUP BY 2")
+def g9_compared_graphs(i: Inputs) -> DataFrame:
+    return cluster_graph.compared({"clusters": clustered(i), "grid_5": traffic(i)})
