@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,8 +15,15 @@ TIERS = {80: "giga", 64: "mega", 48: "hecto", 32: "centi", 22: "milli", 14: "mic
 
 
 def normal_name(name: Column) -> Column:
-    """A map's slug: accents off, lower case, spaces to ``_``, only ``a-z0-9_``, no doubled or outer ``_``."""
-    plain = F.regexp_replace(F.normalize(name, F.lit("NFKD")), r"[^\x00-\x7F]", "") if hasattr(F, "normalize") else F.translate(name, "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy")
+    """A map's slug: accents off, lower case, spaces to ``_``, only ``a-z0-9_``, no doubled or outer ``_``.
+
+    Names of ASCII alone stay on the JVM; others are decomposed (NFKD) in Arrow batches.
+    """
+    @F.pandas_udf("string")
+    def decomposed(names: pd.Series) -> pd.Series:
+        return names.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
+
+    plain = F.when(name.rlike(r"[^\x00-\x7F]"), decomposed(F.when(name.rlike(r"[^\x00-\x7F]"), name))).otherwise(name)
     kept = F.regexp_replace(F.regexp_replace(F.lower(plain), " ", "_"), "[^a-z0-9_]", "")
     return F.regexp_replace(F.regexp_replace(kept, "_+", "_"), "^_|_$", "")
 

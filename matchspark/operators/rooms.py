@@ -149,3 +149,9 @@ def map_documents(maps: DataFrame, islands: DataFrame) -> DataFrame:
 def placeable(kits: DataFrame, materials: DataFrame, most: int = 197, least: int = 16) -> DataFrame:
     """Materials of each map's kits that can be placed: a known ordinal of at most ``most`` in stacks of ``least``."""
     return kits.where(F.col("amount") >= least).join(materials, "material").where(F.col("ordinal") <= most).select("map_id", "material", "ordinal").distinct()
+
+
+def artefacts(found: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Which artefacts each map has: ``map_id`` and a column of each kind, told by ``kind=`` in the path ``source`` of its rows."""
+    kind = F.regexp_extract("source", "kind=([^/]+)", 1)
+    return found.groupBy("map_id").agg(*(F.bool_or(kind == name).alias(out) for name, out in kinds.items()))

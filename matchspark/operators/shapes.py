@@ -206,9 +206,11 @@ def centre_class(min_x: Column, max_x: Column, min_z: Column, max_z: Column) ->
 
 
 def island_of(points: DataFrame, figures: DataFrame, margin: int = 5) -> DataFrame:
-    """The first island whose box, widened by ``margin``, holds each point ``map_id, point_id, x, z`` (islands of a map are few)."""
-    held = points.join(figures, "map_id").where((F.col("x") >= F.col("min_x") - margin) & (F.col("x") <= F.col("max_x") + margin) & (F.col("z") >= F.col("min_z") - margin) & (F.col("z") <= F.col("max_z") + margin))
-    return held.groupBy("map_id", "point_id").agg(F.min("island_id").alias("island_id"))
+    """The first island whose box, widened by ``margin``, holds each point ``map_id, point_id, x, z``."""
+    from matchspark.operators.spatial import held_by
+
+    wide = figures.select("map_id", F.col("island_id").alias("region_id"), *((F.col(f"{e}_{c}") + s * margin).alias(f"{e}_{c}") for c in ("x", "z") for e, s in (("min", -1), ("max", 1))))
+    return held_by(points.select("map_id", "point_id", "x", "z"), wide).groupBy("map_id", "point_id").agg(F.min("region_id").alias("island_id"))
 
 
 def island_teams(figures: DataFrame, spawns: DataFrame, axis: str = "x", neutral: float = 0.03) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +36,20 @@ def sweep(matches: DataFrame, least: int, n: int) -> DataFrame:
     return matches.where(F.col("processed") & (F.col("match_duration") > least)).orderBy(F.desc("match_duration"), "match_id").limit(n)
 
 
+def around(points: DataFrame, places: DataFrame, radius: float) -> DataFrame:
+    """``points (map_id, point_id, x, z)`` with each of ``places (map_id, region_id, px, pz)`` within ``radius``, and its ``distance``; they meet in grid buckets."""
+    from matchspark.operators.spatial import held_by
+
+    squares = places.select("map_id", F.struct("region_id", "px", "pz").alias("region_id"), *((F.col(f"p{c}") + s * radius).alias(f"{e}_{c}") for c in ("x", "z") for e, s in (("min", -1), ("max", 1))))
+    far = F.hypot(F.col("region_id.px") - F.col("x"), F.col("region_id.pz") - F.col("z"))
+    met = held_by(points.select("map_id", "point_id", "x", "z"), squares).withColumn("distance", far).where(F.col("distance") <= radius)
+    return met.select("map_id", "point_id", "x", "z", "region_id.region_id", "distance")
+
+
 def near_points(figures: DataFrame, points: DataFrame, radius: float) -> DataFrame:
-    """Islands whose centre lies within ``radius`` of a point ``map_id, point_id, x, z`` (few a map)."""
-    far = F.hypot(F.col("center_x") - F.col("x"), F.col("center_z") - F.col("z"))
-    return points.join(figures.select("map_id", "island_id", "center_x", "center_z"), "map_id").withColumn("distance", far).where(F.col("distance") <= radius).select("map_id", "point_id", "island_id", "distance")
+    """Islands whose centre lies within ``radius`` of a point ``map_id, point_id, x, z``."""
+    centres = figures.select("map_id", F.col("island_id").alias("region_id"), F.col("center_x").alias("px"), F.col("center_z").alias("pz"))
+    return around(points, centres, radius).select("map_id", "point_id", F.col("region_id").alias("island_id"), "distance")
 
 
 def defence_zone(samples: DataFrame, radius: float = 70.0, steps: float = 60.0) -> DataFrame:
@@ -82,10 +93,10 @@ def completeness(diggable: DataFrame, floors: DataFrame, rooms: DataFrame, radiu
     """Mean share of the dug depth over all diggable cells near each room; untouched cells count 0.
 
     ``diggable``: ``map_id, x, z, depth`` (greatest possible); ``floors``: ``map_id, x, z,
-    dug``; ``rooms``: ``map_id, room_id, x, z`` (few a map). Rooms with ``least`` cells.
+    dug``; ``rooms``: ``map_id, room_id, x, z``. Rooms with ``least`` cells.
     """
-    r = rooms.select("map_id", "room_id", F.col("x").alias("rx"), F.col("z").alias("rz"))
-    near = diggable.join(r, "map_id").where(F.hypot(F.col("x") - F.col("rx"), F.col("z") - F.col("rz")) <= radius).join(floors, ["map_id", "x", "z"], "left")
+    places = rooms.select("map_id", F.col("room_id").alias("region_id"), F.col("x").alias("px"), F.col("z").alias("pz"))
+    near = around(diggable.withColumn("point_id", F.col("depth")), places, radius).select("map_id", "x", "z", F.col("point_id").alias("depth"), F.col("region_id").alias("room_id")).join(floors, ["map_id", "x", "z"], "left")
     share = F.least(F.lit(1.0), F.coalesce("dug", F.lit(0)) / F.greatest("depth", F.lit(1)))
     return near.groupBy("map_id", "room_id").agg(F.count("*").alias("cells"), F.avg(share).alias("complete")).where(F.col("cells") >= least)
 
@@ -103,18 +114,77 @@ def flank_frame(samples: DataFrame, axes: DataFrame, low: float = 0.55, high: fl
     return rows.where(F.col("along").between(low, high)).groupBy("match_id", "team").agg(F.count("*").alias("samples"), F.median("off").alias("median_offset")).where(F.col("samples") >= least)
 
 
-def best_by(rows: DataFrame, category: dict[str, tuple[Column, Column]], key: str) -> DataFrame:
-    """One row for each category in turn: the best by its metric among those in its pool that no earlier category took.
+def best_by(rows: DataFrame, category: dict[str, tuple], key: str) -> DataFrame:
+    """``category, key, metric``: for each category in turn the best row of its pool that none of those it gives way to took.
 
-    ``category``: name -> (pool condition, metric; the greatest wins, ties to the smaller key).
+    ``category``: name -> (pool condition, metric, names it gives way to: all earlier ones
+    if left out); the greatest metric wins, ties go to the smaller key, rows without one
+    come last. One pass ranks every pool and keeps as many of its rows as earlier picks can
+    take from it, and one more; the picks are made among these few rows.
     """
-    taken, out = None, None
-    for name, (pool, metric) in category.items():
-        left = rows.where(pool) if taken is None else rows.where(pool).join(taken, key, "left_anti")
-        pick = left.withColumn("metric", metric).orderBy(F.desc_nulls_last("metric"), key).limit(1).select(F.lit(name).alias("category"), key, F.col("metric").cast("double").alias("metric"))
-        out = pick if out is None else out.unionByName(pick)
-        taken = out.select(key)
-    return out
+    names = list(category)
+    after = {n: list(c[2]) if len(c) > 2 else names[:k] for k, (n, c) in enumerate(category.items())}
+    entries = F.array(*(F.when(F.coalesce(c[0], F.lit(False)), F.struct(F.lit(n).alias("category"), c[1].cast("double").alias("metric"), F.lit(len(after[n]) + 1).alias("most"))) for n, c in category.items()))
+    pools = rows.select(key, F.explode(entries).alias("e")).where("e is not null").select(key, "e.*")
+    order = Window.partitionBy("category").orderBy(F.desc_nulls_last("metric"), key)
+    first = pools.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= len(names)).where("rank <= most")
+
+    def chosen(some: pd.DataFrame) -> pd.DataFrame:
+        taken, out = {}, []
+        for n in names:
+            left = some[(some["category"] == n) & ~some[key].isin([taken[x] for x in after[n] if x in taken])].sort_values("rank")
+            if len(left):
+                taken[n] = left.iloc[0][key]
+                out.append(left.iloc[:1])
+        return pd.concat(out)[["category", key, "metric"]]
+
+    kind = rows.schema[key].dataType.simpleString()
+    return first.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(chosen, f"category string, {key} {kind}, metric double")
+
+
+def representatives(lives: DataFrame, key: str, positions: int = 8, few: int = 4, roamed: float = 40, nodes: int = 12, crossed: float = 20, share: float = 0.1) -> DataFrame:
+    """A life for each way to play, by their figures ``positions, span, nodes, tortuosity, kills, high_share, bow_share, builder_share, enemy_min, home_mean, touched``.
+
+    The one nearest to an enemy objective; the one nearest to its own all along that never
+    touched one; the most winding and far one; the longest way; the most kills; the most
+    time up high, with a bow, with building blocks. The first four may be one life (but the
+    defender is not the attacker), the others are lives that no earlier one took.
+    """
+    c = F.col
+    enough = c("positions") >= positions
+    return best_by(lives, {
+        "deep_attacker": (c("enemy_min").isNotNull(), -c("enemy_min")),
+        "defender": (c("home_mean").isNotNull() & ~c("touched") & enough, -c("home_mean"), ["deep_attacker"]),
+        "roamer": ((c("span") >= roamed) & (c("nodes") >= nodes), c("tortuosity") * F.log1p("nodes"), []),
+        "traversal": (F.lit(True), c("span"), []),
+        "high_killer": (c("positions") >= few, c("kills")),
+        "skybridge": (enough & (c("span") >= crossed), c("high_share")),
+        "bow_archer": (enough & (c("bow_share") > share), c("bow_share")),
+        "builder": (enough & (c("builder_share") > share), c("builder_share")),
+    }, key)
+
+
+def defence_representatives(lives: DataFrame, key: str, positions: int = 8, near: float = 60) -> DataFrame:
+    """The life that dug lowest near its objective and, of the others, the one that held traps most: ``positions, wool_distance, min_y_near, trap_share``."""
+    pool = (F.col("positions") >= positions) & (F.col("wool_distance") < near)
+    return best_by(lives, {"early_digger": (pool & F.col("min_y_near").isNotNull(), -F.col("min_y_near")), "early_builder": (pool & (F.col("trap_share") > 0), F.col("trap_share"))}, key)
+
+
+def defence_overview(samples: DataFrame, keys: list[str], pit: float = 30, wall: float = 15, low: int = 5) -> DataFrame:
+    """``keys, positions, players, lowest_near, wall_height, perimeter`` and the samples of each kind of defence work.
+
+    ``samples``: keys, ``player_id, y, wool_distance, activity`` (dig, wall, trap, gate,
+    guard or other). ``lowest_near``: the least height below ``low`` within ``pit`` of the
+    objective; ``wall_height``: the greatest of walls, traps and gates within ``wall``;
+    ``perimeter``: the farthest defence work, in whole blocks; null without any.
+    """
+    c = F.col
+    built, work = c("activity").isin("wall", "trap", "gate"), c("activity").isin("dig", "wall", "trap", "gate")
+    n = lambda *kinds: F.count_if(c("activity").isin(*kinds))
+    return samples.groupBy(*keys).agg(
+        F.count("*").alias("positions"), F.count_distinct("player_id").alias("players"), F.min(F.when((c("wool_distance") < pit) & (c("y") < low), c("y"))).alias("lowest_near"), F.max(F.when(built & (c("wool_distance") < wall), c("y"))).alias("wall_height"),
+        F.max(F.when(work, F.floor("wool_distance"))).cast("int").alias("perimeter"), n("dig").alias("digs"), n("trap", "gate").alias("traps"), n("guard").alias("guards"), n("wall").alias("walls"), n("other").alias("others"),
+    )
 
 
 def diverse(rows: DataFrame, keys: list[str], value: str, tie: str, n: int = 5) -> DataFrame:
@@ -162,11 +232,19 @@ def largest_gap(points: DataFrame, key: list[str], least: float = 0.2) -> DataFr
 def approaches(touches: DataFrame, positions: DataFrame, radius: float = 30.0, back: int = 40) -> DataFrame:
     """Per touch, the samples of its player from the last one outside ``radius`` on, at most ``back`` of them.
 
+    Samples are numbered by player, so a touch names the numbers of its last ``back`` ones
+    and meets no others.
+
     ``touches``: ``touch_id, match_id, player_id, t, x, z``; ``positions``: ``match_id,
     player_id, row_id, t, x, z``.
     """
     w = touches.select("touch_id", "match_id", "player_id", F.col("t").alias("touch_t"), F.col("x").alias("wx"), F.col("z").alias("wz"))
-    rows = positions.join(w, ["match_id", "player_id"]).where(F.col("t") <= F.col("touch_t"))
+    own = Window.partitionBy(*PLAYER).orderBy("t", "row_id")
+    numbered = positions.withColumn("nth", F.row_number().over(own))
+    seen = numbered.select(*PLAYER, "t", F.col("nth"), F.lit(None).cast("long").alias("touch_id")).unionByName(touches.select(*PLAYER, "t", F.lit(None).cast("int").alias("nth"), F.col("touch_id").cast("long").alias("touch_id")))
+    upto = F.max("nth").over(Window.partitionBy(*PLAYER).orderBy("t").rangeBetween(Window.unboundedPreceding, 0))
+    last = seen.withColumn("upto", upto).where("touch_id is not null and upto is not null").select("touch_id", F.explode(F.sequence(F.greatest(F.lit(1), F.col("upto") - back + 1), F.col("upto"))).alias("nth"))
+    rows = w.join(last, "touch_id").join(numbered, [*PLAYER, "nth"]).drop("nth")
     rows = rows.withColumn("age", F.row_number().over(Window.partitionBy("touch_id").orderBy(F.desc("t"), F.desc("row_id")))).where(F.col("age") <= back)
     outside = F.when(F.hypot(F.col("x") - F.col("wx"), F.col("z") - F.col("wz")) > radius, F.col("age"))
     rows = rows.withColumn("crossed", F.min(outside).over(Window.partitionBy("touch_id")))

@@ -152,16 +152,13 @@ def s33_skipped_keys(i: Inputs) -> DataFrame:
     return matchstats.lacking(i.matches.where("processed"), i.maps.where("stub"), ["map_id"]).select("match_id")
 
 
-@query("maps", "SELECT map_id, true AS has_context, NOT stub AS has_graph FROM maps WHERE total_blocks % 10 = 0")
+@query("maps", "SELECT map_id, true AS has_context, NOT stub AS has_graph FROM maps")
 def s30_artefacts(i: Inputs) -> DataFrame:
-    """Which artefacts each map's folder holds, by a listing without content."""
-    path, some = scratch_path(i.spark, "artefacts"), i.maps.where("total_blocks % 10 = 0")
-    for name, rows in (("context", some), ("graph", some.where("not stub"))):
-        rows.select("map_id", F.lit(name).alias("kind"), F.lit(1).alias("v")).write.mode("append").partitionBy("kind", "map_id").json(path)
-    found = i.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(path).select("path")
-    part = lambda key: F.regexp_extract("path", f"{key}=([^/]+)", 1)
-    rows = found.select(part("map_id").cast("int").alias("map_id"), part("kind").alias("kind")).groupBy("map_id").pivot("kind", ["context", "graph"]).count()
-    return rows.select("map_id", F.col("context").isNotNull().alias("has_context"), F.col("graph").isNotNull().alias("has_graph"))
+    """Which artefacts each map has, in documents of many maps a file."""
+    path = scratch_path(i.spark, "artefacts")
+    for name, rows in (("context", i.maps), ("graph", i.maps.where("not stub"))):
+        rows.select("map_id", F.lit(1).alias("v")).write.json(f"{path}/kind={name}")
+    return rooms.artefacts(warehouse.json_documents(i.spark, path, "map_id int, v int"), {"context": "has_context", "graph": "has_graph"})
 
 
 @query("maps", "SELECT map_id, map_slug, unnest(['red', 'blue']) AS team FROM maps WHERE NOT stub")

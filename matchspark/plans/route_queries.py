@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchspark.functions import scalars
-from matchspark.operators import archetypes, blocks, cluster_graph, forks, graph, life_features, objective_rooms, points_of_interest, routes, shapes, spatial, structures, team_shapes, trajectories
+from matchspark.operators import archetypes, blocks, cluster_graph, forks, graph, life_features, objective_rooms, points_of_interest, routes, shapes, spatial, structures, studies, team_shapes, trajectories
 from matchspark.operators.paths import both_ways
 from matchspark.operators.sessions import LIFE, asof_segment
 from matchspark.plans.inputs import Inputs
@@ -521,3 +521,53 @@ def g10_cluster_edges(i: Inputs) -> DataFrame:
 @query("log lived samples", f"{CLUSTERS}{TRAFFIC.replace(', s AS (SELECT match_id % 5 AS map_id, samples.* FROM samples),', ',')} SELECT 'clusters' AS strategy, map_id, count(*) AS nodes, any_value(k) AS edges, any_value(n) AS transitions FROM cn LEFT JOIN (SELECT map_id, count(*) AS k, CAST(sum(transitions) AS BIGINT) AS n FROM ce GROUP BY 1) e USING (map_id) GROUP BY 2 UNION ALL SELECT 'grid_5', map_id, count(*), any_value(e.k), any_value(e.n) FROM nodes LEFT JOIN (SELECT map_id, count(*) AS k, CAST(sum(transitions) AS BIGINT) AS n FROM edges GROUP BY 1) e USING (map_id) GROUP BY 2")
 def g9_compared_graphs(i: Inputs) -> DataFrame:
     return cluster_graph.compared({"clusters": clustered(i), "grid_5": traffic(i)})
+
+
+#: Figures of lives in SQL; the enemy's objective lies at the far end of the map.
+PLAYED = """, f AS MATERIALIZED (SELECT match_id * 1000000 + player_id * 1000 + segment_idx AS k, count(*) AS positions, sqrt(pow(last(x ORDER BY t, row_id) - first(x ORDER BY t, row_id), 2) + pow(last(z ORDER BY t, row_id) - first(z ORDER BY t, row_id), 2)) AS span, count(DISTINCT (cx, cz)) AS nodes, sum(coalesce(sqrt(pow(x - before_x, 2) + pow(z - before_z, 2)), 0)) AS way,
+  avg(CASE WHEN y >= 22 THEN 1.0 ELSE 0 END) AS high_share, avg(CASE WHEN k4 = 1 THEN 1.0 ELSE 0 END) AS bow_share, avg(CASE WHEN k4 = 2 THEN 1.0 ELSE 0 END) AS builder_share, avg(CASE WHEN k4 = 3 THEN 1.0 ELSE 0 END) AS trap_share, min(sqrt(pow(x - CASE WHEN player_id % 2 = 0 THEN 30 ELSE -30 END, 2) + z * z)) AS enemy_min,
+  avg(sqrt(pow(x + CASE WHEN player_id % 2 = 0 THEN 30 ELSE -30 END, 2) + z * z)) AS home_mean, min(CASE WHEN sqrt(pow(x + CASE WHEN player_id % 2 = 0 THEN 30 ELSE -30 END, 2) + z * z) < 30 THEN y END) AS min_y_near FROM samples GROUP BY match_id, player_id, segment_idx),
+ acts AS (SELECT match_id * 1000000 + player_id * 1000 + segment_idx AS k, count(*) FILTER (event_type = 3) AS kills, count(*) FILTER (event_type IN (6, 7)) > 0 AS touched FROM lived WHERE segment_idx IS NOT NULL GROUP BY match_id, player_id, segment_idx),
+ lives AS MATERIALIZED (SELECT f.*, coalesce(kills, 0) AS kills, coalesce(touched, false) AS touched, way / greatest(span, 1) * ln(1 + nodes) AS wound FROM f LEFT JOIN acts USING (k)),"""
+PICKS = [("deep_attacker", "enemy_min IS NOT NULL", "-enemy_min", []), ("defender", "NOT touched AND positions >= 3", "-home_mean", [0]), ("roamer", "span >= 10 AND nodes >= 3", "wound", []), ("traversal", "true", "span", []), ("high_killer", "positions >= 2", "kills", [0, 1, 2, 3]), ("skybridge", "positions >= 3 AND span >= 10", "high_share", [0, 1, 2, 3, 4]), ("bow_archer", "positions >= 3 AND bow_share > 0.1", "bow_share", [0, 1, 2, 3, 4, 5]), ("builder", "positions >= 3 AND builder_share > 0.1", "builder_share", [0, 1, 2, 3, 4, 5, 6])]
+
+
+def picked(picks: list[tuple[str, str, str, list[int]]]) -> str:
+    """One pick after the other in SQL, each without what those it gives way to took."""
+    parts = [f" p{n} AS MATERIALIZED (SELECT k, CAST({metric} AS DOUBLE) AS metric FROM lives WHERE {pool}{''.join(f' AND k NOT IN (SELECT k FROM p{x})' for x in after)} ORDER BY {metric} DESC, k LIMIT 1)" for n, (_, pool, metric, after) in enumerate(picks)]
+    return ",".join(parts) + " " + " UNION ALL ".join(f"SELECT '{name}' AS category, k, round(metric, 6) AS metric FROM p{n}" for n, (name, *_) in enumerate(picks))
+
+
+def played(i: Inputs) -> DataFrame:
+    """Figures of all lives."""
+    key = (F.col("match_id") * 1000000 + F.col("player_id") * 1000 + F.col("segment_idx")).alias("k")
+    side = F.when(F.col("player_id") % 2 == 0, 30).otherwise(-30)
+    share = lambda condition: F.avg(condition.cast("int"))
+    end = lambda f: f(F.struct("x", "z"), F.struct("t", "row_id"))
+    home = F.hypot(F.col("x") + side, F.col("z"))
+    rows = i.samples.groupBy(*LIFE).agg(
+        F.count("*").alias("positions"), end(F.min_by).alias("a"), end(F.max_by).alias("b"), F.count_distinct("cx", "cz").alias("nodes"), F.sum(F.coalesce(F.hypot(F.col("x") - F.col("before_x"), F.col("z") - F.col("before_z")), F.lit(0.0))).alias("way"), share(F.col("y") >= 22).alias("high_share"), share(F.col("k4") == 1).alias("bow_share"), share(F.col("k4") == 2).alias("builder_share"), share(F.col("k4") == 3).alias("trap_share"),
+        F.min(F.hypot(F.col("x") - side, F.col("z"))).alias("enemy_min"), F.avg(home).alias("home_mean"), F.min(F.when(home < 30, F.col("y"))).alias("min_y_near"),
+    )
+    acts = asof_segment(i.log).where("segment_idx is not null").groupBy(*LIFE).agg(F.count_if(F.col("event_type") == 3).alias("kills"), (F.count_if(F.col("event_type").isin(6, 7)) > 0).alias("touched"))
+    rows = rows.withColumn("span", F.hypot(F.col("b.x") - F.col("a.x"), F.col("b.z") - F.col("a.z"))).join(acts, LIFE, "left")
+    return rows.select(key, "positions", "span", "nodes", (F.col("way") / F.greatest("span", F.lit(1.0))).alias("tortuosity"), F.coalesce("kills", F.lit(0)).alias("kills"), F.coalesce("touched", F.lit(False)).alias("touched"), "high_share", "bow_share", "builder_share", "trap_share", "enemy_min", "home_mean", F.col("home_mean").alias("wool_distance"), "min_y_near")
+
+
+@query("log lived samples", f"{PLAYED}{picked(PICKS)}")
+def t4_representatives(i: Inputs) -> DataFrame:
+    return studies.representatives(played(i), "k", 3, 2, 10, 3, 10).withColumn("metric", r6("metric"))
+
+
+@query("log lived samples", PLAYED + picked([("early_digger", "positions >= 3 AND home_mean < 60 AND min_y_near IS NOT NULL", "-min_y_near", []), ("early_builder", "positions >= 3 AND home_mean < 60 AND trap_share > 0", "trap_share", [0])]))
+def t5_defence_representatives(i: Inputs) -> DataFrame:
+    return studies.defence_representatives(played(i), "k", 3).withColumn("metric", r6("metric"))
+
+
+@query("log", """, s AS (SELECT match_id, player_id, y, sqrt(x * x + z * z) AS d, CASE k4 WHEN 0 THEN CASE WHEN y < 8 THEN 'dig' ELSE 'guard' END WHEN 1 THEN 'wall' WHEN 2 THEN CASE WHEN y % 2 = 0 THEN 'trap' ELSE 'gate' END ELSE 'other' END AS activity FROM match_log WHERE event_type = 5)
+ SELECT match_id, count(*) AS positions, count(DISTINCT player_id) AS players, min(y) FILTER (d < 30 AND y < 5) AS lowest_near, max(y) FILTER (activity IN ('wall', 'trap', 'gate') AND d < 15) AS wall_height, CAST(max(floor(d)) FILTER (activity IN ('dig', 'wall', 'trap', 'gate')) AS INT) AS perimeter, count(*) FILTER (activity = 'dig') AS digs, count(*) FILTER (activity IN ('trap', 'gate')) AS traps, count(*) FILTER (activity = 'guard') AS guards, count(*) FILTER (activity = 'wall') AS walls, count(*) FILTER (activity = 'other') AS others FROM s GROUP BY 1""")
+def a45_defence_overview(i: Inputs) -> DataFrame:
+    k, y = F.col("k4"), F.col("y")
+    activity = F.when(k == 0, F.when(y < 8, "dig").otherwise("guard")).when(k == 1, "wall").when(k == 2, F.when(y % 2 == 0, "trap").otherwise("gate")).otherwise("other")
+    rows = i.log.where("event_type = 5").withColumn("wool_distance", F.hypot("x", "z")).withColumn("activity", activity)
+    return studies.defence_overview(rows, ["match_id"])

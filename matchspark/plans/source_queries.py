@@ -201,7 +201,7 @@ def s27_missing_names(i: Inputs) -> DataFrame:
 def s12_json_documents(i: Inputs) -> DataFrame:
     path = scratch_path(i.spark, "documents")
     i.maps.select("map_id", F.struct("map_slug", "total_blocks").alias("info")).write.json(path)
-    rows = i.spark.read.schema("map_id int, info struct<map_slug: string, total_blocks: int>").json(path)
+    rows = warehouse.json_documents(i.spark, path, "map_id int, info struct<map_slug: string, total_blocks: int>")
     return rows.select("map_id", "info.*")
 
 
@@ -278,13 +278,10 @@ def m5_lives_as_state(i: Inputs) -> DataFrame:
     return run_stream(i, streams.lives(streamed_log(i, closed=True))).where("end is not null")
 
 
-SENTENCE = "split_part(text, '.', 1)"
-
-
-@query("maps", f"SELECT doc_id, trim(regexp_replace(regexp_replace(replace(lower(strip_accents({SENTENCE})), ' ', '_'), '[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '_') AS slug FROM documents WHERE lang <> 'x'")
+@query("maps", "SELECT doc_id, trim(regexp_replace(regexp_replace(replace(lower(strip_accents(text)), ' ', '_'), '[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '_') AS slug FROM documents")
 def f1_names(i: Inputs) -> DataFrame:
-    docs = table(i.spark, i.sf_dir, "documents").where("lang <> 'x'")
-    return docs.select("doc_id", scalars.normal_name(F.split_part("text", F.lit("."), F.lit(1))).alias("slug"))
+    """Whole texts as names."""
+    return table(i.spark, i.sf_dir, "documents").select("doc_id", scalars.normal_name(F.col("text")).alias("slug"))
 
 
 @query("log", "SELECT row_id, ['white', 'orange', 'magenta', 'light_blue'][wool_id + 1] AS colour, wool_id AS damage FROM match_log WHERE wool_id IS NOT NULL")
@@ -340,6 +337,5 @@ def f24_sequences_as_json(i: Inputs) -> DataFrame:
 
 @query("log", "SELECT CASE WHEN event_type IN (3, 4) THEN 'combat' WHEN event_type = 5 THEN 'position' ELSE 'wool' END AS part, count(*) AS n, count(victim_id) AS victims, count(wool_id) AS wools FROM match_log WHERE event_type BETWEEN 3 AND 7 GROUP BY 1")
 def p1_event_parts(i: Inputs) -> DataFrame:
-    parts = {"combat": [sessions.KILL, sessions.DEATH], "position": [sessions.POSITION], "wool": [sessions.TOUCH, sessions.CAPTURE]}
-    rows = [i.log.where(F.col("event_type").isin(kinds)).agg(F.lit(name).alias("part"), F.count("*").alias("n"), F.count("victim_id").alias("victims"), F.count("wool_id").alias("wools")) for name, kinds in parts.items()]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    part = F.when(F.col("event_type").isin(sessions.KILL, sessions.DEATH), "combat").when(F.col("event_type") == sessions.POSITION, "position").when(F.col("event_type").isin(sessions.TOUCH, sessions.CAPTURE), "wool")
+    return i.log.withColumn("part", part).where("part is not null").groupBy("part").agg(F.count("*").alias("n"), F.count("victim_id").alias("victims"), F.count("wool_id").alias("wools"))

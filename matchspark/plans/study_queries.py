@@ -152,16 +152,6 @@ def a27_flank_frame(i: Inputs) -> DataFrame:
     return studies.flank_frame(samples, axes, least=5).withColumn("median_offset", r6("median_offset"))
 
 
-@query("log lived samples", """, f AS (SELECT match_id, player_id, segment_idx, CAST(count(*) AS DOUBLE) AS n, avg(y) AS h, match_id * 1000000 + player_id * 1000 + segment_idx AS k FROM samples GROUP BY 1, 2, 3), a AS (SELECT * FROM f WHERE n >= 3 ORDER BY h DESC, k LIMIT 1), b AS (SELECT * FROM f WHERE n >= 3 AND k NOT IN (SELECT k FROM a) ORDER BY -h DESC, k LIMIT 1), c AS (SELECT * FROM f WHERE k NOT IN (SELECT k FROM a UNION ALL SELECT k FROM b) ORDER BY n DESC, k LIMIT 1)
- SELECT 'skybridge' AS category, k, round(h, 6) AS metric FROM a UNION ALL SELECT 'digger', k, round(-h, 6) FROM b UNION ALL SELECT 'roamer', k, n FROM c""")
-def t4_representatives(i: Inputs) -> DataFrame:
-    """The highest life, then the lowest, then the longest of the rest (T4, T5)."""
-    key = (F.col("match_id") * 1000000 + F.col("player_id") * 1000 + F.col("segment_idx")).alias("k")
-    rows = i.samples.groupBy(*LIFE).agg(F.count("*").alias("n"), F.avg("y").alias("h")).select(key, "n", "h")
-    picks = studies.best_by(rows, {"skybridge": (F.col("n") >= 3, F.col("h")), "digger": (F.col("n") >= 3, -F.col("h")), "roamer": (F.lit(True), F.col("n"))}, "k")
-    return picks.withColumn("metric", r6("metric"))
-
-
 @query("ground", f"{WALK}{BOX}, r AS (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY area DESC, island_id) AS rank, count(*) OVER (PARTITION BY map_id) AS n FROM box) SELECT map_id, island_id, area, rank FROM r WHERE n <= 5 OR rank IN (1, 2, 2 + (n - 2) // 3, 2 + (2 * (n - 2)) // 3, n)")
 def t9_diverse_islands(i: Inputs) -> DataFrame:
     rows = shapes.bounds(island_cells(i), shapes.ISLAND).select(*shapes.ISLAND, "area")

@@ -96,9 +96,9 @@ def empty_fields(documents: DataFrame, key: str, text: str) -> DataFrame:
     return rows.withColumn("value", bare).where(F.col("value").isin("null", "", "[]", "{}"))
 
 
-def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One row for each JSON document below ``path``, with its path."""
-    return spark.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true").json(path).withColumn("source", F.col("_metadata.file_path"))
+def json_documents(spark: SparkSession, path: str, schema: str, lines: bool = True) -> DataFrame:
+    """Rows of the JSON documents below ``path``, with the file that each came from: one a line, or (``lines`` off) one a file."""
+    return spark.read.schema(schema).option("multiLine", str(not lines).lower()).option("recursiveFileLookup", "true").json(path).withColumn("source", F.col("_metadata.file_path"))
 
 
 def dictionary(spark: SparkSession, path: str) -> DataFrame:
