@@ -133,3 +133,24 @@ def rasterised(polygons: DataFrame, size: int) -> DataFrame:
     held = cells.where(inside_ring(F.col("cx") + size / 2, F.col("cz") + size / 2, F.col("rings")[0]))
     best = held.groupBy("map_id", "cx", "cz").agg(F.min(F.struct((F.col("kind") != "island").cast("int").alias("rank"), "polygon_id", "kind")).alias("b"))
     return best.select("map_id", "cx", "cz", "b.kind", "b.polygon_id")
+
+
+def grid_frame(maps: DataFrame, size: int) -> DataFrame:
+    """``map_id, grid_size, origin_x, origin_z`` of maps with their middle ``map_id, x, z``: a grid that lies evenly on both sides of it.
+
+    A middle between two blocks asks for an odd size, so an even one grows by one; along
+    such an axis the origin is half a cell before it, so that a cell straddles it. Other
+    origins are the middle rounded to the even number.
+    """
+    half = lambda c: F.pmod(F.col(c), F.lit(1.0)) == 0.5
+    grown = size + (1 if size % 2 == 0 else 0)
+    grid = F.when(half("x") | half("z"), grown).otherwise(size)
+    origin = lambda c: F.when(half(c) & (grid % 2 == 1), (F.col(c) - grid / 2).cast("int")).otherwise(F.bround(c).cast("int"))
+    return maps.select("map_id", grid.cast("int").alias("grid_size"), origin("x").alias("origin_x"), origin("z").alias("origin_z"))
+
+
+def island_grids(islands: DataFrame, grids: DataFrame, fine: tuple[str, ...] = ("fork", "maze", "amoeba")) -> DataFrame:
+    """``islands`` with ``grid_size``: half their map's (2 at least) for winding archetypes, else their map's (``map_id, grid_size``)."""
+    rows = islands.join(grids.select("map_id", F.col("grid_size").alias("__base")), "map_id")
+    override = F.when(F.col("archetype").isin(*fine), F.greatest(F.lit(2), F.floor(F.col("__base") / 2).cast("int")))
+    return rows.withColumn("grid_size", F.coalesce(override, "__base")).drop("__base")

@@ -12,7 +12,7 @@ from matchspark.plans.inputs import Inputs
 from matchspark.plans.map_queries import BOX, WALK, island_cells
 from matchspark.plans.match_queries import r6
 from matchspark.session import scratch_path, table
-from matchspark.sources import warehouse
+from matchspark.sources import map_rules, warehouse
 
 QUERIES: dict[str, tuple[Callable[[Inputs], DataFrame], list[str], str]] = {}
 
@@ -161,13 +161,45 @@ def s30_artefacts(i: Inputs) -> DataFrame:
     return rooms.artefacts(warehouse.json_documents(i.spark, path, "map_id int, v int"), {"context": "has_context", "graph": "has_graph"})
 
 
-@query("maps", "SELECT map_id, map_slug, unnest(['red', 'blue']) AS team FROM maps WHERE NOT stub")
-def s28_map_rules(i: Inputs) -> DataFrame:
-    """Rule files as XML, read a map a row, and their teams exploded."""
+def rules(i: Inputs) -> DataFrame:
+    """Rule files of all maps but stubs, written as XML and read a map a row."""
     path = scratch_path(i.spark, "rules")
-    i.maps.where("not stub").select("map_id", "map_slug", F.struct(F.array(F.lit("red"), F.lit("blue")).alias("team")).alias("teams")).write.format("xml").option("rowTag", "map").save(path)
-    rules = i.spark.read.format("xml").option("rowTag", "map").schema("map_id int, map_slug string, teams struct<team: array<string>>").load(path)
-    return rules.select("map_id", "map_slug", F.explode("teams.team").alias("team"))
+    tag = lambda **values: F.struct(*(v.alias("_" + k.replace("__", "-")) for k, v in values.items()))
+    at = lambda *numbers: F.concat_ws(",", *(n.cast("string") for n in numbers))
+    n, text = F.col("map_id"), F.lit
+    items = F.array(tag(slot=text("0"), material=text("stone sword"), amount=text(None).cast("int"), unbreakable=text(True)), tag(slot=text("1"), material=text("log"), amount=n % 64 + 1, unbreakable=text(None).cast("boolean")))
+    kits = F.array(F.struct(text("main").alias("_id"), items.alias("item"), F.array(tag(slot=text("helmet"), material=text("leather helmet"), team__color=text(True))).alias("armor")), F.struct(text("spare").alias("_id"), F.slice(items, 1, 1).alias("item"), F.array().cast("array<struct<_slot: string, _material: string, `_team-color`: boolean>>").alias("armor")))
+    one = lambda name, *rows: F.struct(F.array(*rows).alias(name))
+    red, blue = text("red"), text("blue")
+    i.maps.where("not stub").select(
+        F.col("map_slug").alias("_slug"), one("team", tag(id=red, color=text("dark red"), max=n % 40), tag(id=blue, color=blue, max=n % 40)).alias("teams"), one("wool", tag(team=blue, color=text("lime"), location=at(n, text(9), -n))).alias("wools"),
+        one("spawn", tag(team=red, kit=text("main")), tag(team=blue, kit=F.when(n % 2 == 0, "main").otherwise("none"))).alias("spawns"), one("cuboid", tag(id=text("base"), min=at(n + 5, text(0), text(7)), max=F.concat(n.cast("string"), text(",oo,oo")))).alias("regions"), F.struct(kits.alias("kit")).alias("kits"),
+    ).write.format("xml").option("rowTag", "map").save(path)
+    return map_rules.read_rules(i.spark, path)
+
+
+@query("maps", "SELECT map_slug, team, CASE team WHEN 'red' THEN 'dark red' ELSE 'blue' END AS colour, CAST(map_id % 40 AS INT) AS most FROM maps, (VALUES ('red'), ('blue')) v(team) WHERE NOT stub")
+def s28_map_rules(i: Inputs) -> DataFrame:
+    return map_rules.teams(rules(i))
+
+
+@query("maps", "SELECT map_slug, 'blue' AS team, 'lime' AS colour, CAST(map_id AS DOUBLE) AS x, 9.0 AS y, CAST(-map_id AS DOUBLE) AS z, region_id, min_x, max_x, min_z, max_z FROM (SELECT *, 'base' AS region_id, CAST(map_id AS DOUBLE) AS min_x, map_id + 5.0 AS max_x, 7.0 AS min_z, 7.0 AS max_z FROM maps WHERE NOT stub) m")
+def s28_wools_and_regions(i: Inputs) -> DataFrame:
+    """Wools of rule files beside their map's region, which has no number on one side."""
+    read = rules(i)
+    return map_rules.wools(read).join(map_rules.regions(read), "map_slug")
+
+
+@query("maps", """SELECT map_id, kit_id, team, part, slot, material, amount, unbreakable, team_colour FROM maps, (VALUES ('main', 'item', '0', 'stone sword', true, false), ('main', 'item', '1', 'log', false, false), ('main', 'armor', 'helmet', 'leather helmet', false, true), ('spare', 'item', '0', 'stone sword', true, false)) k(kit_id, part, slot, material, unbreakable, team_colour),
+ LATERAL (SELECT CASE WHEN material = 'log' THEN CAST(map_id % 64 + 1 AS INT) ELSE 1 END AS amount), (VALUES ('red'), ('blue'), ('')) t(team) WHERE NOT stub AND CASE kit_id WHEN 'spare' THEN team = '' ELSE team = 'red' OR team = 'blue' AND map_id % 2 = 0 END""")
+def s32_kit_rows(i: Inputs) -> DataFrame:
+    """Kit rows are loaded for all maps, then again for some: no row doubles."""
+    read, path = rules(i), scratch_path(i.spark, "kits")
+    rows = map_rules.kit_rows(read).withColumn("part", F.lit("item")).unionByName(map_rules.kit_rows(read, "armor").withColumn("part", F.lit("armor")))
+    rows = map_rules.known_maps(rows, i.maps).withColumn("bucket", F.col("map_id") % 8)
+    for some in (rows, rows.where("bucket = 3")):
+        warehouse.replace_keys(some, path, "bucket")
+    return i.spark.read.parquet(path).select("map_id", "kit_id", "team", "part", "slot", "material", "amount", "unbreakable", "team_colour")
 
 
 @query("log teams", """, f AS (SELECT e.match_id, e.wool_id, s.team, e.t, row_number() OVER (PARTITION BY e.match_id ORDER BY e.t, e.row_id) AS k FROM match_log e JOIN teams s ON e.match_id = s.match_id AND e.player_id = s.player_id AND e.t >= s.start_timestamp AND (s.end_timestamp IS NULL OR e.t < s.end_timestamp) WHERE e.event_type = 7)

@@ -571,3 +571,17 @@ def a45_defence_overview(i: Inputs) -> DataFrame:
     activity = F.when(k == 0, F.when(y < 8, "dig").otherwise("guard")).when(k == 1, "wall").when(k == 2, F.when(y % 2 == 0, "trap").otherwise("gate")).otherwise("other")
     rows = i.log.where("event_type = 5").withColumn("wool_distance", F.hypot("x", "z")).withColumn("activity", activity)
     return studies.defence_overview(rows, ["match_id"])
+
+
+@query("ground", f"{WALK}{BOX}, m AS (SELECT map_id, (min(min_x) + max(max_x) + 1) / 2.0 AS x, (min(min_z) + max(max_z) + 1) / 2.0 AS z FROM box GROUP BY 1), g AS (SELECT *, x % 1 = 0.5 AS hx, z % 1 = 0.5 AS hz, CASE WHEN x % 1 = 0.5 OR z % 1 = 0.5 THEN 5 ELSE 4 END AS grid_size FROM m) SELECT map_id, grid_size, CAST(CASE WHEN hx AND grid_size = 5 THEN trunc(x - 2.5) ELSE round_even(x, 0) END AS INT) AS origin_x, CAST(CASE WHEN hz AND grid_size = 5 THEN trunc(z - 2.5) ELSE round_even(z, 0) END AS INT) AS origin_z FROM g")
+def f8_grid_frames(i: Inputs) -> DataFrame:
+    middle = lambda c: ((F.min(f"min_{c}") + F.max(f"max_{c}") + 1) / 2).alias(c)
+    return spatial.grid_frame(shapes.bounds(island_cells(i), shapes.ISLAND).groupBy("map_id").agg(middle("x"), middle("z")), 4)
+
+
+@query("ground", f"{WALK}{BOX} SELECT map_id, island_id, CASE WHEN area > 8 THEN 2 ELSE 4 + CAST(map_id % 2 AS INT) END AS grid_size FROM box")
+def g13_island_grids(i: Inputs) -> DataFrame:
+    """Islands of more than eight cells are taken as winding."""
+    islands = shapes.bounds(island_cells(i), shapes.ISLAND).select(*shapes.ISLAND, F.when(F.col("area") > 8, "maze").otherwise("L").alias("archetype"))
+    grids = islands.select("map_id").distinct().withColumn("grid_size", (4 + F.col("map_id") % 2).cast("int"))
+    return spatial.island_grids(islands, grids).select("map_id", "island_id", "grid_size")
