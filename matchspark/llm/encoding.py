@@ -23,6 +23,14 @@ CONTROL_SPACE = re.compile(r"[\x1c-\x1f\x85᠎​﻿]")
 TAIL = ".,!*$%&#|;:?"
 
 
+#: Chunks that the library encodes at a time: what it keeps of each takes far more memory than its ids.
+AT_ONCE = 10_000
+
+
+def parts(chunks: list[str]) -> list[list[str]]:
+    return [chunks[i : i + AT_ONCE] for i in range(0, len(chunks), AT_ONCE)]
+
+
 class ChunkIds(dict):
     """Chunk -> its ids as little-endian unsigned 16-bit bytes; emptied when it holds ``limit``.
 
@@ -30,7 +38,7 @@ class ChunkIds(dict):
     a batch together: words of letters, told apart by the ids that begin or end a word.
     """
 
-    def __init__(self, tokenizer, lead: str, lower: bool, limit: int = 1_200_000):
+    def __init__(self, tokenizer, lead: str, lower: bool, limit: int = 500_000):
         super().__init__()
         self.tokenizer, self.lead, self.lower, self.limit = tokenizer, lead, lower, limit
         glyph = tokenizer.encode(f"{lead}a", add_special_tokens=False).tokens[0].replace("a", "", 1)
@@ -76,8 +84,10 @@ class ChunkIds(dict):
                 if low not in self:
                     whole[low] = None
                 parted.append((chunk, low, chunk[len(base) :]))
-        self.update(zip(odd, self.several([chunk if chunk[0] == "\n" else self.lead + chunk for chunk in odd]), strict=True))
-        self.update(zip(whole, self.together(list(whole)), strict=True))
+        for some in parts(odd):
+            self.update(zip(some, self.several([chunk if chunk[0] == "\n" else self.lead + chunk for chunk in some]), strict=True))
+        for some in parts(list(whole)):
+            self.update(zip(some, self.together(some), strict=True))
         tails = {tail: self.encode(tail) if tail else b"" for tail in {tail for _, _, tail in parted}}
         self.update((chunk, self[low] + tails[tail]) for chunk, low, tail in parted)
 
@@ -137,7 +147,7 @@ class TextEncoder:
         """The ids as little-endian unsigned 16-bit bytes."""
         return self.batch([text])[0]
 
-    def batch(self, texts: list[str | None], group: int = 2000) -> list[bytes]:
+    def batch(self, texts: list[str | None], group: int = 1000) -> list[bytes]:
         """The ids of each text; ``group`` texts are taken together to meet new words."""
         out = []
         for i in range(0, len(texts), group):
