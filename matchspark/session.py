@@ -58,6 +58,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark takes it to have, so that tasks that write files themselves reach the same store."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a folder of ``scratch_path`` whose rows are no longer needed."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
