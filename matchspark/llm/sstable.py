@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from matchspark.llm.encoding import encoder
 from matchspark.llm.text import crc_of_ids
-from matchspark.session import scratch_path
+from matchspark.session import qualified, scratch_path
 
 MARK = b"MSST0001"
 FOOTER = struct.Struct("<6Q2I8s")
@@ -39,7 +39,7 @@ BLOOM_BITS, BLOOM_HASHES = 10, 7
 
 
 def store(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path and the path in it; plain paths are local ones."""
+    """The file system of a path and the path in it; plain paths are local ones (``write_shards`` gives every path its scheme)."""
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
@@ -209,6 +209,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Dat
     are empty ones; rows without doc_id take no part; an empty table gives no shard. The
     manifest is written to ``path`` too, so reading starts from what is on disk.
     """
+    path = qualified(docs.sparkSession, path)
     rows = docs.where("doc_id is not null").select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     shards = rows.mapInArrow(shard_writer(f"{path}/shards", tokenizer, end_id), "path string, first long, documents long, ids long")
     shards.write.parquet(f"{path}/manifest")

@@ -92,7 +92,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """``query_id, rank, vec_id, score`` for each row whose vec_id is divisible by ``every``.
 
     Candidates are all rows but those with the query's own vec_id; ties go to the smaller
-    vec_id; rows that repeat a vec_id are candidates each. Only vectors of the commonest
+    vec_id; rows that repeat a vec_id are candidates each, and the least of their vectors
+    (component by component) asks. Only vectors of the commonest
     length take part (the greater of equally common ones), so that scores are defined. An
     empty table gives no rows.
     """
@@ -167,7 +168,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
             yield best_of(pd.concat(held), k)
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id"])
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
     found, first, last = None, 0, GROWTH
     while first < len(cells):
         least = queries.withColumn("least", F.lit(None).cast("long")) if found is None else queries.join(found.where(F.col("rank") == k).select("query_id", F.col("score").alias("least")), "query_id", "left")

@@ -317,3 +317,12 @@ def test_bins_of_many_shards_meet_again(spark, monkeypatch):
         assert sum(fill.values()) == sum(len(t.split()) + 1 for t in texts) and max(fill.values()) <= 2048
         count[filled] = len(fill)
     assert count[0.98] <= count[0.0]
+
+
+def test_top_k_of_a_repeated_query_id(spark):
+    from matchspark.llm import vector_topk
+
+    rows = [(0, [0.5, 0.0]), (0, [0.25, 1.0]), *((i, [float(i % 7), float(i % 5)]) for i in range(1, 40))]
+    got = [tuple(r)[:4] for n in (1, 3) for r in vector_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(n)).orderBy("rank").collect()]
+    want = sorted(((-(64 * 256 * int(i % 7) + 256 * 256 * int(i % 5)), i) for i in range(1, 40)))[:5]
+    assert got == 2 * [(0, k, i, -s) for k, (s, i) in enumerate(want, 1)]

@@ -48,3 +48,12 @@ def test_round_trip_and_lookup(spark, tmp_path):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert sstable.round_trip(docs, PATH, 1).count() == 0
+
+
+def test_plain_paths_are_where_spark_takes_them_to_be(spark, tmp_path):
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(3, "some words"), (1, None)], "doc_id long, text string")
+    shards = sstable.write_shards(docs, str(tmp_path / "plain"), public_tokenizers.path("word_bpe_49k.json"), 1)
+    assert all(r.path.startswith("file:") for r in shards.collect())
+    assert sorted((r.doc_id, r.n_tokens) for r in sstable.read_shards(shards).collect())[0] == (1, 1)
