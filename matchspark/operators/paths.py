@@ -74,7 +74,7 @@ def _anew(rows: DataFrame) -> DataFrame:
     return rows.select(*(F.col(c).alias(f"{c}_") for c in rows.columns)).toDF(*rows.columns)
 
 
-def shortest_distances(sources: DataFrame, edges: DataFrame, key: str, by_source: bool = False, work: int = WORK) -> DataFrame:
+def shortest_distances(sources: DataFrame, edges: DataFrame, key: str, by_source: bool = False, fold: int = 4, max_rounds: int = 10_000, work: int = WORK) -> DataFrame:
     """``key, node, distance`` of every node that a source of its graph reaches; ``by_source`` adds ``source``.
 
     ``sources`` has ``key, node``; ``edges`` has ``key, src, dst, weight`` (not negative),
@@ -93,7 +93,7 @@ def shortest_distances(sources: DataFrame, edges: DataFrame, key: str, by_source
     large = small.where("not small").select(key)
     if large.isEmpty():
         return walked
-    return walked.unionByName(distances_in_rounds(starts.join(large, key, "left_semi"), edges.join(large, key, "left_semi"), key, by_source))
+    return walked.unionByName(distances_in_rounds(starts.join(large, key, "left_semi"), edges.join(large, key, "left_semi"), key, by_source, fold, max_rounds))
 
 
 def distances_in_rounds(sources: DataFrame, edges: DataFrame, key: str, by_source: bool = False, fold: int = 4, max_rounds: int = 10_000) -> DataFrame:

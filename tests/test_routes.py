@@ -81,7 +81,7 @@ def test_eligible_halves_and_their_ends(spark):
 def test_paths_walked_locally_and_in_rounds_agree(spark, work):
     _, edges = grid_graph(spark)
     sources = spark.createDataFrame([(1, 0), (1, 7), (2, 4), (3, 1)], "g int, node long")
-    got = {tuple(r) for r in paths.shortest_distances(sources, edges, "g", True, work).collect()}
+    got = {tuple(r) for r in paths.shortest_distances(sources, edges, "g", True, work=work).collect()}
     assert (1, 0, 7, 25.0) in got and (1, 7, 0, 25.0) in got and (2, 4, 0, 20.0) in got and (3, 1, 1, 0.0) in got and len(got) == 8 * 3 + 1
     pairs = spark.createDataFrame([(1, 0, 7), (2, 4, 7), (1, 0, 9)], "g int, source long, target long")
     rows = sorted(tuple(r) for r in paths.shortest_paths(pairs, edges, "g", work=work).collect())
