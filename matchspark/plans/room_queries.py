@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchspark.operators import blocks, intervals, matchstats, objectives, rooms, shapes, spatial
+from matchspark.operators import blocks, chests, intervals, matchstats, objectives, rooms, shapes, spatial
 from matchspark.plans.inputs import Inputs
 from matchspark.plans.map_queries import BOX, WALK, island_cells
 from matchspark.plans.match_queries import r6
@@ -219,3 +219,35 @@ def q10_phases(i: Inputs) -> DataFrame:
 def s29_lookup_misses(i: Inputs) -> DataFrame:
     known = i.matches.where("processed").join(i.maps, "map_id").select("map_slug")
     return warehouse.lookup_misses(i.maps, known, "map_slug").join(i.maps.select("map_id", "map_slug"), "map_slug")
+
+
+#: Greedy pairs in SQL, one place of a layer after the other: what is taken, who leads and with whom.
+PAIRS = """, spot AS MATERIALIZED (SELECT map_id, y, x, z, x * 1000 + z AS k, row_number() OVER (PARTITION BY map_id, y ORDER BY x, z) AS n FROM (SELECT DISTINCT map_id, x, z, y // 8 AS y FROM blocks WHERE block_id = 3) b),
+ first AS MATERIALIZED (SELECT s.*, (SELECT o.k FROM spot o WHERE o.map_id = s.map_id AND o.y = s.y AND abs(o.x - s.x) + abs(o.z - s.z) = 1 ORDER BY o.z <> s.z, CASE WHEN o.k > s.k THEN 0 ELSE 1 END LIMIT 1) AS mate FROM spot s),
+ walk AS (SELECT map_id, y, CAST(0 AS BIGINT) AS n, CAST([] AS INT[]) AS taken, CAST(NULL AS INT) AS lead, CAST(NULL AS INT) AS mate FROM first WHERE n = 1 UNION ALL
+  SELECT f.map_id, f.y, f.n, CASE WHEN list_contains(w.taken, f.k) THEN w.taken WHEN f.mate IS NOT NULL AND NOT list_contains(w.taken, f.mate) THEN list_concat(w.taken, [f.k, f.mate]) ELSE list_append(w.taken, f.k) END, CASE WHEN NOT list_contains(w.taken, f.k) THEN f.k END, CASE WHEN NOT list_contains(w.taken, f.k) AND NOT list_contains(w.taken, f.mate) THEN f.mate END FROM walk w JOIN first f ON f.map_id = w.map_id AND f.y = w.y AND f.n = w.n + 1),
+ paired AS (SELECT map_id, y, lead AS k, lead, mate IS NOT NULL AS is_double FROM walk WHERE lead IS NOT NULL UNION ALL SELECT map_id, y, mate, lead, true FROM walk WHERE mate IS NOT NULL)"""
+
+
+def chest_pairs(i: Inputs) -> DataFrame:
+    """Blocks of one kind as chests, in layers of eight heights."""
+    return chests.double_chests(i.blocks.where("block_id = 3").select("map_id", "x", "z", F.floor(F.col("y") / 8).cast("int").alias("y")))
+
+
+@query("blocks", f"{PAIRS} SELECT map_id, y, CAST(k // 1000 AS INT) AS x, CAST(k % 1000 AS INT) AS z, is_double, CAST(lead // 1000 AS INT) AS group_x, CAST(lead % 1000 AS INT) AS group_z FROM paired")
+def l9_double_chests(i: Inputs) -> DataFrame:
+    return chest_pairs(i).select("map_id", "y", "x", "z", "is_double", "group_x", "group_z")
+
+
+@query("blocks", f"{PAIRS} SELECT p.map_id, count(*) AS places, count(*) FILTER (is_double) AS doubled, count(DISTINCT (y, lead)) AS chests, any_value(ore) AS resources FROM paired p LEFT JOIN (SELECT map_id, count(*) AS ore FROM blocks WHERE block_id IN (5, 11) GROUP BY 1) r ON r.map_id = p.map_id GROUP BY 1")
+def l13_loaded_chests(i: Inputs) -> DataFrame:
+    """Chests and resource blocks of all maps are loaded, those of some again: no row doubles."""
+    path = scratch_path(i.spark, "chests")
+    pairs = chest_pairs(i).select("map_id", "x", "y", "z", F.lit("chest").alias("kind"), "is_double", F.concat_ws(",", "group_x", "group_z").alias("chest_group"))
+    ore = i.blocks.where("block_id in (5, 11)").select("map_id", "x", "y", "z", F.lit("resource").alias("kind"), F.lit(None).cast("boolean").alias("is_double"), F.lit(None).cast("string").alias("chest_group"))
+    rows = pairs.unionByName(ore)
+    for some in (rows, rows.where("map_id = 3")):
+        warehouse.replace_keys(some.withColumn("part", F.col("map_id")), path, "part")
+    read = i.spark.read.parquet(path)
+    chest, known = F.col("kind") == "chest", F.countDistinct(F.when(F.col("kind") == "chest", F.struct("y", "chest_group")))
+    return read.groupBy("map_id").agg(F.count_if(chest).alias("places"), F.count_if(chest & F.col("is_double")).alias("doubled"), known.alias("chests"), F.nullif(F.count_if(~chest), F.lit(0)).alias("resources"))
