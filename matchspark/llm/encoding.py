@@ -147,7 +147,7 @@ class TextEncoder:
         """The ids as little-endian unsigned 16-bit bytes."""
         return self.batch([text])[0]
 
-    def batch(self, texts: list[str | None], group: int = 1000) -> list[bytes]:
+    def batch(self, texts: list[str | None], group: int = 500) -> list[bytes]:
         """The ids of each text; ``group`` texts are taken together to meet new words."""
         out = []
         for i in range(0, len(texts), group):
