@@ -24,7 +24,7 @@ TAIL = ".,!*$%&#|;:?"
 
 
 #: Chunks that the library encodes at a time: what it keeps of each takes far more memory than its ids.
-AT_ONCE = 10_000
+AT_ONCE = 5_000
 
 
 def parts(chunks: list[str]) -> list[list[str]]:
@@ -128,6 +128,11 @@ class TextEncoder:
         self.words = ChunkIds(tokenizer, " " if self.spaced else "", lower)
         self.first = ChunkIds(tokenizer, "", lower, 100_000)
 
+    def forget(self) -> None:
+        """Give up the chunks that it has met."""
+        self.words.clear()
+        self.first.clear()
+
     def marked(self, text: str) -> bool:
         return self.mark in text
 
@@ -147,7 +152,7 @@ class TextEncoder:
         """The ids as little-endian unsigned 16-bit bytes."""
         return self.batch([text])[0]
 
-    def batch(self, texts: list[str | None], group: int = 500) -> list[bytes]:
+    def batch(self, texts: list[str | None], group: int = 300) -> list[bytes]:
         """The ids of each text; ``group`` texts are taken together to meet new words."""
         out = []
         for i in range(0, len(texts), group):
@@ -173,7 +178,6 @@ class TextEncoder:
 @lru_cache(maxsize=4)
 def encoder(path: str) -> TextEncoder:
     """One encoder for each file and Python process, so tasks share what it has met."""
-    return TextEncoder(path)
-
-
-KEPT.append(encoder.cache_clear)
+    made = TextEncoder(path)
+    KEPT.append(made.forget)  # the vocabulary itself stays: to read it again takes more memory than to keep it
+    return made
