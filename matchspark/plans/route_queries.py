@@ -540,7 +540,7 @@ def picked(picks: list[tuple[str, str, str, list[int]]]) -> str:
 
 def played(i: Inputs) -> DataFrame:
     """Figures of all lives."""
-    key = (F.col("match_id") * 1000000 + F.col("player_id") * 1000 + F.col("segment_idx")).alias("k")
+    key = (F.col("match_id").cast("long") * 1000000 + F.col("player_id").cast("long") * 1000 + F.col("segment_idx")).alias("k")
     side = F.when(F.col("player_id") % 2 == 0, 30).otherwise(-30)
     share = lambda condition: F.avg(condition.cast("int"))
     end = lambda f: f(F.struct("x", "z"), F.struct("t", "row_id"))

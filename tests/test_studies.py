@@ -76,3 +76,13 @@ def test_rule_files(spark, tmp_path):
     armour = map_rules.kit_rows(rules, "armor")
     assert {(r.team, r.slot, r.team_colour) for r in armour.collect()} == {("red", "helmet", True), ("blue", "helmet", True)}
     assert map_rules.known_maps(armour, spark.createDataFrame([("m2", 4)], "map_slug string, map_id int")).count() == 0
+
+
+def test_lives_of_late_matches_are_picked(spark):
+    from matchspark.plans import route_queries
+    from matchspark.plans.inputs import Inputs
+
+    early, late = Inputs(spark, "/root/testdata/sf0.001"), Inputs(spark, "/root/testdata/sf0.001")
+    late.log = early.log.withColumn("match_id", F.col("match_id") + 20_000).withColumn("player_id", F.col("player_id") + 4_000_000)
+    for pick in (route_queries.t4_representatives, route_queries.t5_defence_representatives):
+        assert {(r.category, r.k + 24_000_000_000, r.metric) for r in pick(early).collect()} == {tuple(r) for r in pick(late).collect()}
