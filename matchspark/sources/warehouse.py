@@ -6,6 +6,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from matchspark.session import cut
 
 
 def replace_keys(rows: DataFrame, path: str, key: str) -> None:
@@ -13,6 +16,28 @@ def replace_keys(rows: DataFrame, path: str, key: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
+def stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Rows of a folder of ``replace_keys`` with the columns of ``schema``; none where nothing was ever written."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def replace_in_buckets(rows: DataFrame, path: str, key: str, buckets: int = 64) -> None:
+    """As ``replace_keys`` for keys too many for a folder each: they are dealt over ``buckets`` folders.
+
+    Buckets that ``rows`` touch are written anew with the rows of their other keys.
+    """
+    spark, bucket = rows.sparkSession, F.pmod(F.hash(key), F.lit(buckets)).alias("bucket")
+    new = rows.select("*", bucket)
+    touched = new.select("bucket").distinct()
+    gone = rows.select(F.col(key).alias("__key")).distinct()
+    kept = stored(spark, path, new.schema).join(F.broadcast(touched), "bucket", "left_semi").join(gone, F.col(key).eqNullSafe(F.col("__key")), "left_anti")
+    whole = cut(new.unionByName(kept.select(*new.columns)).repartition(buckets, "bucket"))
+    replace_keys(whole, path, "bucket")
+
+
 def upsert(old: DataFrame, new: DataFrame, name: str, key: str) -> DataFrame:
     """``old`` with the columns of ``new`` where both have a ``name``, and rows for new names, keys counted on.
 
@@ -108,13 +133,13 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str, key: str) -> None:
-    """A graph's tables, each key in a folder of its own."""
-    replace_keys(nodes, f"{path}/nodes", key)
-    replace_keys(edges, f"{path}/edges", key)
+    """A graph's tables; what was saved of its keys before is replaced, other keys stay."""
+    replace_in_buckets(nodes, f"{path}/nodes", key)
+    replace_in_buckets(edges, f"{path}/edges", key)
 
 
 def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+    return spark.read.parquet(f"{path}/nodes").drop("bucket"), spark.read.parquet(f"{path}/edges").drop("bucket")
 
 
 def lookup_misses(wanted: DataFrame, cache: DataFrame, key: str) -> DataFrame:
