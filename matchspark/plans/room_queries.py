@@ -199,7 +199,7 @@ def s32_kit_rows(i: Inputs) -> DataFrame:
     rows = map_rules.known_maps(rows, i.maps).withColumn("bucket", F.col("map_id") % 8)
     for some in (rows, rows.where("bucket = 3")):
         warehouse.replace_keys(some, path, "bucket")
-    return i.spark.read.parquet(path).select("map_id", "kit_id", "team", "part", "slot", "material", "amount", "unbreakable", "team_colour")
+    return warehouse.stored(i.spark, path, rows.schema).select("map_id", "kit_id", "team", "part", "slot", "material", "amount", "unbreakable", "team_colour")
 
 
 @query("log teams", """, f AS (SELECT e.match_id, e.wool_id, s.team, e.t, row_number() OVER (PARTITION BY e.match_id ORDER BY e.t, e.row_id) AS k FROM match_log e JOIN teams s ON e.match_id = s.match_id AND e.player_id = s.player_id AND e.t >= s.start_timestamp AND (s.end_timestamp IS NULL OR e.t < s.end_timestamp) WHERE e.event_type = 7)
@@ -248,6 +248,6 @@ def l13_loaded_chests(i: Inputs) -> DataFrame:
     rows = pairs.unionByName(ore)
     for some in (rows, rows.where("map_id = 3")):
         warehouse.replace_keys(some.withColumn("part", F.col("map_id")), path, "part")
-    read = i.spark.read.parquet(path)
+    read = warehouse.stored(i.spark, path, rows.withColumn("part", F.col("map_id")).schema)
     chest, known = F.col("kind") == "chest", F.countDistinct(F.when(F.col("kind") == "chest", F.struct("y", "chest_group")))
     return read.groupBy("map_id").agg(F.count_if(chest).alias("places"), F.count_if(chest & F.col("is_double")).alias("doubled"), known.alias("chests"), F.nullif(F.count_if(~chest), F.lit(0)).alias("resources"))

@@ -434,7 +434,7 @@ def l46_spawn_table(i: Inputs) -> DataFrame:
     path, rows = scratch_path(i.spark, "spawns"), points_of_interest.spawn_table(spawn_points(i), i.maps).withColumn("bucket", F.col("map_id") % 8)
     for some in (rows, rows.join(i.maps.where("map_id % 8 = 3").select("map_id"), "map_id", "left_semi")):
         warehouse.replace_keys(some, path, "bucket")
-    return i.spark.read.parquet(path).select("map_id", "spawn_idx", "region_id", "x", "z", "team")
+    return warehouse.stored(i.spark, path, rows.schema).select("map_id", "spawn_idx", "region_id", "x", "z", "team")
 
 
 @query("log", """, w AS (SELECT wool_id, match_id, count(*) FILTER (x >= 0) AS top, count(*) AS n FROM match_log WHERE event_type IN (6, 7) GROUP BY 1, 2), lf AS MATERIALIZED (SELECT k, coalesce(sum(ln(CAST(greatest(k, 1) AS DOUBLE))) OVER (ORDER BY k), 0) AS f FROM range(0, 10001) r(k))

@@ -17,3 +17,13 @@ def test_saved_graphs_take_few_folders_and_replace_their_keys(spark):
     assert {tuple(r) for r in got.collect()} == {(i % 1000, -i if i % 1000 == 7 else i) for i in range(3000)} and got.count() == 3000
     assert links.count() == 3000 and {r.dst for r in links.where("match_id is null").collect()} == {-1}
     assert len(list(Path(path.removeprefix("file:")).glob("nodes/*=*"))) <= 64
+
+
+def test_loads_without_rows_are_read_back_empty(spark):
+    from matchspark.plans import room_queries, route_queries
+    from matchspark.plans.inputs import Inputs
+
+    bare = Inputs(spark, "/root/testdata/sf0.001")
+    bare.blocks, bare.maps = bare.blocks.withColumn("block_id", F.lit(39)), bare.maps.where("map_id < 0")
+    for load in (room_queries.l13_loaded_chests, route_queries.l46_spawn_table):
+        assert load(bare).count() == 0
