@@ -112,7 +112,8 @@ def carry_chains(log: DataFrame, teams: DataFrame, limit: int = 120, lead: int =
     """One row per wave of touches: carriers, hand-offs, attacking team, outcome, first and final place, approach.
 
     ``teams`` are closed intervals ``match_id, player_id, team, start_timestamp,
-    end_timestamp`` (open: null). A wave ends with the first capture of its objective at or
+    end_timestamp`` (open: null); of several that hold the first touch the earliest counts,
+    of equal starts the smallest ``team_segment_id``, if there is one. A wave ends with the first capture of its objective at or
     after its first touch; else with the first death, from the first touch on, of its last
     carrier (``dropped_void`` below ``void_below``, else ``dropped_land``); else it is
     ``incomplete``. The approach is by the first carrier's greatest height in the ``lead``
@@ -127,9 +128,10 @@ def carry_chains(log: DataFrame, teams: DataFrame, limit: int = 120, lead: int =
         at_first("player_id", "t", "row_id").alias("first_carrier"), at_last("player_id", "t", "row_id").alias("last_carrier"),
         *(at_first(c, "t", "row_id").alias(f"first_{c}") for c in "xyz"), *(at_last(c, "t", "row_id").alias(f"last_{c}") for c in "xyz"),
     )
+    tie = [c for c in teams.columns if c == "team_segment_id"]
     side = rows.select(*wave, "start_timestamp", F.col("first_carrier").alias("player_id")).alias("w").join(teams.alias("s"), PLAYER)
     held = (F.col("s.start_timestamp") <= F.col("w.start_timestamp")) & (F.col("s.end_timestamp").isNull() | (F.col("s.end_timestamp") >= F.col("w.start_timestamp")))
-    attackers = side.where(held).groupBy(*wave).agg(F.min_by("team", "s.start_timestamp").alias("attacking_team"))
+    attackers = side.where(held).groupBy(*wave).agg(at_first("team", "s.start_timestamp", *tie).alias("attacking_team"))
     taken = log.where(F.col("event_type") == CAPTURE).select("match_id", "wool_id", F.col("t").alias("cap_t"), "row_id", *(F.col(c).alias(f"cap_{c}") for c in "xyz"))
     caught = rows.select(*wave, "start_timestamp").join(taken, ["match_id", "wool_id"]).where("cap_t >= start_timestamp")
     caught = caught.groupBy(*wave).agg(F.min(F.struct("cap_t", "row_id", "cap_x", "cap_y", "cap_z")).alias("cap"))

@@ -189,3 +189,10 @@ def test_runs_of_blocks_and_layers(spark):
     assert rows_of(blocks.vertical_segments(cells), "y_start", "y_end") == [(0, 2), (5, 6)]
     assert rows_of(blocks.bedrock_ceiling(cells), "y", "bedrock_ceiling_y") == [(0, 1)]
     assert rows_of(blocks.top_surface(cells, 5), "y", "block_id") == [(5, 7)]
+
+
+def test_carry_chain_takes_the_first_of_teams_that_start_at_once(spark):
+    schema = "match_id int, player_id int, team_segment_id int, team string, start_timestamp int, end_timestamp int"
+    for rows in ([(1, 1, 3, "red", 5, 5), (1, 1, 4, "blue", 5, None)], [(1, 1, 4, "red", 5, None), (1, 1, 3, "blue", 5, 5)]):
+        got = sessions.carry_chains(log(spark, [(1, 5, 6, 0, 0, 0, 0)]), spark.createDataFrame(rows, schema))
+        assert [r.attacking_team for r in got.collect()] == [min(rows, key=lambda r: r[2])[3]]
