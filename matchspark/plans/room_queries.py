@@ -162,7 +162,7 @@ def s30_artefacts(i: Inputs) -> DataFrame:
 
 
 def rules(i: Inputs) -> DataFrame:
-    """Rule files of all maps but stubs, written as XML and read a map a row."""
+    """Rule files of all maps but stubs, written as XML, ten thousand maps a file at most, and read a map a row: a file is read by one task."""
     path = scratch_path(i.spark, "rules")
     tag = lambda **values: F.struct(*(v.alias("_" + k.replace("__", "-")) for k, v in values.items()))
     at = lambda *numbers: F.concat_ws(",", *(n.cast("string") for n in numbers))
@@ -171,10 +171,10 @@ def rules(i: Inputs) -> DataFrame:
     kits = F.array(F.struct(text("main").alias("_id"), items.alias("item"), F.array(tag(slot=text("helmet"), material=text("leather helmet"), team__color=text(True))).alias("armor")), F.struct(text("spare").alias("_id"), F.slice(items, 1, 1).alias("item"), F.array().cast("array<struct<_slot: string, _material: string, `_team-color`: boolean>>").alias("armor")))
     one = lambda name, *rows: F.struct(F.array(*rows).alias(name))
     red, blue = text("red"), text("blue")
-    i.maps.where("not stub").select(
+    i.maps.where("not stub").repartition("map_slug").select(
         F.col("map_slug").alias("_slug"), one("team", tag(id=red, color=text("dark red"), max=n % 40), tag(id=blue, color=blue, max=n % 40)).alias("teams"), one("wool", tag(team=blue, color=text("lime"), location=at(n, text(9), -n))).alias("wools"),
         one("spawn", tag(team=red, kit=text("main")), tag(team=blue, kit=F.when(n % 2 == 0, "main").otherwise("none"))).alias("spawns"), one("cuboid", tag(id=text("base"), min=at(n + 5, text(0), text(7)), max=F.concat(n.cast("string"), text(",oo,oo")))).alias("regions"), F.struct(kits.alias("kit")).alias("kits"),
-    ).write.format("xml").option("rowTag", "map").save(path)
+    ).write.format("xml").option("rowTag", "map").option("maxRecordsPerFile", 10_000).save(path)
     return map_rules.read_rules(i.spark, path)
 
 

@@ -36,3 +36,14 @@ def test_chosen_layers_without_bedrock(spark):
     bare = Inputs(spark, "/root/testdata/sf0.001")
     bare.blocks = bare.blocks.withColumn("block_id", F.when((F.col("map_id") == 1) & (F.col("block_id") == 7), 7).otherwise(39))
     assert {tuple(r) for r in source_queries.s11_chosen_layers(bare).collect()} == {(1, "bedrock"), (2, "top_surface")}
+
+
+def test_rule_files_hold_a_bounded_number_of_maps(spark):
+    from matchspark.plans import room_queries
+    from matchspark.plans.inputs import Inputs
+
+    many = Inputs(spark, "/root/testdata/sf0.001")
+    many.maps = spark.range(0, 100_000, 1, 1).select(F.col("id").cast("int").alias("map_id"), F.concat(F.lit("m"), "id").alias("map_slug"), F.lit(False).alias("stub"))
+    rules = room_queries.rules(many)
+    files = rules.groupBy(F.input_file_name()).count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    assert files.most <= 10_000 and files["all"] == 100_000
