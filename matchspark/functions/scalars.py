@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,16 +14,25 @@ COLOURS = ["white", "orange", "magenta", "light_blue", "yellow", "lime", "pink",
 ALIASES = {"light gray": "silver", "light grey": "silver", "light_gray": "silver", "light_grey": "silver", "grey": "gray", "light blue": "light_blue"}
 #: Least players of a team for each size tier, the largest first.
 TIERS = {80: "giga", 64: "mega", 48: "hecto", 32: "centi", 22: "milli", 14: "micro", 6: "nano", 1: "pico"}
+#: Names that are turned into Arrow rows at a time.
+CHUNK = 256
+
+
+def ascii_of(names: pa.Array) -> pa.Array:
+    """Texts without accents and without what has no ASCII letter."""
+    parts = [pa.array([unicodedata.normalize("NFKD", x.as_py()).encode("ascii", "ignore").decode("ascii") if x.is_valid else None for x in names.slice(at, CHUNK)], pa.string()) for at in range(0, len(names), CHUNK)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def normal_name(name: Column) -> Column:
     """A map's slug: accents off, lower case, spaces to ``_``, only ``a-z0-9_``, no doubled or outer ``_``.
 
-    Names of ASCII alone stay on the JVM; others are decomposed (NFKD) in Arrow batches.
+    Names of ASCII alone stay on the JVM; others are decomposed (NFKD) in Arrow batches,
+    one after the other, so that of a batch of long texts only its two ends are held.
     """
-    @F.pandas_udf("string")
-    def decomposed(names: pd.Series) -> pd.Series:
-        return names.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
+    @F.arrow_udf("string")
+    def decomposed(names: pa.Array) -> pa.Array:
+        return ascii_of(names)
 
     plain = F.when(name.rlike(r"[^\x00-\x7F]"), decomposed(F.when(name.rlike(r"[^\x00-\x7F]"), name))).otherwise(name)
     kept = F.regexp_replace(F.regexp_replace(F.lower(plain), " ", "_"), "[^a-z0-9_]", "")

@@ -86,3 +86,11 @@ def test_lives_of_late_matches_are_picked(spark):
     late.log = early.log.withColumn("match_id", F.col("match_id") + 20_000).withColumn("player_id", F.col("player_id") + 4_000_000)
     for pick in (route_queries.t4_representatives, route_queries.t5_defence_representatives):
         assert {(r.category, r.k + 24_000_000_000, r.metric) for r in pick(early).collect()} == {tuple(r) for r in pick(late).collect()}
+
+
+def test_names_of_a_batch_of_long_texts_hold_little_memory():
+    import subprocess
+    import sys
+
+    code = "import resource, pyarrow as pa; from matchspark.functions import scalars; used = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; rows = pa.array(['\u00e9' + '\u6f22a' * 5000] * 5000); before = used(); assert scalars.ascii_of(rows)[4999].as_py() == 'e' + 'a' * 5000; print((used() - before) * 1024 / rows.nbytes)"
+    assert float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 1
