@@ -51,11 +51,12 @@ def slugs(files: DataFrame, history: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, order: str, name: str, after: DataFrame | None = None) -> DataFrame:
     """``rows`` with dense numbers in the order of ``order``, from one past the greatest ``name`` of ``after``.
 
-    Numbers come from range partitions and the counts of those before, so no task sorts all rows.
+    Numbers come from range partitions and the counts of those before, so no task sorts all
+    rows; ``rows`` are computed once, not again for the bounds of the ranges.
     """
     from matchspark.session import cut
 
-    placed = cut(rows.repartitionByRange(order).withColumn("__part", F.spark_partition_id()))
+    placed = cut(cut(rows).repartitionByRange(order).withColumn("__part", F.spark_partition_id()))
     counts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
     before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     base = 0 if after is None else after.agg(F.coalesce(F.max(name), F.lit(0))).first()[0]

@@ -3,7 +3,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from matchspark.session import scratch_path
-from matchspark.sources import warehouse
+from matchspark.sources import match_logs, warehouse
 
 
 def test_saved_graphs_take_few_folders_and_replace_their_keys(spark):
@@ -49,6 +49,17 @@ def test_rule_files_hold_a_bounded_number_of_maps(spark):
     assert files.most <= 10_000 and files["all"] == 100_000
 
 
+def test_numbering_computes_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(n):
+        seen.add(1)
+        return n
+
+    rows = match_logs.numbered(spark.range(100).select(F.udf(counted, "long")("id").alias("id")), "id", "n")
+    assert {tuple(r) for r in rows.select("id", "n").collect()} == {(i, i + 1) for i in range(100)} and seen.value == 100
+
+
 def test_replaced_partitions_write_no_file_a_match(spark, monkeypatch):
     from matchspark.plans import source_queries
     from matchspark.plans.inputs import Inputs
