@@ -29,7 +29,7 @@ def boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5's task at five words and similarity 0.8: one row of each group stays, the smallest doc_id (null last)."""
+    """Operator 5 at five words and similarity 0.8, by fingerprint bytes with count filtering: one row of each group stays, the smallest doc_id (null last)."""
     return keep_first(docs)
 
 

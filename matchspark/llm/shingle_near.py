@@ -1,18 +1,22 @@
-"""Near copies by the exact Jaccard similarity of five-word shingles, with a prefix index.
-
-Two shingle sets of similarity 0.8 or more share a shingle among the first
-``n - ceil(0.8 n) + 1`` of each, in any order that all documents share. The index posts
-each distinct set under the shingles of that prefix, so every such pair meets; sizes and
-positions rule out many others, counts of hashes by bucket bound what two sets can share,
-and the rest is verified on whole sets. The order puts
-shingles last that a sample shows to be common; it changes lengths of lists, not results.
+"""Near copies by the exact Jaccard similarity of five-word shingles: a byte-position inverted index with count filtering.
+
+A set's fingerprint has positions in proportion to its shingles. A shingle belongs to one
+position by its hash, and a position's bytes are the sum of the hashes there. Two sets of n
+and m shingles with a similarity of 0.8 or more differ in at most ``(n + m) / 9`` shingles,
+so in at most as many positions: unlike the bits of a SimHash, the bytes of this
+fingerprint bound what such a pair can differ in. The index posts each distinct set under
+the bytes of its first ``n // 4 + 1`` filled positions, in an order that all sets share; so
+each such pair meets in a list. There its shared positional bytes are tallied, one byte of
+each of ``TALLY`` positions, pairs that differ in too many are left out before they leave
+the list, and the rest is verified on whole sets. The order puts positions first that hold
+many shingles which a sample does not show to be common; it changes lengths of lists, not
+results. Sets near a power of two are posted with the fingerprint of the next size besides.
 
 Lists first name two of their members, the heaviest ones, as partners of all: a set weighs
-as many meetings as its prefix has in all lists, so that lists of one group of near copies
+as many meetings as its positions have in all lists, so that lists of one group of near copies
 name the same few members, and those closest to what the copies have in common. Each set is
 compared with the heaviest of its partners. Only pairs that are still in different groups
-are then compared each with each, long lists in blocks. No pair is left out; pairs
-of sets that share rare shingles but are not linked still grow with the square of a list.
+are then compared each with each, long lists in blocks. No pair is left out.
 """
 
 from __future__ import annotations
@@ -42,8 +46,12 @@ KEPT = 1 << 16
 FEW = 500_000
 #: How the lists choose pairs, round by round.
 ROUNDS = ["heaviest", "all"]
-#: Buckets of hashes whose counts bound the shared ones; for sets of ``FINE`` or more there are 1024 or 4096 besides.
-BUCKETS, FINE = 128, 1024
+#: Sets of so many shingles have counts of hashes by 1024 or 4096 buckets, which bound the shared ones.
+FINE = 512
+#: Shingles that a position has at most on average, and the least number of positions.
+FILL, LEAST = 3, 32
+#: Positions whose bytes are tallied in the lists.
+TALLY = 128
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -67,20 +75,56 @@ def near(both: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 9 * both >= 4 * (n + m)
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Keys (32 bits of the hash) of the prefix, in the order of all documents: common shingles last."""
-    if not len(hashes):
-        return np.zeros(0, np.int32)
-    n = len(hashes) - (4 * len(hashes) + 4) // 5 + 1
-    if len(common):
-        late = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
-        hashes = np.concatenate([hashes[~late], hashes[late]])
-    return hashes[:n].astype(np.uint32).view(np.int32)
+def prefix(hashes: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """The hashes of which sets of similarity 0.8 or more share one, in the order of all documents: common shingles last."""
+    return np.concatenate([hashes[rare], hashes[~rare]])[: len(hashes) - (4 * len(hashes) + 4) // 5 + 1]
+
+
+def spots(hashes: np.ndarray, positions: int) -> np.ndarray:
+    """The position of each hash in fingerprints of so many positions."""
+    return (hashes >> np.uint64(40)).astype(np.int64) % positions
+
+
+def positions_of(n: int) -> int:
+    """Positions of the fingerprint of n shingles; of two near sets the larger one decides."""
+    return max(LEAST, 1 << (-(-n // FILL) - 1).bit_length())
+
+
+def marks(hashes: np.ndarray) -> bytes:
+    """One byte of each of ``TALLY`` positions: the sum of the hashes there; equal positions have equal bytes."""
+    low = (hashes & np.uint64(255)).astype(float)
+    return (np.bincount(spots(hashes, TALLY), low, TALLY).astype(np.int64) & 255).astype("u1").tobytes()
+
+
+def enough(shared: np.ndarray, n: np.ndarray, m: np.ndarray, positions: int = TALLY) -> np.ndarray:
+    """Count filter: whether sets of n and m whose fingerprints share so many positional bytes can be near."""
+    return 9 * (positions - shared) <= n + m
+
+
+def posted_bytes(hashes: np.ndarray, positions: int, rare: np.ndarray) -> np.ndarray:
+    """The bytes of the filled positions as 64-bit numbers, those with most uncommon shingles first."""
+    at = spots(hashes, positions)
+    total, uncommon = np.zeros(positions, np.uint64), np.bincount(at, rare, positions)
+    np.add.at(total, at, hashes)
+    filled = np.unique(at)
+    keys = total[filled] + np.array([positions * 0x9E3779B97F4A7C15 % 2**64], np.uint64)  # sizes have lists of their own
+    return keys[np.lexsort((keys, -uncommon[filled]))]
 
 
-def counts(hashes: np.ndarray) -> bytes:
-    """Hashes by bucket, as counts of one byte; 255 stands for that many or more."""
-    return np.minimum(np.bincount((hashes >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS), 255).astype("u1").tobytes()
+def keys_of(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The lists of a set, as signed numbers: any two near sets have one in common.
+
+    Of near sets each has at most ``n // 4`` positions that the other has not. A set with no
+    more filled ones than that is posted under all of them, so it meets those that have
+    more; such sets meet each other by their first shingles.
+    """
+    n, keys = len(hashes), [np.zeros(0, np.uint64)]
+    rare = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] != hashes if len(common) else np.ones(n, bool)
+    for positions in {positions_of(n), positions_of(5 * n // 4)} if n else ():
+        keys.append(posted_bytes(hashes, positions, rare)[: n // 4 + 1])
+        if len(keys[-1]) <= n // 4:
+            keys.append(prefix(hashes, rare))
+    return np.unique(np.concatenate(keys)).view(np.int64)
 
 
 def fine_counts(hashes: np.ndarray) -> bytes:
@@ -103,22 +147,6 @@ def fine_bound(x: bytes, y: bytes, n: int, m: int) -> int:
     return int(np.minimum(a, b).sum())
 
 
-def bound(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """How many hashes two sets can share at most, by their counts; full counts tell nothing."""
-    full = (x == 255).any(axis=1) | (y == 255).any(axis=1)
-    return np.where(full, np.minimum(n, m), np.minimum(x, y).sum(axis=1, dtype=np.int64))
-
-
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, counts and size of each) that can be near, as (a, b)."""
-    for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "u1").reshape(-1, BUCKETS) for i in (2, 3))
-            n, m = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (4, 5))
-            keep = pa.array(near(bound(x, y, n, m), n, m))
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], schema=PAIR)
-
-
 def _rows(schema: pa.Schema, function):
     """A mapInArrow function that gives the rows that ``function`` returns for each row."""
 
@@ -183,37 +211,41 @@ def _batches(parts: Iterator[list[np.ndarray]], schema: pa.Schema) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
-def possible(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """Whether sets whose first shared shingle is at these positions can be near."""
-    return near(np.minimum(n - at, m - to), n, m)
-
-
-def pairs_of(node, n, at, group, how: str, block=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pairs_of(node, n, group, how: str, block=None, bytes_=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions of the pairs of one list that are to be verified; ``group`` holds weights in the first round.
 
-    ``block``: pairs of equal blocks are compared elsewhere, but for block -1.
+    ``block``: pairs of equal blocks are compared elsewhere, but for block -1. ``bytes_``:
+    positional bytes of each set, which are tallied.
     """
     block = np.full(len(node), -1) if block is None else block
     rows = np.arange(len(node))
+
+    def tallied(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if bytes_ is None or not len(a):
+            return a, b
+        shared = np.concatenate([(bytes_[a[i : i + 8192]] == bytes_[b[i : i + 8192]]).sum(axis=1) for i in range(0, len(a), 8192)])
+        fit = enough(shared, n[a], n[b])
+        return a[fit], b[fit]
+
     if how == "heaviest":
         for first in np.lexsort((node, -group))[:2]:
-            fit = (rows != first) & possible(n, at, n[first], at[first])
-            yield np.full(int(fit.sum()), first), rows[fit]
+            fit = rows[(rows != first) & near(np.minimum(n, n[first]), n, n[first])]
+            yield tallied(np.full(len(fit), first), fit)
         return
     if (group == group[0]).all():
         return
     for i in range(0, len(node), ROWS):
         some = rows[i : i + ROWS]
         apart = (group[some][:, None] != group) & ((block[some][:, None] != block) | (block == -1))
-        a, b = np.nonzero(apart & (some[:, None] < rows) & possible(n[some][:, None], at[some][:, None], n, at))
-        yield some[a], rows[b]
+        a, b = np.nonzero(apart & (some[:, None] < rows) & near(np.minimum(n[some][:, None], n), n[some][:, None], n))
+        yield tallied(some[a], b)
 
 
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 SET = pa.schema([("block", pa.int64()), ("node", pa.int64()), ("data", pa.binary())])
 #: Bytes of sets that a block of them has on average, and the least number of blocks.
 BLOCK, BLOCKS = 1 << 23, 8
-LIST = pa.schema([("key", pa.int32()), ("node", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("size", pa.int64())])
+LIST = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("size", pa.int64())])
 
 
 def _kept_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,8 +254,9 @@ def _kept_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _candidates(how: str):
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-        for _, node, n, at, group, block in whole_lists(batches):
-            for a, b in pairs_of(node, n.astype(np.int64), at.astype(np.int64), group, how, block):
+        for _, node, n, group, block, raw in whole_lists(batches):
+            bytes_ = np.frombuffer(b"".join(raw), "u1").reshape(-1, TALLY)
+            for a, b in pairs_of(node, n.astype(np.int64), group, how, block, bytes_):
                 if len(a):
                     yield [node[a], node[b]] if how == "heaviest" else [np.minimum(node[a], node[b]), np.maximum(node[a], node[b])]
 
@@ -330,8 +363,8 @@ def _in_blocks(lists: DataFrame, long: int = LONG) -> DataFrame:
     dealt = lists.withColumn("own", own).withColumn("other", other)
     both = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
     block = F.when((F.col("other") == -1) | (F.col("own") == F.col("other")), F.lit(-1)).otherwise(F.col("own"))
-    key = F.when(F.col("other") == -1, F.col("key").cast("long")).otherwise(both)
-    return dealt.select(key.alias("key"), "node", "n", "at", "group", block.cast("long").alias("block"))
+    key = F.when(F.col("other") == -1, F.col("key")).otherwise(both)
+    return dealt.select(key.alias("key"), "node", "n", "group", block.cast("long").alias("block"), "bytes")
 
 
 def near_groups(docs: DataFrame, row: str | None = None) -> DataFrame:
@@ -344,29 +377,29 @@ def near_groups(docs: DataFrame, row: str | None = None) -> DataFrame:
     """
     more = [row] if row else []
     common = common_shingles(docs)
-    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in more), ("node", pa.int64()), ("n", pa.int32()), ("counts", pa.binary()), ("fine", pa.binary()), ("keys", pa.list_(pa.int32())), ("of_row", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in more), ("node", pa.int64()), ("n", pa.int32()), ("bytes", pa.binary()), ("fine", pa.binary()), ("keys", pa.list_(pa.int64())), ("of_row", pa.int64())])
 
     def sketch(doc_id, text, of_row, *extra):
         hashes = shingles(text)
-        return [(doc_id, *extra, name_of(hashes), len(hashes), counts(hashes), fine_counts(hashes), prefix(hashes, common).tolist(), of_row)]
+        return [(doc_id, *extra, name_of(hashes), len(hashes), marks(hashes), fine_counts(hashes), keys_of(hashes, common), of_row)]
 
     told = "".join(f"{c} long, " for c in more)
-    prints = cut(docs.select("doc_id", "text", F.xxhash64("doc_id", "text"), *more).mapInArrow(_rows(schema, sketch), f"doc_id long, {told}node long, n int, counts binary, fine binary, keys array<int>, of_row long"))
-    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("of_row").alias("of_row"), *(F.first(c).alias(c) for c in ("n", "counts", "fine", "keys"))))
-    posted = nodes.select("node", "n", F.posexplode("keys").alias("at", "key")).select("key", "node", "n", "at")
+    prints = cut(docs.select("doc_id", "text", F.xxhash64("doc_id", "text"), *more).mapInArrow(_rows(schema, sketch), f"doc_id long, {told}node long, n int, bytes binary, fine binary, keys array<long>, of_row long"))
+    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("of_row").alias("of_row"), *(F.first(c).alias(c) for c in ("n", "bytes", "fine", "keys"))))
+    posted = nodes.select("node", "n", F.explode("keys").alias("key")).select("key", "node", "n")
     in_order = posted.repartition("key").sortWithinPartitions("key", "node")
-    lists = cut(in_order.mapInArrow(_kept_lists, "key int, node long, n int, at int, size long"))
+    lists = cut(in_order.mapInArrow(_kept_lists, "key long, node long, n int, size long"))
     weights = lists.groupBy("node").agg(F.sum("size").alias("component"))
-    least, sizes = nodes.select("node", "doc_id", "of_row"), nodes.select("node", "counts", "n")
+    least = nodes.select("node", "doc_id", "of_row")
     links, tested, groups = None, None, None
     for how in ROUNDS:
-        named = lists.join(weights if how == "heaviest" else groups, "node", "left") if how == "heaviest" or groups else lists.withColumn("component", F.col("node"))
-        named = named.select("key", "node", "n", "at", "size", F.coalesce("component", "node").alias("group"))
+        named = weights if how == "heaviest" else groups
+        told = nodes.select("node", "bytes")
+        told = told.join(named, "node", "left") if named is not None else told.withColumn("component", F.col("node"))
+        named = lists.join(told, "node").select("key", "node", "n", "size", F.coalesce("component", "node").alias("group"), "bytes")
         named = _in_blocks(named) if how == "all" else named.withColumn("block", F.lit(-1).cast("long"))
-        named = named.select("key", "node", "n", "at", "group", "block")
-        found = named.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_candidates(how), "a long, b long").distinct()
-        sized = found.join(sizes.toDF("a", "x", "n"), "a").join(sizes.toDF("b", "y", "m"), "b").select("a", "b", "x", "y", "n", "m")
-        fit = sized.mapInArrow(_bounded, "a long, b long")
+        named = named.select("key", "node", "n", "group", "block", "bytes")
+        fit = named.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_candidates(how), "a long, b long").distinct()
         if how == "heaviest":  # one partner for each set: the heaviest of those that met it
             heavy = weights.select(F.col("node").alias("a"), F.col("component").alias("weight"))
             fit = fit.join(heavy, "a").groupBy("b").agg(F.max_by("a", F.struct("weight", "a")).alias("a")).select("a", "b")

@@ -108,3 +108,42 @@ def test_lists_over_several_batches():
         batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + size]), pa.array(range(i, min(i + size, len(keys))))], ["key", "n"]) for i in range(0, len(keys), size)]
         got = [(int(k[0]), n.tolist()) for k, n in near.whole_lists(iter(batches))]
         assert got == [(k, [i for i, x in enumerate(keys) if x == k]) for k in (1, 3, 4, 6)] and np.ndim(got[0][1]) == 1
+
+
+def hashed(rng, n):
+    import numpy as np
+
+    return np.unique(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64))
+
+
+@pytest.mark.parametrize("crowded", [False, True])
+def test_near_sets_share_a_list_and_pass_the_tally(crowded):
+    import numpy as np
+
+    rng = random.Random(12)
+    for n in [*range(1, 60), 76, 77, 95, 96, 97, 110, 383, 384, 385, 480, 1500, 6000]:
+        x = hashed(rng, n)
+        if crowded:  # all shingles in few positions: too few of them are filled
+            x = np.unique(x & np.uint64((1 << 40) - 1) | np.uint64(rng.randrange(3) << 40))
+        for gone, new in ((n // 5, 0), (n // 10, n // 10), (0, n // 4), (n // 9, n // 9)):
+            y = np.unique(np.concatenate([np.array(rng.sample(x.tolist(), len(x) - gone), np.uint64), hashed(rng, new)]))
+            both = len(np.intersect1d(x, y))
+            if not near.near(both, len(x), len(y)):
+                continue
+            for common in (np.zeros(0, np.uint64), np.sort(np.array(rng.sample(x.tolist(), n // 2), np.uint64))):
+                assert set(near.keys_of(x, common).tolist()) & set(near.keys_of(y, common).tolist())
+            shared = sum(a == b for a, b in zip(near.marks(x), near.marks(y), strict=True))
+            assert near.enough(shared, len(x), len(y))
+
+
+def test_unlike_sets_do_not_leave_their_list():
+    import numpy as np
+
+    rng = random.Random(13)
+    line = hashed(rng, 20)
+    sets = [np.unique(np.concatenate([line, hashed(rng, 40)])) for _ in range(100)]
+    sets += [np.unique(np.r_[sets[0][2:], hashed(rng, 2)])]
+    bytes_ = np.array([list(near.marks(x)) for x in sets], np.uint8)
+    n, node = np.array([len(x) for x in sets]), np.arange(len(sets))
+    found = [(int(a), int(b)) for x, y in near.pairs_of(node, n, node, "all", None, bytes_) for a, b in zip(x, y, strict=True)]
+    assert found == [(0, 100)]
