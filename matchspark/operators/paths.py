@@ -37,6 +37,8 @@ def both_ways(edges: DataFrame, key: str) -> DataFrame:
 
 #: Links of a graph times sources that one task walks.
 WORK = 1_000_000
+#: Lengths of ways that differ by no more are equal.
+NEAR = 1e-9
 
 
 def _walk(key: str, by_source: bool):
@@ -152,18 +154,76 @@ def _follow(key: str):
     return run
 
 
+def _ways(key: str):
+    """A cogrouped function of the pairs and the links (both ways) of one graph: the nodes from target back to source.
+
+    A source's search ends with the distance of its farthest target, so only nodes up to there are held.
+    """
+
+    def run(pairs: pa.Table, links: pa.Table) -> pa.Table:
+        around: dict[object, list[tuple[object, float]]] = {}
+        for src, dst, weight in zip(*(links[c].to_pylist() for c in ("src", "dst", "weight")), strict=True):
+            around.setdefault(src, []).append((dst, weight))
+        wanted: dict[object, list] = {}
+        for source, target in zip(pairs["source"].to_pylist(), pairs["target"].to_pylist(), strict=True):
+            wanted.setdefault(source, []).append(target)
+        rows = []
+        for source, targets in wanted.items():
+            known: dict[object, float] = {}
+            heap, left, last = [(0.0, source)], set(targets), 0.0
+            while heap and (left or heap[0][0] <= last + NEAR):
+                far, node = heappop(heap)
+                if node not in known:
+                    known[node] = far
+                    if node in left:
+                        left.remove(node)
+                        last = far
+                    for other, weight in around.get(node, ()):
+                        if other not in known:
+                            heappush(heap, (far + weight, other))
+            for target in targets:
+                node, back = (target if target in known else None), 0
+                while node is not None:
+                    rows.append((source, target, back, node))
+                    fits = (src for src, weight in around.get(node, ()) if src in known and abs(known[src] + weight - known[node]) <= NEAR and (weight > 0 or src < node))
+                    node, back = (min(fits, default=None) if node != source else None), back + 1
+        types = [pairs.schema.field("source").type, pairs.schema.field("target").type, pa.int32(), pairs.schema.field("target").type]
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, types, strict=True)]
+        return pa.table([pa.array(pairs[key][:1].to_pylist() * len(rows), pairs.schema.field(key).type), *columns], names=[key, "source", "target", "back", "node"])
+
+    return run
+
+
 def shortest_paths(pairs: DataFrame, edges: DataFrame, key: str, max_rounds: int = 10_000, work: int = WORK) -> DataFrame:
     """``key, source, target, seq, node`` of a shortest path for each pair; ``seq`` 0 is the source.
 
     ``pairs``: ``key, source, target``. Of equally short ways a path takes, seen from the
-    target, the lowest node each time. Pairs without a way give no rows.
+    target, the lowest node each time. Pairs without a way give no rows. Graphs whose links
+    times pairs are at most ``work`` are searched whole, each in one task, from which only
+    the paths come back; for the others distances and steps are tables of their own.
     """
+    pairs = cut(pairs.select(key, "source", "target").dropna().distinct())
+    edges = cut(edges.select(key, "src", "dst", "weight").join(pairs.select(key).distinct(), key, "left_semi"))
+    load = pairs.groupBy(key).agg(F.count("*").alias("pairs")).join(edges.groupBy(key).agg(F.count("*").alias("links")), key, "left")
+    small = cut(load.select(key, (F.coalesce("links", F.lit(0)) * F.col("pairs") <= work).alias("small")))
+    here, large = small.where("small").select(key), small.where("not small").select(key)
+    fields = {f.name: f.dataType for f in pairs.schema}
+    schema = StructType([*(StructField(c, fields[c]) for c in (key, "source", "target")), StructField("back", IntegerType()), StructField("node", fields["target"])])
+    links = both_ways(edges, key).join(here, key, "left_semi").dropna(subset=["src", "dst"])
+    walked = _from_source(cut(pairs.join(here, key, "left_semi").groupBy(key).cogroup(_anew(links).groupBy(key)).applyInArrow(_ways(key), schema)), key)
+    if large.isEmpty():
+        return walked
+    return walked.unionByName(_paths_by_steps(pairs.join(large, key, "left_semi"), edges.join(large, key, "left_semi"), key, max_rounds, work))
+
+
+def _paths_by_steps(pairs: DataFrame, edges: DataFrame, key: str, max_rounds: int, work: int) -> DataFrame:
+    """``shortest_paths`` from tables of all distances and of the node before each node."""
     both = both_ways(edges, key)
     sources = pairs.select(key, F.col("source").alias("node")).distinct()
     far = cut(shortest_distances(sources, edges, key, by_source=True))
     near = far.select(key, "source", F.col("node").alias("src"), F.col("distance").alias("before"))
     steps = near.join(both, [key, "src"]).withColumnRenamed("dst", "node").join(far, [key, "source", "node"])
-    steps = steps.where((F.abs(F.col("before") + F.col("weight") - F.col("distance")) <= 1e-9) & (F.col("node") != F.col("source")) & ((F.col("weight") > 0) | (F.col("src") < F.col("node"))))
+    steps = steps.where((F.abs(F.col("before") + F.col("weight") - F.col("distance")) <= NEAR) & (F.col("node") != F.col("source")) & ((F.col("weight") > 0) | (F.col("src") < F.col("node"))))
     before = cut(steps.groupBy(key, "source", "node").agg(F.min("src").alias("previous")))
     wanted = cut(pairs.select(key, "source", "target").distinct().join(far.select(key, "source", F.col("node").alias("target")), [key, "source", "target"]))
     load = before.groupBy(key).agg(F.count("*").alias("known")).join(wanted.groupBy(key).agg(F.count("*").alias("pairs")), key, "right")

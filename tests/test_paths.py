@@ -1,3 +1,6 @@
+import random
+
+from matchspark.operators import paths
 from matchspark.operators.paths import largest_component, shortest_distances
 
 
@@ -15,3 +18,14 @@ def test_shortest_distances_take_a_cheaper_detour(spark):
     got = {tuple(r) for r in shortest_distances(sources, edges, "g").collect()}
     assert got == {(1, 1, 0.0), (1, 2, 5.0), (1, 3, 2.0), (1, 4, 6.0), (2, 2, 0.0), (2, 1, 4.0)}
     assert shortest_distances(sources.limit(0), edges, "g").count() == 0
+
+
+def test_small_graphs_give_paths_without_tables_of_distances(spark, monkeypatch):
+    rng = random.Random(3)
+    links = {(g, min(a, b), max(a, b)): float(rng.choice([0, 1, 1, 2])) for g in (1, 2) for a, b in (rng.sample(range(14), 2) for _ in range(24))}
+    edges = spark.createDataFrame([(*k, w) for k, w in links.items()], "g int, src long, dst long, weight double")
+    pairs = spark.createDataFrame([(g, s, t) for g in (1, 2, 3) for s in (0, 5) for t in (0, 5, 9, 13, 99)] + [(1, 0, None), (1, 0, 9)], "g int, source long, target long")
+    want = sorted(map(tuple, paths.shortest_paths(pairs, edges, "g", work=0).collect()))
+    assert any(r[3] > 1 for r in want)
+    monkeypatch.setattr(paths, "shortest_distances", None)
+    assert sorted(map(tuple, paths.shortest_paths(pairs, edges, "g").collect())) == want
