@@ -1,8 +1,10 @@
 """Exact and fast ids from public tokenizer files: each distinct word is encoded once.
 
 Both vocabularies never merge across the start of a white-space run, so a text's ids are
-the ids of its space-separated chunks in order. A process keeps the ids of chunks that it
-has met; texts with white space or markers for which this does not hold are encoded whole.
+the ids of its space-separated chunks in order. With a byte-level vocabulary the chunks of
+a group of texts are told apart in Arrow, and nothing is kept after the group; otherwise a
+process keeps the ids of chunks that it has met. Texts with white space or markers for
+which this does not hold are encoded whole.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from functools import lru_cache
 from os.path import commonprefix
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from matchspark.llm.text import KEPT
 
@@ -25,6 +29,8 @@ TAIL = ".,!*$%&#|;:?"
 
 #: Chunks that the library encodes at a time: what it keeps of each takes far more memory than its ids.
 AT_ONCE = 5_000
+#: Characters of texts whose distinct words are encoded together.
+TOGETHER = 12_000_000
 
 
 def parts(chunks: list[str]) -> list[list[str]]:
@@ -106,6 +112,131 @@ class ChunkIds(dict):
         return self[chunk]
 
 
+def spread(ids: np.ndarray, starts: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``ids[starts[p]:starts[p + 1]]`` of all picks one after the other, and where each begins and the last ends."""
+    n = (starts[1:] - starts[:-1])[picks]
+    at = np.zeros(len(picks) + 1, np.int64)
+    np.cumsum(n, out=at[1:])
+    return ids[np.repeat(starts[picks] - at[:-1], n) + np.arange(at[-1])], at
+
+
+class GroupIds:
+    """Ids of groups of texts with a byte-level vocabulary: each distinct word of a group goes to the library once.
+
+    No token of the vocabulary holds a letter and what follows a word (``TAIL``, a space or
+    a line feed), or a line feed and a letter after it. So no merge crosses these places, and
+    the library's model encodes words in one string, without the search for words in it.
+    """
+
+    #: Words in a string for the model, texts whose ids are put together at a time.
+    WORDS, TEXTS = 200, 200
+
+    def __init__(self, tokenizer):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.model = tokenizer, Tokenizer(tokenizer.model)
+        self.table, vocab = self.glyphs(), tokenizer.get_vocab()
+        self.edge = np.zeros(65_536, bool)
+        self.edge[[i for token, i in vocab.items() if token[0] in self.mapped(" \n")]] = True
+
+    @staticmethod
+    def glyphs() -> np.ndarray:
+        """Byte -> the character that stands for it in tokens."""
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        every = "".join(map(chr, [*range(0x800), *range(0x800, 0xD800, 0x400), *range(0xE000, 0x10000, 0x400), *range(0x10000, 0x110000, 0x8000)]))
+        shown = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(every)[0][0]
+        table = np.zeros(256, "<u2")
+        table[np.frombuffer(every.encode(), "u1")] = np.frombuffer(shown.encode("utf-16-le"), "<u2")
+        return table
+
+    def mapped(self, text: str) -> str:
+        return self.table[np.frombuffer(text.encode(), "u1")].tobytes().decode("utf-16-le")
+
+    @classmethod
+    def suits(cls, tokenizer) -> bool:
+        """Whether ids of this tokenizer can be found so."""
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        model, cut = tokenizer.model, tokenizer.pre_tokenizer
+        if tokenizer.normalizer or not isinstance(cut, ByteLevel) or cut.add_prefix_space or not cut.use_regex or not isinstance(model, BPE):
+            return False
+        if model.dropout or model.ignore_merges or model.continuing_subword_prefix or model.end_of_word_suffix:
+            return False
+        byte = {chr(c): b for b, c in enumerate(cls.glyphs().tolist()) if c}
+        after, added = {*TAIL.encode(), *b" \n"}, {token.content for token in tokenizer.get_added_tokens_decoder().values()}
+        glyph = dict(zip(" \n", cls.glyphs()[[32, 10]].tobytes().decode("utf-16-le"), strict=True))
+        seam = re.compile(f".[{re.escape(TAIL + glyph[' '] + glyph[chr(10)])}]|{glyph[chr(10)]}.")
+        for token in filter(seam.search, tokenizer.get_vocab()):
+            if token in added:
+                continue
+            raw = bytes(byte.get(c, 0xFF) for c in token)
+            for n in range(1, len(raw)):
+                if raw[n] in after or raw[n - 1] == 10:
+                    one, two = raw[:n].decode("utf-8", "replace")[-1], raw[n:].decode("utf-8", "replace")[0]
+                    letters = one.isalpha() or one == "\ufffd", two.isalpha() or two == "\ufffd"  # U+FFFD: a part of a character
+                    if (letters[0] or one in TAIL and two in " \n") and raw[n] in after or one == "\n" and letters[1]:
+                        return False
+        return len(tokenizer.encode("\n", add_special_tokens=False).ids) == 1
+
+    def words(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of words of letters, strings for the model after each other; a word with a line feed before it has no space."""
+        out = []
+        for at in range(0, len(words), self.WORDS):
+            text = (" " + " ".join(words[at : at + self.WORDS])).replace(" \n", "\n")
+            out.append(np.array(self.model.encode_batch_fast([self.mapped(text)], add_special_tokens=False)[0].ids, "<u2"))
+        return out
+
+    def chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all chunks one after the other, where each begins and the last ends, and which must not be encoded alone."""
+        words: dict[str, int] = {}
+        ends: dict[str, int] = {}
+        others, head, tail, bad = [], [], [], np.zeros(len(chunks), bool)
+        for n, chunk in enumerate(chunks):
+            word = chunk.rstrip(TAIL)
+            if word.isalpha() or word[:1] == "\n" and word[1:].isalpha():
+                head.append(words.setdefault(word, len(words)))
+                tail.append(ends.setdefault(chunk[len(word) :], len(ends)))
+            else:
+                body = chunk.removeprefix("\n")
+                bad[n] = not body or not body.isprintable()
+                others.append("" if bad[n] else chunk if body != chunk else " " + chunk)
+                head.append(-len(others))
+                tail.append(-1)
+        runs = self.words(list(words))
+        flat = np.concatenate([*runs, np.zeros(0, "<u2")])
+        starts = np.flatnonzero(self.edge[flat])
+        if len(starts) != len(words):
+            raise ValueError("words and their first ids differ in number")
+        alone = [x.ids for x in self.tokenizer.encode_batch_fast([*others, *ends], add_special_tokens=False)] if others or ends else []
+        flat = np.concatenate([flat, np.array([i for x in alone for i in x], "<u2")])
+        starts = np.r_[starts, len(flat) - sum(map(len, alone)) + np.cumsum([0, *map(len, alone)]), len(flat)]  # the last run is empty
+        heads, tails = np.array(head, np.int64), np.array(tail, np.int64)
+        heads = np.where(heads < 0, len(words) - 1 - heads, heads)
+        tails = np.where(tails < 0, len(starts) - 2, tails + len(words) + len(others))
+        flat, at = spread(flat, starts, np.stack([heads, tails], 1).ravel())
+        return flat, at[::2], bad
+
+    def __call__(self, texts: list[str]) -> list[bytes | None]:
+        """The ids of each text as little-endian unsigned 16-bit bytes; None: encode it whole."""
+        # each text gets a line feed before it, so that its first word has no space; the line feed's id is dropped
+        lists = pc.split_pattern(pa.array(["\n" + text.replace("\n", " \n") for text in texts], pa.large_string()), " ")
+        places, coded = lists.offsets.to_numpy(), lists.values.dictionary_encode()
+        del lists
+        picks = coded.indices.to_numpy()
+        flat, starts, bad = self.chunks(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        out: list[bytes | None] = []
+        for i in range(0, len(texts), self.TEXTS):
+            at = places[i : i + self.TEXTS + 1]
+            some = picks[at[0] : at[-1]]
+            whole = np.logical_or.reduceat(bad[some], at[:-1] - at[0])
+            ids, begins = spread(flat, starts, some)
+            raw, bounds = ids.tobytes(), begins[at - at[0]].tolist()
+            out += [None if w else raw[2 * x + 2 : 2 * y] for w, x, y in zip(whole.tolist(), bounds, bounds[1:], strict=False)]
+        return out
+
+
 class TextEncoder:
     """Ids of whole texts, as the tokenizers library gives them with ``add_special_tokens=False``.
 
@@ -127,6 +258,7 @@ class TextEncoder:
         lower = tokenizer.encode("AB", add_special_tokens=False).ids == tokenizer.encode("ab", add_special_tokens=False).ids
         self.words = ChunkIds(tokenizer, " " if self.spaced else "", lower)
         self.first = ChunkIds(tokenizer, "", lower, 100_000)
+        self.groups = GroupIds(tokenizer) if self.spaced and GroupIds.suits(tokenizer) else None
 
     def forget(self) -> None:
         """Give up the chunks that it has met."""
@@ -152,9 +284,22 @@ class TextEncoder:
         """The ids as little-endian unsigned 16-bit bytes."""
         return self.batch([text])[0]
 
+    def grouped(self, texts: list[str]) -> list[bytes]:
+        found = self.groups(["" if self.marked(text) else text for text in texts])
+        return [self.joined(text, None) if ids is None else ids for text, ids in zip(texts, found, strict=True)]
+
     def batch(self, texts: list[str | None], group: int = 300) -> list[bytes]:
-        """The ids of each text; ``group`` texts are taken together to meet new words."""
+        """The ids of each text; ``group`` texts, or about ``TOGETHER`` characters, are taken together to meet new words."""
         out = []
+        if self.groups:
+            part, chars = [], 0
+            for text in texts:
+                part.append(text or "")
+                chars += len(part[-1])
+                if chars >= TOGETHER:
+                    out += self.grouped(part)
+                    part, chars = [], 0
+            return out + self.grouped(part) if part else out
         for i in range(0, len(texts), group):
             part = [text or "" for text in texts[i : i + group]]
             split = [self.chunks(text) for text in part]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchspark.llm.encoding import encoder
-from matchspark.llm.text import crc_of_ids
+from matchspark.llm.text import crc_of_ids, small
 from matchspark.session import cut
 
 LIMIT, SHARD = 2048, 2000
@@ -197,14 +197,12 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, limit: int) -> D
 
     def run(batches):
         encode = encoder(tokenizer)
-        for batch in batches:
+        for batch in small(batches, 2500):
             rows = []
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                for doc_id, raw in zip(part.column(0).to_pylist(), encode.batch(part.column(1).to_pylist()), strict=True):
-                    ids = np.append(np.frombuffer(raw, "<u2"), np.uint16(end_id))
-                    ends = range((len(ids) - 1) % limit + 1, len(ids) + 1, limit)
-                    rows += [(doc_id, n, max(0, e - limit), e - max(0, e - limit), crc_of_ids(ids[max(0, e - limit) : e])) for n, e in enumerate(ends)]
+            for doc_id, raw in zip(batch.column(0).to_pylist(), encode.batch(batch.column(1).to_pylist()), strict=True):
+                ids = np.append(np.frombuffer(raw, "<u2"), np.uint16(end_id))
+                ends = range((len(ids) - 1) % limit + 1, len(ids) + 1, limit)
+                rows += [(doc_id, n, max(0, e - limit), e - max(0, e - limit), crc_of_ids(ids[max(0, e - limit) : e])) for n, e in enumerate(ends)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
