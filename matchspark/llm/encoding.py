@@ -30,7 +30,7 @@ TAIL = ".,!*$%&#|;:?"
 #: Chunks that the library encodes at a time: what it keeps of each takes far more memory than its ids.
 AT_ONCE = 5_000
 #: Characters of texts whose distinct words are encoded together.
-TOGETHER = 12_000_000
+TOGETHER = 5_000_000
 
 
 def parts(chunks: list[str]) -> list[list[str]]:
@@ -117,7 +117,10 @@ def spread(ids: np.ndarray, starts: np.ndarray, picks: np.ndarray) -> tuple[np.n
     n = (starts[1:] - starts[:-1])[picks]
     at = np.zeros(len(picks) + 1, np.int64)
     np.cumsum(n, out=at[1:])
-    return ids[np.repeat(starts[picks] - at[:-1], n) + np.arange(at[-1])], at
+    kind = np.int32 if max(len(ids), at[-1]) < 2**31 else np.int64
+    places = np.repeat((starts[picks] - at[:-1]).astype(kind), n)
+    places += np.arange(at[-1], dtype=kind)
+    return ids[places], at
 
 
 class GroupIds:
@@ -221,18 +224,20 @@ class GroupIds:
     def __call__(self, texts: list[str]) -> list[bytes | None]:
         """The ids of each text as little-endian unsigned 16-bit bytes; None: encode it whole."""
         # each text gets a line feed before it, so that its first word has no space; the line feed's id is dropped
-        lists = pc.split_pattern(pa.array(["\n" + text.replace("\n", " \n") for text in texts], pa.large_string()), " ")
-        places, coded = lists.offsets.to_numpy(), lists.values.dictionary_encode()
-        del lists
-        picks = coded.indices.to_numpy()
-        flat, starts, bad = self.chunks(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        out: list[bytes | None] = []
+        places, coded = [], []
         for i in range(0, len(texts), self.TEXTS):
-            at = places[i : i + self.TEXTS + 1]
-            some = picks[at[0] : at[-1]]
-            whole = np.logical_or.reduceat(bad[some], at[:-1] - at[0])
-            ids, begins = spread(flat, starts, some)
-            raw, bounds = ids.tobytes(), begins[at - at[0]].tolist()
+            lists = pc.split_pattern(pa.array(["\n" + text.replace("\n", " \n") for text in texts[i : i + self.TEXTS]], pa.large_string()), " ")
+            places.append(lists.offsets.to_numpy())
+            coded.append(lists.values.dictionary_encode())
+            del lists  # only codes and distinct chunks stay
+        coded = pa.chunked_array(coded).unify_dictionaries().chunks
+        flat, starts, bad = self.chunks(coded[0].dictionary.to_numpy(zero_copy_only=False).tolist())
+        out: list[bytes | None] = []
+        for at, some in zip(places, coded, strict=True):
+            picks = some.indices.to_numpy()
+            whole = np.logical_or.reduceat(bad[picks], at[:-1])
+            ids, begins = spread(flat, starts, picks)
+            raw, bounds = ids.tobytes(), begins[at].tolist()
             out += [None if w else raw[2 * x + 2 : 2 * y] for w, x, y in zip(whole.tolist(), bounds, bounds[1:], strict=False)]
         return out
 
@@ -292,11 +297,13 @@ class TextEncoder:
         """The ids of each text; ``group`` texts, or about ``TOGETHER`` characters, are taken together to meet new words."""
         out = []
         if self.groups:
-            part, chars = [], 0
+            texts = [text or "" for text in texts]
+            total = sum(map(len, texts))
+            part, chars, most = [], 0, total / max(1, round(total / TOGETHER))
             for text in texts:
-                part.append(text or "")
-                chars += len(part[-1])
-                if chars >= TOGETHER:
+                part.append(text)
+                chars += len(text)
+                if chars >= most:
                     out += self.grouped(part)
                     part, chars = [], 0
             return out + self.grouped(part) if part else out

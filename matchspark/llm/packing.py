@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchspark.llm.encoding import encoder
-from matchspark.llm.text import crc_of_ids, small
+from matchspark.llm.text import batches_of, crc_of_ids, small
 from matchspark.session import cut
 
 LIMIT, SHARD = 2048, 2000
@@ -33,6 +33,8 @@ LIMIT, SHARD = 2048, 2000
 ISLANDS, POPULATION, EPOCHS, GENERATIONS = 2, 8, 2, 12
 #: Bins filled to less than this share are packed again with those of other shards.
 FILLED = 0.98
+#: Documents that a task has in memory at once.
+ROWS = 2500
 
 #: Bits for the number of a bin.
 BITS = 24
@@ -197,14 +199,16 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, limit: int) -> D
 
     def run(batches):
         encode = encoder(tokenizer)
-        for batch in small(batches, 2500):
-            rows = []
-            for doc_id, raw in zip(batch.column(0).to_pylist(), encode.batch(batch.column(1).to_pylist()), strict=True):
+        for batch in small(batches, ROWS):
+            keys, texts, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            del batch
+            for doc_id, raw in zip(keys, encode.batch(texts), strict=True):
                 ids = np.append(np.frombuffer(raw, "<u2"), np.uint16(end_id))
                 ends = range((len(ids) - 1) % limit + 1, len(ids) + 1, limit)
                 rows += [(doc_id, n, max(0, e - limit), e - max(0, e - limit), crc_of_ids(ids[max(0, e - limit) : e])) for n, e in enumerate(ends)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            del keys, texts, rows
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -216,7 +220,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, limit: int = LIMIT, i
     without doc_id are packed each; full pieces are sequences of their own. Other columns
     are not read; an empty table gives no rows.
     """
-    pieces = cut(cut_documents(docs, tokenizer, end_id, limit).withColumn("item", F.monotonically_increasing_id()))
+    with batches_of(docs.sparkSession, ROWS):
+        pieces = cut(cut_documents(docs, tokenizer, end_id, limit).withColumn("item", F.monotonically_increasing_id()))
     short = pieces.where(F.col("length") < limit).select("item", "length")
     shards = max(1, round(short.count() / SHARD))
     search = limit, islands, population, epochs, generations

@@ -52,3 +52,28 @@ def test_only_byte_level_vocabularies_that_keep_words_apart_are_grouped():
         made = Tokenizer(BPE(vocab, [(fine[0], fine[1])]))
         made.pre_tokenizer = ByteLevel(add_prefix_space=False)
         assert GroupIds.suits(made), fine
+
+
+def test_packing_takes_few_documents_at_once(spark, monkeypatch, tmp_path):
+    from matchspark.llm import packing
+
+    class Noted:
+        """An encoder that notes how many rows Spark handed over at once."""
+
+        def __call__(self, path):
+            return self
+
+        def batch(self, texts):
+            with open(f"{tmp_path}/{random.random()}", "w") as out:
+                out.write(f"{len(texts)}")
+            return [b"\x01\x00"] * len(texts)
+
+    monkeypatch.setattr(packing, "ROWS", 40)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    asked, before = [], spark.conf.get(key, None)
+    monkeypatch.setattr(packing, "encoder", Noted())
+    monkeypatch.setattr(packing, "cut", lambda df, real=packing.cut: asked.append(spark.conf.get(key)) or real(df))
+    docs = spark.createDataFrame([(i, "a b") for i in range(300)], "doc_id long, text string").coalesce(1)
+    assert packing.pack(docs, BYTES).count() == 300
+    assert int(asked[0]) == 40 and spark.conf.get(key, None) == before and asked[-1] != "40"
+    assert max(int(p.read_text()) for p in tmp_path.iterdir()) <= 40
