@@ -1,17 +1,20 @@
 """Exact and fast ids from public tokenizer files: each distinct word is encoded once.
 
 Both vocabularies never merge across the start of a white-space run, so a text's ids are
-the ids of its space-separated chunks in order. With a byte-level vocabulary the chunks of
-a group of texts are told apart in Arrow, and nothing is kept after the group; otherwise a
+the ids of its space-separated chunks in order. The chunks of a group of texts are told
+apart in Arrow, and nothing is kept after the group; with a vocabulary of another form a
 process keeps the ids of chunks that it has met. Texts with white space or markers for
 which this does not hold are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from os.path import commonprefix
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,11 @@ AT_ONCE = 5_000
 TOGETHER = 5_000_000
 
 
+def strings(array: pa.Array) -> list[str]:
+    """The strings of an array; faster than its own list for many short ones."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 def parts(chunks: list[str]) -> list[list[str]]:
     return [chunks[i : i + AT_ONCE] for i in range(0, len(chunks), AT_ONCE)]
 
@@ -79,7 +87,7 @@ class ChunkIds(dict):
                     continue
             if base.isascii():
                 low = base.lower() if self.lower else base
-            elif base.lower().isalpha():
+            elif normalize("NFC", base).lower().isalpha():
                 low = base
             else:
                 odd.append(chunk)
@@ -131,8 +139,8 @@ class GroupIds:
     the library's model encodes words in one string, without the search for words in it.
     """
 
-    #: Words in a string for the model, texts whose ids are put together at a time.
-    WORDS, TEXTS = 200, 200
+    #: Words in a string for the model, texts whose ids are put together at a time, ids of what ``prepared`` puts before a text, how many times ``TOGETHER`` a group is.
+    WORDS, TEXTS, LED, TIMES = 200, 200, 1, 1
 
     def __init__(self, tokenizer):
         from tokenizers import Tokenizer
@@ -191,10 +199,11 @@ class GroupIds:
             out.append(np.array(self.model.encode_batch_fast([self.mapped(text)], add_special_tokens=False)[0].ids, "<u2"))
         return out
 
-    def chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def chunks(self, distinct: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all chunks one after the other, where each begins and the last ends, and which must not be encoded alone."""
         words: dict[str, int] = {}
         ends: dict[str, int] = {}
+        chunks = strings(distinct)
         others, head, tail, bad = [], [], [], np.zeros(len(chunks), bool)
         for n, chunk in enumerate(chunks):
             word = chunk.rstrip(TAIL)
@@ -221,27 +230,131 @@ class GroupIds:
         flat, at = spread(flat, starts, np.stack([heads, tails], 1).ravel())
         return flat, at[::2], bad
 
+    @staticmethod
+    def prepared(text: str) -> str:
+        """The text with a space before each chunk but the first; it gets a line feed before it, so that its first word has no space, and that id is dropped."""
+        return "\n" + text.replace("\n", " \n")
+
     def __call__(self, texts: list[str]) -> list[bytes | None]:
         """The ids of each text as little-endian unsigned 16-bit bytes; None: encode it whole."""
-        # each text gets a line feed before it, so that its first word has no space; the line feed's id is dropped
         places, coded = [], []
         for i in range(0, len(texts), self.TEXTS):
-            lists = pc.split_pattern(pa.array(["\n" + text.replace("\n", " \n") for text in texts[i : i + self.TEXTS]], pa.large_string()), " ")
+            lists = pc.split_pattern(pa.array([self.prepared(text) for text in texts[i : i + self.TEXTS]], pa.large_string()), " ")
             places.append(lists.offsets.to_numpy())
             coded.append(lists.values.dictionary_encode())
             del lists  # only codes and distinct chunks stay
         coded = pa.chunked_array(coded).unify_dictionaries().chunks
-        flat, starts, bad = self.chunks(coded[0].dictionary.to_numpy(zero_copy_only=False).tolist())
+        flat, starts, bad = self.chunks(coded[0].dictionary)
         out: list[bytes | None] = []
         for at, some in zip(places, coded, strict=True):
             picks = some.indices.to_numpy()
             whole = np.logical_or.reduceat(bad[picks], at[:-1])
             ids, begins = spread(flat, starts, picks)
             raw, bounds = ids.tobytes(), begins[at].tolist()
-            out += [None if w else raw[2 * x + 2 : 2 * y] for w, x, y in zip(whole.tolist(), bounds, bounds[1:], strict=False)]
+            out += [None if w else raw[2 * (x + self.LED) : 2 * y] for w, x, y in zip(whole.tolist(), bounds, bounds[1:], strict=False)]
         return out
 
 
+class WordIds(GroupIds):
+    """Ids of groups of texts with a vocabulary whose words end in a suffix: each distinct word of a group goes to the library once.
+
+    White space parts words and has no ids. Words of ASCII letters, in lower case, go to the
+    library's model, many in a string that is cut at spaces, without its normalizer and its
+    search for words; those of other letters go so to the whole library, and whatever else
+    stands between spaces goes to it alone.
+    """
+
+    WORDS, LED, TIMES = 200, 0, 4
+    NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    CUTS = [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]
+
+    def __init__(self, tokenizer):
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
+
+        self.tokenizer, self.model = tokenizer, Tokenizer(tokenizer.model)
+        self.model.pre_tokenizer = CharDelimiterSplit(" ")
+        suffix = tokenizer.model.end_of_word_suffix
+        self.edge = np.zeros(65_536, bool)
+        self.edge[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+
+    @classmethod
+    def suits(cls, tokenizer) -> bool:
+        """Whether ids of this tokenizer can be found so: it has just these steps, and no byte is left out."""
+        from tokenizers.models import BPE
+
+        model, normal, cut = tokenizer.model, tokenizer.normalizer, tokenizer.pre_tokenizer
+        if not normal or not cut or not isinstance(model, BPE) or model.dropout or not model.end_of_word_suffix:
+            return False
+        if json.loads(normal.__getstate__()).get("normalizers") != cls.NORMAL or json.loads(cut.__getstate__()).get("pretokenizers") != cls.CUTS:
+            return False
+        vocab = tokenizer.get_vocab()
+        return all(chr(c) in vocab and chr(c) + model.end_of_word_suffix in vocab for c in cls.glyphs().tolist() if c)
+
+    @staticmethod
+    def prepared(text: str) -> str:
+        """The text with spaces for other ASCII white space; rarer white space stays in its chunk, for the library."""
+        for space in "\n\t\r\v\f":
+            text = text.replace(space, " ")
+        return text
+
+    def alone(self, chunks: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of chunks, each of them encoded alone, and how many each has."""
+        for some in parts(chunks):
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            yield np.array([i for ids in found for i in ids], "<u2"), np.array([len(ids) for ids in found])
+
+    def runs(self, words: list[str], library) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of words of letters, strings of them after each other, and how many each has."""
+        for at in range(0, len(words), self.WORDS):
+            some = words[at : at + self.WORDS]
+            ids = np.array(library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u2")
+            last = np.flatnonzero(self.edge[ids])
+            if len(last) == len(some):
+                yield ids, np.diff(last, prepend=-1)
+            else:  # a word that the library cuts
+                yield from self.alone(some)
+
+    @staticmethod
+    def last(distinct: pa.LargeStringArray, n: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """The distinct ends of ``n`` bytes, eight at most, and which each chunk has."""
+        _, offsets, data = distinct.buffers()
+        ends = np.frombuffer(offsets, np.int64)[distinct.offset + 1 :][: len(distinct)]
+        raw = np.concatenate([np.zeros(8, "u1"), np.frombuffer(data or b"", "u1")])
+        eight = np.lib.stride_tricks.sliding_window_view(raw, 8)[ends].view(">u8").ravel().astype("u8")
+        shift = 8 * (8 - n).astype("u8")
+        found, which = np.unique(np.where(n > 0, eight << np.minimum(shift, 56) >> np.minimum(shift, 56), 0), return_inverse=True)
+        return [int(x).to_bytes(8, "big").lstrip(b"\0").decode() for x in found], which
+
+    def chunks(self, distinct: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        words = pc.ascii_rtrim(distinct, TAIL)
+        n = pc.subtract(pc.binary_length(distinct), pc.binary_length(words)).to_numpy()
+        known = pc.utf8_is_alpha(words).to_numpy(zero_copy_only=False) & (n <= 8)
+        words = words.filter(pa.array(known))
+        words = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words).dictionary_encode()
+        plain = pc.string_is_ascii(words.dictionary).to_numpy(zero_copy_only=False)
+        runs = [*self.runs(strings(words.dictionary.filter(pa.array(plain))), self.model)]
+        runs += self.runs(strings(words.dictionary.filter(pa.array(~plain))), self.tokenizer)
+        place = np.where(plain, plain.cumsum() - 1, plain.sum() + (~plain).cumsum() - 1)[words.indices.to_numpy()]
+        # a word that normal form cuts may end in a mark, which goes together with what follows
+        pieces = np.concatenate([np.zeros(0, np.int64), *(np.add.reduceat(self.edge[ids], each.cumsum() - each, dtype=np.int64) for ids, each in runs)])
+        own = ~known
+        own[known] = (pieces[place] != 1) & (n[known] > 0)
+        others = strings(distinct.filter(pa.array(own)))
+        ends, tails = self.last(distinct, np.where(own, 0, n))
+        runs += [*self.alone(others), *self.alone(ends)]
+        heads = np.zeros(len(distinct), np.int64)
+        heads[known] = place
+        heads[own] = len(plain) + np.arange(len(others))
+        flat = np.concatenate([ids for ids, _ in runs])
+        starts = np.concatenate([[0], *(each for _, each in runs)]).cumsum()
+        flat, at = spread(flat, starts, np.stack([heads, len(plain) + len(others) + tails], 1).ravel())
+        return flat, at[::2], np.zeros(len(distinct), bool)
+
+
 class TextEncoder:
     """Ids of whole texts, as the tokenizers library gives them with ``add_special_tokens=False``.
 
@@ -263,7 +376,8 @@ class TextEncoder:
         lower = tokenizer.encode("AB", add_special_tokens=False).ids == tokenizer.encode("ab", add_special_tokens=False).ids
         self.words = ChunkIds(tokenizer, " " if self.spaced else "", lower)
         self.first = ChunkIds(tokenizer, "", lower, 100_000)
-        self.groups = GroupIds(tokenizer) if self.spaced and GroupIds.suits(tokenizer) else None
+        kind = GroupIds if self.spaced else WordIds
+        self.groups = kind(tokenizer) if kind.suits(tokenizer) else None
 
     def forget(self) -> None:
         """Give up the chunks that it has met."""
@@ -290,16 +404,17 @@ class TextEncoder:
         return self.batch([text])[0]
 
     def grouped(self, texts: list[str]) -> list[bytes]:
-        found = self.groups(["" if self.marked(text) else text for text in texts])
-        return [self.joined(text, None) if ids is None else ids for text, ids in zip(texts, found, strict=True)]
+        whole = [self.marked(text) for text in texts]
+        found = self.groups(["" if w else text for text, w in zip(texts, whole, strict=True)])
+        return [self.joined(text, None) if w or ids is None else ids for text, w, ids in zip(texts, whole, found, strict=True)]
 
     def batch(self, texts: list[str | None], group: int = 300) -> list[bytes]:
-        """The ids of each text; ``group`` texts, or about ``TOGETHER`` characters, are taken together to meet new words."""
+        """The ids of each text; ``group`` texts, or about ``TOGETHER`` characters (or ``TIMES`` as many), are taken together to meet new words."""
         out = []
         if self.groups:
             texts = [text or "" for text in texts]
             total = sum(map(len, texts))
-            part, chars, most = [], 0, total / max(1, round(total / TOGETHER))
+            part, chars, most = [], 0, total / max(1, round(total / (self.groups.TIMES * TOGETHER)))
             for text in texts:
                 part.append(text)
                 chars += len(text)

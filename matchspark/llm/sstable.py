@@ -18,9 +18,11 @@ from __future__ import annotations
 import struct
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs
@@ -36,6 +38,8 @@ FOOTER = struct.Struct("<6Q2I8s")
 ENTRY = struct.Struct("<8sQI")
 BLOCK = 64 * 1024
 BLOOM_BITS, BLOOM_HASHES = 10, 7
+#: Bytes of texts that a task encodes at a time, and the rest of the text that reaches it.
+TEXT_BYTES = 20_000_000
 
 
 def store(path: str) -> tuple[fs.FileSystem, str]:
@@ -169,7 +173,16 @@ class Shard:
         return found
 
 
-def shard_writer(path: str, tokenizer: str, end_id: int, group: int = 2000):
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch (doc_id, text) in slices of about ``TEXT_BYTES``."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.flatnonzero(np.diff(total // TEXT_BYTES)) + 2
+    for start, end in pairwise([0, *cuts.tolist(), batch.num_rows]):
+        if start < end:
+            yield batch.slice(start, end - start)
+
+
+def shard_writer(path: str, tokenizer: str, end_id: int):
     """A mapInArrow function over rows (doc_id, text) sorted by doc_id: one shard for each task.
 
     A retried or repeated attempt writes a file of its own name; the row that the attempt
@@ -183,8 +196,7 @@ def shard_writer(path: str, tokenizer: str, end_id: int, group: int = 2000):
         encode, writer, first = encoder(tokenizer), None, None
         end = np.array([end_id], "<u2").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, group):
-                part = batch.slice(at, group)
+            for part in slices(batch):
                 ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
                 for doc_id, value in zip(ids, encode.batch(texts), strict=True):
                     if writer is None:

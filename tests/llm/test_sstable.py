@@ -57,3 +57,14 @@ def test_plain_paths_are_where_spark_takes_them_to_be(spark, tmp_path):
     shards = sstable.write_shards(docs, str(tmp_path / "plain"), public_tokenizers.path("word_bpe_49k.json"), 1)
     assert all(r.path.startswith("file:") for r in shards.collect())
     assert sorted((r.doc_id, r.n_tokens) for r in sstable.read_shards(shards).collect())[0] == (1, 1)
+
+
+def test_slices_hold_few_bytes_and_every_row(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(sstable, "TEXT_BYTES", 10)
+    for texts in ([], [None], ["é" * 30, "a", None, "b" * 9, "c" * 11, "", "d"], ["ab"] * 40):
+        batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+        got = [part.column(1).to_pylist() for part in sstable.slices(batch)]
+        assert sum(got, []) == texts and all(got)
+        assert all(sum(len((t or "").encode()) for t in part[1:-1]) <= 10 for part in got)
